@@ -12,21 +12,23 @@ from platenlog.operators.decode import PREFIX_BYTES, decode_messages, request_co
 def judged_messages(messages: DataFrame, prefix: int = PREFIX_BYTES) -> DataFrame:
     """Decode, gate and admit every message.
 
-    A message that cannot be decoded has an ``http_status`` of 400 and no
-    protocol status. Tables without the HTTP columns are taken as let through.
+    A message that is let through but cannot be decoded has an ``http_status``
+    of 400, no protocol status, and what was wrong with it as its reason. Tables
+    without the HTTP columns are taken as let through.
     """
-    decoded = request_columns(decode_messages(messages, prefix=prefix))
-    decoded = decoded.withColumn("reject_reason", F.col("error.reason"))
+    judged = admission(request_columns(decode_messages(messages, prefix=prefix)))
     if {"method", "path", "content_type"} <= set(messages.columns):
-        decoded = gate(decoded.withColumn("body_bytes", F.octet_length("body").cast("bigint")))
+        judged = gate(judged.withColumn("body_bytes", F.octet_length("body").cast("bigint")))
     else:
-        decoded = decoded.withColumn("http_status", F.when(F.col("reject_reason").isNotNull(), 400).otherwise(200))
-    passed = F.col("http_status") == 200
-    return (
-        admission(decoded)
-        .withColumn("status", F.when(passed, F.col("status")))
-        .withColumn("reason", F.when(passed, F.col("reason")).otherwise(F.col("reject_reason")))
-        .drop("reject_reason")
+        judged = judged.withColumn("http_status", F.lit(200))
+    let_through = F.col("http_status") == 200
+    sound = F.col("error").isNull()
+    return judged.withColumns(
+        {
+            "http_status": F.when(let_through & ~sound, 400).otherwise(F.col("http_status")),
+            "status": F.when(let_through & sound, F.col("status")),
+            "reason": F.when(let_through, F.coalesce("error.reason", "reason")),
+        }
     )
 
 
