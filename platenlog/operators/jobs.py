@@ -88,3 +88,22 @@ def job_lookup(requests: DataFrame, jobs: DataFrame, printer_uri: Column | str)
         wrap_i32(k_octets("size_bytes")).alias("k_octets"),
         wrap_i32("time_created").alias("time_at_creation"),
     )
+
+
+def print_answers(requests: DataFrame, printer_uri: Column | str, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """What every print request is told: its status, and the job it made where it made one."""
+    judged = admission(requests).where(F.col("op_code") == codes.PRINT_JOB)
+    uri = F.col(printer_uri) if isinstance(printer_uri, str) else printer_uri
+    refused = judged.where(~takes_job_id(judged)).withColumn("job_id", F.lit(None).cast("bigint"))
+    numbered = assign_job_ids(judged, block_bits)
+    stored = F.col("status") == codes.OK
+    return numbered.unionByName(refused).select(
+        "seq",
+        "session_id",
+        "status",
+        "reason",
+        F.when(stored, wrap_i32("job_id")).alias("job_id"),
+        F.when(stored, job_uri(uri, "job_id")).alias("job_uri"),
+        F.when(stored, codes.COMPLETED).alias("state"),
+        F.when(stored, "job-completed-successfully").alias("state_reasons"),
+    )

@@ -270,6 +270,11 @@ EXPECTED = {
     "id_gaps": f"""WITH {JOBS} SELECT session_id, count(*) AS jobs, max(job_id) AS last_job_id,
         max(job_id) - count(*) AS missing FROM jobs GROUP BY session_id""",
     "job_lookup": f"WITH {LOOKUPS} SELECT * FROM lookups",
+    "print_answers": f"""WITH {JOBS}
+        SELECT a.seq, a.session_id, a.status, a.reason, CAST(j.job_id AS INT) AS job_id,
+               'ipp://192.0.2.1:6310/ipp/print/jobs/' || j.job_id AS job_uri, j.state,
+               CASE WHEN j.job_id IS NOT NULL THEN 'job-completed-successfully' END AS state_reasons
+        FROM admitted a LEFT JOIN jobs j ON j.created_seq = a.seq WHERE a.op_code = 2""",
     "status_ok": f"""WITH {LOOKUPS} SELECT seq, status,
         {_named("status", codes.CLIENT_STATUSES, "status_name")}, status < 256 AS ok FROM lookups""",
     "device_attributes": f"WITH {_capabilities()}, {_devices('supplier', 's_suppkey', 's_name')} SELECT * FROM held",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from platenlog.functions import codes, device, display, naming, numbers
 from platenlog.operators import attributes, catalogue, decode, presence, rollups
 from platenlog.operators.admission import admission, dispatch, gate
-from platenlog.operators.jobs import assign_job_ids, job_lookup, register_jobs
+from platenlog.operators.jobs import assign_job_ids, job_lookup, print_answers, register_jobs
 from platenlog.plans.capture import attribute, capture, fixed, text
 from platenlog.plans.requests import request_log, table
 from platenlog.plans.session import work_path
@@ -208,6 +208,10 @@ def status_report(spark, sf_dir):
     return rollups.status_ok(lookup_report(spark, sf_dir).select("seq", "status"))
 
 
+def print_report(spark, sf_dir):
+    return print_answers(request_log(spark, sf_dir), F.lit(PRINTER_URI))
+
+
 # --- attributes ----------------------------------------------------------------------
 
 
@@ -598,6 +602,7 @@ REPORTS = {
     "job_registry": job_registry,
     "id_gaps": id_gaps,
     "job_lookup": lookup_report,
+    "print_answers": print_report,
     "status_ok": status_report,
     "device_attributes": device_report,
     "attribute_query": attribute_query,

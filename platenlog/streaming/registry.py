@@ -4,9 +4,9 @@ Everything a batch writes goes to partitions of its own batch id, which a replay
 replaces, and everything it carries over is read from the batch before it. So a
 batch can be run again at any time and leaves the same tables.
 
-Layout under one path: ``counters`` (last id drawn per session, a full snapshot
-per batch), ``jobs``, ``answers``, ``archive`` and ``newest`` (first listing page
-per session, a full snapshot per batch).
+Layout under one path: ``jobs``, ``answers`` and ``archive`` grow by a partition
+per batch; ``counters`` (last id drawn per session) and ``newest`` (first listing
+page per session) are full snapshots, of which only the last few are kept.
 """
 
 from __future__ import annotations
@@ -25,14 +25,18 @@ from platenlog.sources.documents import archive_documents, notice
 
 Step = Callable[[DataFrame, int], None]
 
-COUNTERS = "session_id STRING, last_id BIGINT, batch_id BIGINT"
+# A batch reads the snapshot of the batch before it; the others are for readers
+# that are still at it when the next one is written.
+SNAPSHOTS_KEPT = 4
+
+COUNTERS = "session_id STRING, last_id BIGINT, batch_id BIGINT, slot INT"
 JOBS = (
     "session_id STRING, job_id BIGINT, created_seq BIGINT, state INT, name STRING, originating_user STRING, "
     "time_created BIGINT, file_name STRING, size_bytes BIGINT, batch_id BIGINT"
 )
 NEWEST = (
     "session_id STRING, position BIGINT, file_name STRING, size_bytes BIGINT, modified TIMESTAMP, files BIGINT, "
-    "batch_id BIGINT"
+    "batch_id BIGINT, slot INT"
 )
 ANSWERS = (
     "seq BIGINT, session_id STRING, status INT, reason STRING, job_id INT, job_uri STRING, state INT, "
@@ -46,23 +50,38 @@ SLIM = [
 OPTIONAL = ["has_group", "write_ok"]
 
 
-def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A batch-partitioned table; an empty one is laid down where there is none yet."""
-    spark.createDataFrame([], schema).write.mode("append").partitionBy("batch_id").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+def lay_down(spark: SparkSession, path: str, schema: str, partition: str = "batch_id") -> None:
+    """An empty table where there is none yet, so that the first batch has one to read."""
+    spark.createDataFrame([], schema).write.mode("append").partitionBy(partition).parquet(path)
 
 
-def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Replace this batch's partition."""
+def _replace(rows: DataFrame, path: str, partition: str) -> None:
     (
-        rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
+        .partitionBy(partition)
         .parquet(path)
     )
 
 
+def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Replace this batch's partition."""
+    _replace(rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")), path, "batch_id")
+
+
+def write_snapshot(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Replace the oldest snapshot kept."""
+    stamped = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    _replace(stamped.withColumn("slot", F.lit(batch_id % SNAPSHOTS_KEPT)), path, "slot")
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
+    """The snapshot a batch left; one without rows leaves an older one in its slot, which does not count."""
+    held = spark.read.schema(schema).parquet(path)
+    mine = (F.col("slot") == batch_id % SNAPSHOTS_KEPT) & (F.col("batch_id") == batch_id)
+    return held.where(mine).drop("batch_id", "slot")
+
+
 def jobs_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(JOBS).parquet(f"{path}/jobs")
 
@@ -74,13 +93,11 @@ def _slim(batch: DataFrame) -> DataFrame:
 
 def registry_step(spark: SparkSession, path: str) -> Step:
     """Number this batch's jobs from where the batch before stopped, and store them."""
-    stored(spark, f"{path}/counters", COUNTERS)
-    stored(spark, f"{path}/jobs", JOBS)
+    lay_down(spark, f"{path}/counters", COUNTERS, "slot")
+    lay_down(spark, f"{path}/jobs", JOBS)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        counters = session.read.schema(COUNTERS).parquet(f"{path}/counters")
-        before = counters.where(F.col("batch_id") == batch_id - 1).select("session_id", "last_id")
+        before = read_snapshot(batch.sparkSession, f"{path}/counters", COUNTERS, batch_id - 1)
         numbered = (
             assign_job_ids(admission(_slim(batch)))
             .join(before, "session_id", "left")
@@ -92,7 +109,7 @@ def registry_step(spark: SparkSession, path: str) -> Step:
         # Ids drawn, not jobs stored: a refused print has used one up.
         drawn = numbered.groupBy("session_id").agg(F.max("job_id").alias("last_id"))
         after = before.unionByName(drawn).groupBy("session_id").agg(F.max("last_id").alias("last_id"))
-        write_batch(after, f"{path}/counters", batch_id)
+        write_snapshot(after, f"{path}/counters", batch_id)
         numbered.unpersist()
 
     return step
@@ -121,7 +138,7 @@ def lookup_step(spark: SparkSession, path: str, printer_uri: str) -> Step:
     ``seq`` than the look-up are visible to it. Only registry rows that some
     look-up of the batch asks for enter the join.
     """
-    stored(spark, f"{path}/answers", ANSWERS)
+    lay_down(spark, f"{path}/answers", ANSWERS)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         requests = _slim(batch)
@@ -151,11 +168,11 @@ def listing_step(spark: SparkSession, path: str, size: int = codes.PAGE_SIZE) ->
     The page after a batch is the newest of the page before it and the batch's
     own jobs, so nothing older is read again.
     """
-    stored(spark, f"{path}/newest", NEWEST)
+    lay_down(spark, f"{path}/newest", NEWEST, "slot")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        shown = session.read.schema(NEWEST).parquet(f"{path}/newest").where(F.col("batch_id") == batch_id - 1)
+        shown = read_snapshot(session, f"{path}/newest", NEWEST, batch_id - 1)
         jobs = jobs_table(session, path).where(F.col("batch_id") == batch_id)
         added = jobs.select(
             "session_id", "file_name", "size_bytes", F.timestamp_seconds("time_created").alias("modified")
@@ -178,7 +195,7 @@ def listing_step(spark: SparkSession, path: str, size: int = codes.PAGE_SIZE) ->
         fresh = page.join(counts, "session_id").select(
             "session_id", (F.col("_rank") - 1).cast("bigint").alias("position"), *columns[1:], "files"
         )
-        write_batch(fresh, f"{path}/newest", batch_id)
+        write_snapshot(fresh, f"{path}/newest", batch_id)
 
     return step
 
@@ -187,7 +204,7 @@ def newest_page(spark: SparkSession, path: str) -> DataFrame:
     """The listing as of the last finished batch."""
     snapshots = spark.read.schema(NEWEST).parquet(f"{path}/newest")
     last = snapshots.agg(F.max("batch_id").alias("batch_id"))
-    return snapshots.join(F.broadcast(last), "batch_id", "left_semi").drop("batch_id")
+    return snapshots.join(F.broadcast(last), "batch_id", "left_semi").drop("batch_id", "slot")
 
 
 def run_steps(requests: DataFrame, checkpoint: str, *steps: Step) -> StreamingQuery:
