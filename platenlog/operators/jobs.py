@@ -27,11 +27,11 @@ def assign_job_ids(requests: DataFrame, block_bits: int = BLOCK_BITS) -> DataFra
     return running_sum(candidates, ["session_id"], "seq", F.lit(1), "job_id", block_bits)
 
 
-def register_jobs(numbered: DataFrame) -> DataFrame:
-    """Registry rows of the numbered requests that were stored."""
+def job_rows(numbered: DataFrame) -> DataFrame:
+    """What the registry holds of each numbered request, and the ``status`` it got."""
     epoch = F.unix_seconds(F.col("arrived_at").cast("timestamp"))
     name = F.coalesce("job_name", F.lit("Untitled"))
-    return numbered.where(F.col("status") == codes.OK).select(
+    return numbered.select(
         "session_id",
         "job_id",
         F.col("seq").alias("created_seq"),
@@ -41,9 +41,15 @@ def register_jobs(numbered: DataFrame) -> DataFrame:
         epoch.alias("time_created"),
         file_name(epoch, "job_id", name).alias("file_name"),
         F.col("doc_bytes").cast("bigint").alias("size_bytes"),
+        "status",
     )
 
 
+def register_jobs(numbered: DataFrame) -> DataFrame:
+    """Registry rows of the numbered requests that were stored."""
+    return job_rows(numbered.where(F.col("status") == codes.OK)).select(*JOB_COLUMNS)
+
+
 def job_lookup(requests: DataFrame, jobs: DataFrame, printer_uri: Column | str) -> DataFrame:
     """Answer every request for a job from the registry.
 

@@ -143,11 +143,13 @@ def asking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def arrivals(spark: SparkSession, rows: DataFrame, order: str = "seq") -> str:
     """Lay rows down as a few files, in order of arrival, for a stream to pick up."""
-    path = work_path(spark, "arrivals")
-    top = rows.agg((F.max(order) + 1).alias("n")).first()["n"]
+    whole, path = work_path(spark, "staged"), work_path(spark, "arrivals")
+    rows.write.parquet(whole)
+    staged = spark.read.parquet(whole)
+    top = staged.agg((F.max(order) + 1).alias("n")).first()["n"]
     for i in range(ARRIVALS):
         due = (F.col(order) >= top * i // ARRIVALS) & (F.col(order) < top * (i + 1) // ARRIVALS)
-        rows.where(due).coalesce(1).write.mode("append").parquet(path)
+        staged.where(due).coalesce(1).write.mode("append").parquet(path)
     return path
 
 

@@ -4,8 +4,8 @@ Everything a batch writes goes to partitions of its own batch id, which a replay
 replaces, and everything it carries over is read from the batch before it. So a
 batch can be run again at any time and leaves the same tables.
 
-Layout under one path: ``jobs``, ``answers`` and ``archive`` grow by a partition
-per batch; ``counters`` (last id drawn per session) and ``newest`` (first listing
+Layout under one path: ``draws`` (every job id drawn, with the status its request
+got), ``answers`` and ``archive`` grow by a partition per batch; ``counters`` (last id drawn per session) and ``newest`` (first listing
 page per session) are full snapshots, of which only the last few are kept.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from platenlog.functions import codes, numbers
 from platenlog.operators.admission import admission
-from platenlog.operators.jobs import assign_job_ids, job_lookup, register_jobs
+from platenlog.operators.jobs import assign_job_ids, job_lookup, job_rows
 from platenlog.sources.documents import archive_documents, notice
 
 Step = Callable[[DataFrame, int], None]
@@ -30,9 +30,9 @@ Step = Callable[[DataFrame, int], None]
 SNAPSHOTS_KEPT = 4
 
 COUNTERS = "session_id STRING, last_id BIGINT, batch_id BIGINT, slot INT"
-JOBS = (
+DRAWS = (
     "session_id STRING, job_id BIGINT, created_seq BIGINT, state INT, name STRING, originating_user STRING, "
-    "time_created BIGINT, file_name STRING, size_bytes BIGINT, batch_id BIGINT"
+    "time_created BIGINT, file_name STRING, size_bytes BIGINT, status INT, batch_id BIGINT"
 )
 NEWEST = (
     "session_id STRING, position BIGINT, file_name STRING, size_bytes BIGINT, modified TIMESTAMP, files BIGINT, "
@@ -65,7 +65,8 @@ def _replace(rows: DataFrame, path: str, partition: str) -> None:
 
 
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Replace this batch's partition."""
+    """Replace this batch's partition, in files of a sensible size."""
+    rows = rows.hint("rebalance")
     _replace(rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")), path, "batch_id")
 
 
@@ -82,8 +83,13 @@ def read_snapshot(spark: SparkSession, path: str, schema: str, batch_id: int) ->
     return held.where(mine).drop("batch_id", "slot")
 
 
+def draws_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(DRAWS).parquet(f"{path}/draws")
+
+
 def jobs_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(JOBS).parquet(f"{path}/jobs")
+    """The jobs stored so far, with the batch that stored them."""
+    return draws_table(spark, path).where(F.col("status") == codes.OK).drop("status")
 
 
 def _slim(batch: DataFrame) -> DataFrame:
@@ -94,23 +100,23 @@ def _slim(batch: DataFrame) -> DataFrame:
 def registry_step(spark: SparkSession, path: str) -> Step:
     """Number this batch's jobs from where the batch before stopped, and store them."""
     lay_down(spark, f"{path}/counters", COUNTERS, "slot")
-    lay_down(spark, f"{path}/jobs", JOBS)
+    lay_down(spark, f"{path}/draws", DRAWS)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        before = read_snapshot(batch.sparkSession, f"{path}/counters", COUNTERS, batch_id - 1)
+        session = batch.sparkSession
+        before = read_snapshot(session, f"{path}/counters", COUNTERS, batch_id - 1)
         numbered = (
             assign_job_ids(admission(_slim(batch)))
             .join(before, "session_id", "left")
             .withColumn("job_id", F.col("job_id") + F.coalesce("last_id", F.lit(0)))
-            .drop("last_id")
-            .persist()
         )
-        write_batch(register_jobs(numbered), f"{path}/jobs", batch_id)
-        # Ids drawn, not jobs stored: a refused print has used one up.
-        drawn = numbered.groupBy("session_id").agg(F.max("job_id").alias("last_id"))
-        after = before.unionByName(drawn).groupBy("session_id").agg(F.max("last_id").alias("last_id"))
+        write_batch(job_rows(numbered), f"{path}/draws", batch_id)
+        # From what was written, so ids and counters cannot disagree. Ids drawn
+        # count, not jobs stored: a refused print has used one up.
+        drawn = draws_table(session, path).where(F.col("batch_id") == batch_id)
+        last = drawn.groupBy("session_id").agg(F.max("job_id").alias("last_id"))
+        after = before.unionByName(last).groupBy("session_id").agg(F.max("last_id").alias("last_id"))
         write_snapshot(after, f"{path}/counters", batch_id)
-        numbered.unpersist()
 
     return step
 
