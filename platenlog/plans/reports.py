@@ -19,7 +19,7 @@ from platenlog.plans.capture import attribute, capture, fixed, text
 from platenlog.plans.requests import request_log, table
 from platenlog.plans.session import work_path
 from platenlog.sources.devices import device_attributes, device_snapshots
-from platenlog.sources.documents import archive_documents, list_archive, list_documents, notify_jobs
+from platenlog.sources.documents import archive_in_place, list_documents, notify_jobs, with_file_names
 from platenlog.sources.messages import read_message_stream, read_messages
 from platenlog.streaming import registry
 from platenlog.streaming.admission import judged_messages, stream_admission
@@ -547,14 +547,12 @@ def streamed_archive(spark, sf_dir):
 
 
 def archived_documents(spark, sf_dir):
-    log = request_log(spark, sf_dir, payload=True)
-    payloads = log.select("session_id", F.col("seq").alias("created_seq"), "payload")
-    named = jobs_of(spark, sf_dir).withColumn("modified", F.timestamp_seconds("time_created"))
+    """A bulk archive written in place, and its listing under registry names."""
     path = work_path(spark, "archive")
-    archive_documents(named.join(payloads, ["session_id", "created_seq"]), path)
-    return list_archive(spark, path).select(
-        "session_id", "file_name", "size_bytes", F.unix_seconds("modified").alias("modified_s")
-    )
+    archive_in_place(admission(request_log(spark, sf_dir, payload=True)), path)
+    archive = spark.read.parquet(path)
+    listed = with_file_names(archive.drop("payload"), jobs_of(spark, sf_dir))
+    return listed.select("session_id", "file_name", "size_bytes", F.unix_seconds("modified").alias("modified_s"))
 
 
 def streamed_lookups(spark, sf_dir):

@@ -8,6 +8,23 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# For tables that hold bodies: the columnar reader takes rows by the thousand by
+# default, which is gigabytes when each carries a document.
+CAPTURE_SETTINGS = {
+    "spark.sql.parquet.columnarReaderBatchSize": "64",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
+}
+
+# For a large cluster: start from many small shuffle partitions and let adaptive
+# execution merge them, and split what stays too large.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+}
+
 # For long-running streams: state on disk, and sessions of a busy device merged
 # before the shuffle.
 STREAM_SETTINGS = {

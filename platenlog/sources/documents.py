@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from platenlog.functions import codes
+
 ARCHIVE_COLUMNS = ["session_id", "file_name", "size_bytes", "modified", "payload"]
 
 
 def archive_documents(documents: DataFrame, path: str, batch_id: int | None = None) -> None:
     """Write payloads under their file names, one partition per day.
 
-    Rows are written where they are, so payloads are not moved; with a batch id
+    For rows that already have a name, as in a micro-batch; names of a bulk load
+    come from numbering its requests, see ``archive_in_place``. With a batch id
     only that batch's partitions are replaced, and a replay adds nothing.
     """
     dated = documents.select(*ARCHIVE_COLUMNS, F.to_date("modified").alias("day"))
@@ -30,6 +33,30 @@ def archive_documents(documents: DataFrame, path: str, batch_id: int | None = No
     )
 
 
+def archive_in_place(judged: DataFrame, path: str) -> None:
+    """Write the payloads of all prints let in, where they were read: no payload is shuffled.
+
+    Whether a print is stored does not depend on its job id, so payloads are
+    kept under session and ``seq`` and get their names from the registry when
+    they are looked for, see ``with_file_names``.
+    """
+    stored = judged.where((F.col("op_code") == codes.PRINT_JOB) & (F.col("status") == codes.OK))
+    rows = stored.select(
+        "session_id",
+        F.col("seq").alias("created_seq"),
+        F.col("doc_bytes").cast("bigint").alias("size_bytes"),
+        F.date_trunc("second", F.col("arrived_at").cast("timestamp")).alias("modified"),
+        "payload",
+    )
+    rows.withColumn("day", F.to_date("modified")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def with_file_names(archive: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Archived rows under their registry names; select and filter first, to move only what is wanted."""
+    names = jobs.select("session_id", "created_seq", "job_id", "file_name")
+    return archive.join(names, ["session_id", "created_seq"])
+
+
 def list_archive(spark: SparkSession, path: str) -> DataFrame:
     """Listing rows of an archive; the payload column is never read."""
     return spark.read.parquet(path).select("session_id", "file_name", "size_bytes", "modified")

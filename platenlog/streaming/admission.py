@@ -16,18 +16,21 @@ def judged_messages(messages: DataFrame, prefix: int = PREFIX_BYTES) -> DataFram
     of 400, no protocol status, and what was wrong with it as its reason. Tables
     without the HTTP columns are taken as let through.
     """
-    judged = admission(request_columns(decode_messages(messages, prefix=prefix)))
     if {"method", "path", "content_type"} <= set(messages.columns):
-        judged = gate(judged.withColumn("body_bytes", F.octet_length("body").cast("bigint")))
+        gated = gate(messages.withColumn("body_bytes", F.octet_length("body").cast("bigint")))
     else:
-        judged = judged.withColumn("http_status", F.lit(200))
+        gated = messages.withColumn("http_status", F.lit(200))
     let_through = F.col("http_status") == 200
+    # What the gate turns away, oversized bodies above all, is not decoded.
+    decoded = decode_messages(gated.withColumn("_body", F.when(let_through, F.col("body"))), "_body", prefix)
+    judged = admission(request_columns(decoded.drop("_body")))
     sound = F.col("error").isNull()
     return judged.withColumns(
         {
             "http_status": F.when(let_through & ~sound, 400).otherwise(F.col("http_status")),
             "status": F.when(let_through & sound, F.col("status")),
             "reason": F.when(let_through, F.coalesce("error.reason", "reason")),
+            "error": F.when(let_through, F.col("error")),
         }
     )
 

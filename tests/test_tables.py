@@ -9,7 +9,7 @@ from platenlog.functions import codes, device, display, naming, numbers
 from platenlog.operators import attributes, catalogue, rollups
 from platenlog.operators.presence import presence_intervals
 from platenlog.sources.devices import CAPABILITIES, device_attributes, device_snapshots
-from platenlog.sources.documents import archive_documents, list_archive, list_documents, notify_jobs
+from platenlog.sources.documents import archive_documents, archive_in_place, list_archive, list_documents, notify_jobs, with_file_names
 
 UTC = dt.timezone.utc
 
@@ -234,3 +234,17 @@ def test_documents(spark, tmp_path):
     told = []
     notify_jobs(docs.withColumn("job_id", F.lit(1)), "/d/", lambda df, i: told.append((i, sorted(r.file_path for r in df.collect()))))
     assert told == [(0, ["/d/0_1_a.pdf", "/d/1_1_a.pdf", "/d/2_1_a.pdf"])]
+
+
+def test_archive_in_place(spark, tmp_path):
+    rows = [
+        ("s", 1, dt.datetime(2024, 1, 1, 9, 0, 0, 500), 2, 0, 3, bytearray(b"abc")), ("s", 2, dt.datetime(2024, 1, 2), 2, 0x0500, 3, bytearray(b"no!")),
+        ("s", 3, dt.datetime(2024, 1, 2), 4, 0, 3, bytearray(b"no!")), ("s", 4, dt.datetime(2024, 1, 2), 2, 0, 2, bytearray(b"de")),
+    ]
+    judged = spark.createDataFrame(rows, "session_id STRING, seq BIGINT, arrived_at TIMESTAMP, op_code INT, status INT, doc_bytes BIGINT, payload BINARY")
+    archive_in_place(judged, str(tmp_path / "a"))
+    jobs = spark.createDataFrame([("s", 1, 1, "one"), ("s", 3, 4, "two")], "session_id STRING, job_id BIGINT, created_seq BIGINT, file_name STRING")
+    named = with_file_names(spark.read.parquet(str(tmp_path / "a")), jobs)
+    assert {r.file_name: (r.job_id, bytes(r.payload), r.size_bytes, str(r.day), r.modified.microsecond) for r in named.collect()} == {
+        "one": (1, b"abc", 3, "2024-01-01", 0), "two": (3, b"de", 2, "2024-01-02", 0),
+    }
