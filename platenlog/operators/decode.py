@@ -12,37 +12,40 @@ from pyspark.sql import functions as F
 
 from platenlog.functions import codes
 from platenlog.functions.numbers import be_int
-from platenlog.operators.walk import WALKED_TYPE, walk_headers
+from platenlog.operators.walk import WALKED_TYPE, measure_headers, read_headers
 
 PREFIX_BYTES = 4096
 HEADER_COLUMNS = ["major", "minor", "code", "request_id", "header_len", "groups", "tokens"]
 
 
-def _walker():
-    def walk(bodies: pa.Array, totals: pa.Array) -> pa.Array:
-        return walk_headers(bodies, totals)
+def _measure(prefixes: pa.Array, totals: pa.Array) -> pa.Array:
+    return measure_headers(prefixes, totals)
 
-    # Not deterministic as far as the optimizer knows: a filter on decoded
-    # columns must not make Spark run the walk a second time below itself.
-    return F.arrow_udf(walk, WALKED_TYPE).asNondeterministic()
+
+def _read(bodies: pa.Array) -> pa.Array:
+    return read_headers(bodies)
 
 
 def decode_messages(df: DataFrame, body: str = "body", prefix: int = PREFIX_BYTES) -> DataFrame:
     """Add header columns, ``groups``, ``tokens``, ``doc_bytes`` and ``error`` (NULL when sound).
 
-    Only a prefix of the body goes to Python; the few messages whose header is
-    longer go again whole. Document bytes never come back: the body column
-    stays on the JVM side and ``document_tail`` cuts it by ``header_len``.
+    Of a body longer than ``prefix`` Python first gets that prefix, to measure the
+    header, and then exactly the header to read; only where the prefix ends
+    inside the header does it get all of it. Document bytes never come back: the body column stays on the JVM side and
+    ``document_tail`` cuts it by ``header_len``.
+
+    The two steps are declared not deterministic, so that a filter on decoded
+    columns does not make Spark run them a second time below itself.
     """
-    walk = _walker()
+    measure = F.arrow_udf(_measure, "bigint").asNondeterministic()
+    read = F.arrow_udf(_read, WALKED_TYPE).asNondeterministic()
     held = F.coalesce(F.col(body), F.unhex(F.lit("")))  # a missing body is an empty one
     total = F.octet_length(held).cast("bigint")
-    first = df.withColumn("_first", walk(F.substring(held, 1, prefix), total))
-    again = first.withColumn("_again", walk(F.when(F.col("_first.cut"), held), total))
-    walked = again.withColumn("_walked", F.coalesce("_again", "_first")).drop("_first", "_again")
+    size = measure(F.when(total > prefix, F.substring(held, 1, prefix)), total)
+    measured = df.withColumn("_size", F.coalesce(size, total))
     w = F.col("_walked")
     error = F.struct(w["reason"].alias("reason"), w["need"].alias("need"), w["have"].alias("have"))
-    return walked.select(
+    return measured.withColumn("_walked", read(F.substring(held, 1, F.col("_size").cast("int")))).select(
         *df.columns,
         *[w[c].alias(c) for c in HEADER_COLUMNS],
         (total - w["header_len"]).alias("doc_bytes"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from platenlog.operators.attributes import explode_attributes, typed_values
 from platenlog.operators.decode import decode_messages, document_tail, request_columns, split_rejects
-from platenlog.operators.walk import walk_headers
+from platenlog.operators.walk import measure_headers, read_headers
 from platenlog.sources.messages import read_messages
 from platenlog.streaming.admission import judged_messages
 from tests.messages import CHARSET, LANGUAGE, URI, attr, message, plain_read
@@ -17,9 +17,13 @@ from tests.messages import CHARSET, LANGUAGE, URI, attr, message, plain_read
 TOKEN = ("group_pos", "delimiter", "pos", "attr_pos", "value_pos", "tag", "name", "value")
 
 
-def walked(bodies, cut=None):
-    parts = [b if cut is None else b[:cut] for b in bodies]
-    return walk_headers(pa.array(parts, pa.binary()), pa.array([len(b) for b in bodies], pa.int64())).to_pylist()
+def walked(bodies):
+    return read_headers(pa.array(bodies, pa.binary())).to_pylist()
+
+
+def measured(bodies, prefix):
+    totals = pa.array([len(b) for b in bodies], pa.int64())
+    return measure_headers(pa.array([b[:prefix] for b in bodies], pa.binary()), totals).to_pylist()
 
 
 def as_plain(row):
@@ -57,29 +61,25 @@ def test_walk_equals_plain_reading():
     bodies = [random_body(rng) for _ in range(4000)] + [rng.randbytes(rng.randrange(40)) for _ in range(500)]
     for body, row in zip(bodies, walked(bodies)):
         assert as_plain(row) == plain_read(body), body
-        assert not row["cut"]
 
 
-def test_cut_prefix_asks_for_the_rest_only_when_needed():
+def test_measured_bytes_decide_as_the_whole_body_does():
     rng = random.Random(8)
     bodies = [random_body(rng) for _ in range(2000)]
-    rerun = 0
-    for body, row in zip(bodies, walked(bodies, cut=30)):
-        if row["cut"]:
-            rerun += 1
-            assert len(body) > 30
-        else:
-            assert as_plain(row) == plain_read(body)
-    assert 0 < rerun < len(bodies)
+    for prefix in (0, 5, 30, 4096):
+        sizes = measured(bodies, prefix)
+        for body, size, row in zip(bodies, sizes, walked([b[:n] for b, n in zip(bodies, sizes)])):
+            assert as_plain(row) == plain_read(body), body
+    headers = [b for b in bodies if len(plain_read(b)) == 4]
+    assert measured(headers, 4096) == [min(plain_read(b)[1] + 1, len(b)) for b in headers]
 
 
-def test_sliced_and_null_batches():
-    bodies = pa.array([message(2, b"\x01", CHARSET), None, b"", message(4, b"\x01", URI)], pa.binary())
-    totals = pa.array([1, 1, 0, 1], pa.int64())
-    rows = walk_headers(bodies.slice(1), totals.slice(1)).to_pylist()
-    assert rows[0] is None
-    assert (rows[1]["need"], rows[1]["have"]) == (1, 0)
-    assert [t["name"] for t in rows[2]["tokens"]] == ["printer-uri"]
+def test_sliced_batches():
+    bodies = pa.array([message(2, b"\x01", CHARSET), b"", message(4, b"\x01", URI)], pa.binary())
+    rows = read_headers(bodies.slice(1)).to_pylist()
+    assert (rows[0]["need"], rows[0]["have"]) == (1, 0)
+    assert [t["name"] for t in rows[1]["tokens"]] == ["printer-uri"]
+    assert read_headers(bodies.slice(0, 0)).to_pylist() == []
 
 
 @pytest.fixture(scope="module")
@@ -197,4 +197,4 @@ def test_reading_one_body_per_file(spark, named, tmp_path):
 def test_only_prefixes_reach_python_and_once(spark, named):
     plan = request_columns(decode_messages(named[1])).where("op_code = 2").select("job_name")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [") == 2
-    assert "substring(coalesce(body" in plan and "Exchange" not in plan
+    assert "_measure(CASE WHEN" in plan and "_read(substring(coalesce(body" in plan and "Exchange" not in plan
