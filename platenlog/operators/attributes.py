@@ -28,7 +28,7 @@ def value_islands(tokens: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
 
 
 def collect_values(islands: DataFrame, keys: list[str], order: str, value: Column | str) -> DataFrame:
-    """The values of each attribute, in order, as one array."""
+    """The values of each attribute, in order, as one array; a message body bounds its length."""
     column = F.col(value) if isinstance(value, str) else value
     pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), column.alias("v"))))
     return islands.groupBy(*keys).agg(

@@ -16,15 +16,17 @@ JOB_COLUMNS = [
 ]
 
 
-def assign_job_ids(requests: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
+def assign_job_ids(requests: DataFrame, block_bits: int = BLOCK_BITS, drawn: DataFrame | None = None) -> DataFrame:
     """The requests that draw a job id, with ``job_id`` counted from 1 per session in ``seq`` order.
 
+    ``drawn`` (``session_id, last_id``) are ids drawn before; counting goes on from there.
+
     Candidates are numbered before the space check, so a print refused for
     space, or one whose write failed, leaves a gap.
     """
     judged = requests if "status" in requests.columns else admission(requests)
     candidates = judged.where(takes_job_id(judged))
-    return running_sum(candidates, ["session_id"], "seq", F.lit(1), "job_id", block_bits)
+    return running_sum(candidates, ["session_id"], "seq", F.lit(1), "job_id", block_bits, drawn)
 
 
 def job_rows(numbered: DataFrame) -> DataFrame:

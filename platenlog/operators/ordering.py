@@ -15,13 +15,22 @@ from pyspark.sql import functions as F
 from platenlog.plans.session import shared_folder
 
 BLOCK_BITS = 20
+FIRST_BLOCK = -(1 << 63)
 
 
 def running_sum(
-    df: DataFrame, keys: list[str], order: str, amount: Column, name: str, block_bits: int = BLOCK_BITS
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    amount: Column,
+    name: str,
+    block_bits: int = BLOCK_BITS,
+    opening: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``name``: the sum of ``amount`` over the rows of the key up to this one.
 
+    ``opening`` (the keys and a last column) gives keys a balance to start from.
+
     ``order`` is an integer that no two rows of a key share, so a block (equal
     high bits) holds at most ``2**block_bits`` rows whatever the key holds, and a
     key has at most ``range >> block_bits`` blocks. The block is a function of
@@ -31,6 +40,10 @@ def running_sum(
     block = F.shiftright(F.col(order).cast("bigint"), block_bits)
     amount = amount.cast("bigint")
     blocks = df.groupBy(*keys, block.alias("_block")).agg(F.sum(amount).alias("_total"))
+    if opening is not None:
+        # One more block per key, before all others.
+        balance = F.col(opening.columns[-1]).cast("bigint").alias("_total")
+        blocks = blocks.unionByName(opening.select(*keys, F.lit(FIRST_BLOCK).alias("_block"), balance))
     earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     starts = (
         blocks.withColumn("_before", F.sum("_total").over(earlier))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from platenlog.functions import codes, numbers
 from platenlog.operators.admission import admission
@@ -52,7 +53,8 @@ OPTIONAL = ["has_group", "write_ok"]
 
 def lay_down(spark: SparkSession, path: str, schema: str, partition: str = "batch_id") -> None:
     """An empty table where there is none yet, so that the first batch has one to read."""
-    spark.createDataFrame([], schema).write.mode("append").partitionBy(partition).parquet(path)
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)]
+    spark.range(0, 0, 1, 1).select(*columns).write.mode("append").partitionBy(partition).parquet(path)
 
 
 def _replace(rows: DataFrame, path: str, partition: str) -> None:
@@ -105,11 +107,7 @@ def registry_step(spark: SparkSession, path: str) -> Step:
     def step(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         before = read_snapshot(session, f"{path}/counters", COUNTERS, batch_id - 1)
-        numbered = (
-            assign_job_ids(admission(_slim(batch)))
-            .join(before, "session_id", "left")
-            .withColumn("job_id", F.col("job_id") + F.coalesce("last_id", F.lit(0)))
-        )
+        numbered = assign_job_ids(admission(_slim(batch)), drawn=before.select("session_id", "last_id"))
         write_batch(job_rows(numbered), f"{path}/draws", batch_id)
         # From what was written, so ids and counters cannot disagree. Ids drawn
         # count, not jobs stored: a refused print has used one up.

@@ -115,6 +115,14 @@ def test_running_sum_of_any_amount_and_negative_positions(spark):
     assert {(r.k, r.p): r.total for r in got} == want
 
 
+def test_ids_go_on_from_those_drawn(spark):
+    rows = [request(seq, session="ab"[seq % 2]) for seq in range(40)]
+    drawn = spark.createDataFrame([("a", 100), ("c", 7)], "session_id STRING, last_id BIGINT")
+    for bits in (2, 20):
+        got = {r.seq: r.job_id for r in assign_job_ids(spark.createDataFrame(rows, SCHEMA), bits, drawn).collect()}
+        assert got == {seq: seq // 2 + 1 + (100 if seq % 2 == 0 else 0) for seq in range(40)}
+
+
 def test_rank_of_a_hot_key_with_ties(spark):
     rng = random.Random(5)
     rows = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(20)}", rng.randrange(4), f"n{i}") for i in range(3000)]
