@@ -146,9 +146,13 @@ def attribute_query(requests: DataFrame, devices: DataFrame) -> DataFrame:
     with its attributes as an array. The join moves one row per request, the
     array is filtered in place and only what is wanted is exploded. Requests
     sit on the streamed side, where a much-asked device is split.
+
+    Size estimates are far too low for array columns, and a broadcast chosen by
+    them is not taken back at run time, so the join is told to be a merge join:
+    what it moves of a request is a few values.
     """
     asked = requests.select("seq", "device_id", "wanted")
-    held = devices.select(F.col("device_id").alias("_device"), "attributes")
+    held = devices.select(F.col("device_id").alias("_device"), "attributes").hint("merge")
     wanted = F.col("wanted")
     mine = F.filter("attributes", lambda a: is_wanted(wanted, a["name"]))
     return (

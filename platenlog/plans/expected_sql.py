@@ -399,6 +399,7 @@ EXPECTED = {
                CASE WHEN gate = 200 THEN coalesce(wrong, reason) END AS reason FROM g""",
     "read_messages": f"""WITH {REQUESTS} SELECT op_code AS code, count(*) AS messages,
         CAST(sum(doc_bytes) AS BIGINT) AS doc_bytes FROM requests GROUP BY op_code""",
+    "capture_registry": f"WITH {JOBS} SELECT {JOB_COLUMNS} FROM jobs",
     "archive_documents": f"WITH {JOBS} SELECT session_id, file_name, size_bytes, time_created AS modified_s FROM jobs",
     "presence_intervals": _presence(3600),
     "presence_record_lifetime": _presence(120),

@@ -16,6 +16,7 @@ from platenlog.operators import attributes, catalogue, decode, presence, rollups
 from platenlog.operators.admission import admission, dispatch, gate
 from platenlog.operators.jobs import assign_job_ids, job_lookup, print_answers, register_jobs
 from platenlog.plans.capture import attribute, capture, fixed, text
+from platenlog.plans.flow import registry_from_requests, requests_from_capture
 from platenlog.plans.requests import request_log, table
 from platenlog.plans.session import work_path
 from platenlog.sources.devices import device_attributes, device_snapshots
@@ -474,6 +475,14 @@ def judged(spark, sf_dir):
     return judged_messages(messages).select("seq", "http_status", "status", "reason")
 
 
+def capture_registry(spark, sf_dir):
+    """The whole way: stored bodies, judged requests, registry."""
+    bodies = work_path(spark, "capture")
+    capture(request_log(spark, sf_dir, payload=True)).write.parquet(bodies)
+    requests = requests_from_capture(read_messages(spark, bodies, "parquet"), work_path(spark, "requests"))
+    return registry_from_requests(requests, work_path(spark, "registry"))
+
+
 def stored_messages(spark, sf_dir):
     path = work_path(spark, "capture")
     capture(request_log(spark, sf_dir, payload=True)).write.parquet(path)
@@ -633,6 +642,7 @@ REPORTS = {
     "reject_rollup": reject_rollup,
     "judged_messages": judged,
     "read_messages": stored_messages,
+    "capture_registry": capture_registry,
     "archive_documents": archived_documents,
     "presence_intervals": partial(presence_intervals, ttl=3600),
     "presence_record_lifetime": presence_intervals,

@@ -82,3 +82,10 @@ def test_plans(spark):
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint>" in plan(frames["presence"])
     devices = reports.devices_of(spark, SF, "customer", "c_custkey", "c_name")
     assert "c_acctbal" not in plan(attributes.attribute_query(reports.asking_rows(spark, SF), device_snapshots(devices)))
+
+
+def test_device_arrays_are_not_broadcast(spark):
+    answers = reports.attribute_query(spark, SF)
+    answers.collect()
+    joins = re.findall(r"\w+Join.* \[device_id.*", plan(answers).split("Initial Plan")[0])
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
