@@ -6,7 +6,6 @@ first-wins look-ups and the request columns are array expressions.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,14 +17,6 @@ PREFIX_BYTES = 4096
 HEADER_COLUMNS = ["major", "minor", "code", "request_id", "header_len", "groups", "tokens"]
 
 
-def _measure(prefixes: pa.Array, totals: pa.Array) -> pa.Array:
-    return measure_headers(prefixes, totals)
-
-
-def _read(bodies: pa.Array) -> pa.Array:
-    return read_headers(bodies)
-
-
 def decode_messages(df: DataFrame, body: str = "body", prefix: int = PREFIX_BYTES) -> DataFrame:
     """Add header columns, ``groups``, ``tokens``, ``doc_bytes`` and ``error`` (NULL when sound).
 
@@ -37,8 +28,8 @@ def decode_messages(df: DataFrame, body: str = "body", prefix: int = PREFIX_BYTE
     The two steps are declared not deterministic, so that a filter on decoded
     columns does not make Spark run them a second time below itself.
     """
-    measure = F.arrow_udf(_measure, "bigint").asNondeterministic()
-    read = F.arrow_udf(_read, WALKED_TYPE).asNondeterministic()
+    measure = F.arrow_udf(measure_headers, "bigint").asNondeterministic()
+    read = F.arrow_udf(read_headers, WALKED_TYPE).asNondeterministic()
     held = F.coalesce(F.col(body), F.unhex(F.lit("")))  # a missing body is an empty one
     total = F.octet_length(held).cast("bigint")
     size = measure(F.when(total > prefix, F.substring(held, 1, prefix)), total)

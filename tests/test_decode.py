@@ -1,7 +1,10 @@
 """Decoding: the named bodies, the cases that are easily got wrong, and random bodies against a plain reading."""
 
+import os
 import random
 import struct
+import subprocess
+import sys
 
 import pyarrow as pa
 import pytest
@@ -197,4 +200,23 @@ def test_reading_one_body_per_file(spark, named, tmp_path):
 def test_only_prefixes_reach_python_and_once(spark, named):
     plan = request_columns(decode_messages(named[1])).where("op_code = 2").select("job_name")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [") == 2
-    assert "_measure(CASE WHEN" in plan and "_read(substring(coalesce(body" in plan and "Exchange" not in plan
+    assert "measure_headers(CASE WHEN" in plan and "read_headers(substring(coalesce(body" in plan and "Exchange" not in plan
+
+
+DRIVER_ONLY = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from platenlog.operators.decode import decode_messages
+from platenlog.plans.session import build_session
+spark = build_session("local[1]", "elsewhere", 1)
+print(decode_messages(spark.sql("SELECT X'0101000B0000002A0103' AS body")).first().header_len)
+"""
+
+
+def test_executors_need_no_package(tmp_path):
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, "-c", DRIVER_ONLY, repo], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120
+    )
+    assert done.stdout.strip().endswith("10"), done.stderr[-2000:]
