@@ -23,7 +23,7 @@ def tables():
     return database(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(reports.REPORTS))
 def test_query(spark, tables, name):
     got = entry.queries()[name](spark, SF).toPandas()
     assert len(got) > 0
