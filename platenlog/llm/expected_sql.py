@@ -73,8 +73,65 @@ select doc_id, piece, first_word, n_tokens, cast(bucket as int) as bucket, bucke
 from numbered
 """
 
+DECONTAMINATION = r"""
+with d as (
+    select doc_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+    from documents
+), i as (
+    select item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+    from benchmark
+), ds as (
+    select distinct doc_id, array_to_string(w[k:k + 4], ' ') as s from (
+        select doc_id, w, unnest(range(1, len(w) - 3)) as k from d)
+), its as (
+    select distinct item_id, array_to_string(w[k:k + 4], ' ') as s from (
+        select item_id, w, unnest(range(1, len(w) - 3)) as k from i)
+), sizes as (select item_id, count(*) as n_shingles from its group by item_id)
+select ds.doc_id, its.item_id, count(*) as n_shared, n_shingles, count(*) / n_shingles as containment
+from ds join its using (s) join sizes using (item_id)
+group by ds.doc_id, its.item_id, n_shingles having count(*) >= ceil(0.8 * n_shingles - 1e-9)
+"""
+
+# A line goes if an equal or (from 20 characters up) one-edit line comes earlier; pairs one
+# edit apart agree on the first or on the last half of the longer one.
+LINES = """
+with docs_ as (
+    select row_number() over () as r, doc_id, text, string_split(coalesce(text, ''), chr(10)) as ls from documents
+), all_ as (
+    select r, doc_id, unnest(ls) as line, unnest(range(len(ls))) as n from docs_
+), occ as (
+    select *, row_number() over (order by doc_id, n) as at_ from all_ where trim(line, ' ') <> ''
+), uniq as materialized (
+    select line, min(at_) as first_, length(line) as len_ from occ group by line
+), halves as materialized (
+    select line, first_, len_, t, side,
+        case side when 0 then left(line, t // 2) else right(line, t - t // 2) end as half
+    from uniq, (values (0), (1)) s(side), lateral (select unnest([len_, len_ + 1]) as t) where len_ >= 20
+), pairs as (
+    select distinct x.line as a, y.line as b
+    from halves x join halves y using (t, side, half)
+    where x.first_ > y.first_ and greatest(x.len_, y.len_) = t
+), near as (
+    select distinct a as line from pairs
+    where len(list_filter(range(0, greatest(length(a), length(b))), lambda p:
+        left(a, p) = left(b, p) and (
+            (length(a) = length(b) and substr(a, p + 2) = substr(b, p + 2))
+            or (length(a) = length(b) + 1 and substr(a, p + 2) = substr(b, p + 1))
+            or (length(b) = length(a) + 1 and substr(b, p + 2) = substr(a, p + 1))))) > 0
+), judged as (
+    select o.r, o.n, o.line, (o.at_ > u.first_ or x.line is not null) as gone
+    from occ o join uniq u using (line) left join near x using (line)
+), parts as (
+    select a.r, a.n, a.line, coalesce(j.gone, false) as gone from all_ a left join judged j on j.r = a.r and j.n = a.n
+)
+select d.doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed,
+    sha256(coalesce(string_agg(line, chr(10) order by n) filter (not gone), '')) as kept_sha256
+from parts join docs_ d using (r) group by d.r, d.doc_id
+"""
 
 EXPECTED = {
     "op1_packing": packing_sql(2048, 8, 16_384),
     "op6_chat": CHAT,
+    "op8_lines": LINES,
+    "op10_decontamination": DECONTAMINATION,
 }

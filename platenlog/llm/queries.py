@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platenlog.llm import chat, packing, pii, sharding
+from platenlog.llm import ann, chat, decontamination, language, lines, packing, pii, sharding, simhash
 
 SHARDS = 40
 
@@ -18,6 +18,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
@@ -52,13 +62,37 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id",
+        F.col("__lines").alias("n_lines"),
+        F.col("__removed").alias("n_removed"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_simhash": op2_simhash,
+    "op4_language": op4_language,
     "op5_sharding": op5_sharding,
     "op6_chat": op6_chat,
+    "op7_ann": op7_ann,
+    "op8_lines": op8_lines,
     "op9_pii": op9_pii,
+    "op10_decontamination": op10_decontamination,
 }
