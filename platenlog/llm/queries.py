@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platenlog.llm import ann, chat, decontamination, language, lines, packing, pii, sharding, simhash
+from platenlog.llm import ann, chat, decontamination, language, lines, packing, pii, sharding, simhash, substrings
 
 SHARDS = 40
 
@@ -24,6 +24,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -88,6 +92,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
+    "op3_substrings": op3_substrings,
     "op4_language": op4_language,
     "op5_sharding": op5_sharding,
     "op6_chat": op6_chat,
