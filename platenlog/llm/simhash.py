@@ -74,7 +74,9 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     one shingle, and a null, empty or blank text has fingerprint 0.
     """
     rows = docs.select(
-        F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("content"), F.col(text).cast("binary").alias("text")
+        F.col(doc_id).cast("bigint").alias("doc_id"),
+        F.xxhash64(text).alias("content"),
+        F.col(text).cast("binary").alias("text"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +153,9 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, crowd: int = CROWD
 ) -> DataFrame:
-    """``doc_id, content, fp, component_id``, one row per row of ``docs``.
+    """``doc_id, content, fp, root, component_id``, one row per row of ``docs``.
 
+    ``root`` is the smallest fingerprint that links lead to and tells components apart.
     ``component_id`` is the smallest id that links lead to, its own included. A
     null id never is a component's id unless the component has no other. Rows
     that repeat are rows of the same component; other columns are ignored; an
@@ -167,8 +170,8 @@ def near_duplicates(
         "root", F.coalesce("root", "fp")
     )
     heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(heads, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "content", "fp", "component_id")
+    named = rooted.join(heads, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "content", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -178,16 +181,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     the hash of its text. Exact repeats of a row count as one.
     """
     found = near_duplicates(docs, doc_id, text, words)
-    # Components without any id have no name of their own; each keeps a row by fingerprint.
-    nameless = (
-        found.where(F.col("component_id").isNull()).groupBy("fp").agg(F.min("content").alias("content"))
-    ).select(F.lit(None).cast("bigint").alias("__id"), F.col("content").alias("__content"))
     winners = (
-        found.where(F.col("doc_id") == F.col("component_id"))
-        .groupBy("component_id")
+        found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("root", F.col("component_id").alias("__id"))
         .agg(F.min("content").alias("__content"))
-        .select(F.col("component_id").alias("__id"), "__content")
-        .unionByName(nameless)
+        .select("__id", "__content")
     )
     return pick_rows(docs, winners, doc_id, text)
 
