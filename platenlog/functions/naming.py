@@ -14,7 +14,8 @@ NAME_LENGTH = 64
 
 def safe_name(name: Column | str) -> Column:
     """Letters, digits and ``- _ .`` survive, anything else becomes ``_``; 64 characters at most."""
-    return F.substring(F.regexp_replace(_col(name), KEPT_IN_NAMES, "_"), 1, NAME_LENGTH)
+    # One character for one, so it is cut before it is cleaned.
+    return F.regexp_replace(F.substring(_col(name), 1, NAME_LENGTH), KEPT_IN_NAMES, "_")
 
 
 def file_name(epoch: Column | str, job_id: Column | str, name: Column | str) -> Column:

@@ -8,6 +8,7 @@ delimiter, attr_pos, name, value_pos, tag, value``.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from platenlog.functions import codes
@@ -18,7 +19,12 @@ from platenlog.operators.ordering import BLOCK_BITS, running_sum
 
 def explode_attributes(decoded: DataFrame, *keys: str) -> DataFrame:
     """One row per message, group, attribute and value; values with no attribute before them are dropped."""
-    return decoded.select(*keys, F.inline("tokens")).where(F.col("attr_pos") > 0).drop("pos")
+    # The names of the attributes, once each; a value finds that of its own by number.
+    names = F.transform(F.filter("tokens", lambda t: (t["attr_no"] > 0) & (t["value_pos"] == 1)), lambda t: t["name"])
+    held = decoded.select(*keys, names.alias("_names"), "tokens")
+    values = held.select(*keys, "_names", F.inline("tokens")).where(F.col("attr_pos") > 0)
+    own = [c for c in values.columns if c not in ("pos", "attr_no", "_names")]
+    return values.withColumn("name", F.get("_names", F.col("attr_no") - 1)).select(*own)
 
 
 def value_islands(tokens: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
@@ -93,24 +99,37 @@ def typed_values(tokens: DataFrame, value: str = "value") -> DataFrame:
 
 
 def first_group(attributes: DataFrame, delimiter: int = codes.OPERATION_GROUP) -> DataFrame:
-    """Only the attributes of the first group with that delimiter, per message."""
+    """Only the attributes of the first group with that delimiter, per message.
+
+    One shuffle by message, whose rows a message body bounds; the two look-ups
+    below do without the rows and combine before the shuffle.
+    """
     same = attributes.where(F.col("delimiter") == delimiter)
-    first = same.groupBy("msg").agg(F.min("group_pos").alias("group_pos"))
-    return same.join(first, ["msg", "group_pos"], "left_semi")
+    first = F.min("group_pos").over(W.partitionBy("msg"))
+    return same.withColumn("_first", first).where(F.col("group_pos") == F.col("_first")).drop("_first")
 
 
-def first_value(attributes: DataFrame, name: str, tags: list[int], default) -> DataFrame:
-    """Per message, the first value of the first attribute of that name.
+def first_value(
+    attributes: DataFrame, name: str, tags: list[int], default, delimiter: int = codes.OPERATION_GROUP
+) -> DataFrame:
+    """Per message, the first value of the first attribute of that name in its first group of that delimiter.
 
     A wrong type falls to the default, it does not look further. One row per
-    message of the input, whether or not it has the attribute: the aggregate
+    message that has such a group, whether or not it has the attribute: the aggregate
     combines on the map side, so a message of any length sends on one row.
     """
     hit = F.col("name") == name
     order = F.when(hit, F.struct("group_pos", "attr_pos", "value_pos"))
-    found = F.min_by(F.when(hit, F.struct("tag", "value")), order)
-    per_message = attributes.groupBy("msg").agg(found.alias("_found"))
-    value = F.when(F.col("_found.tag").isin(*tags), F.col("_found.value"))
+    found = F.min_by(F.when(hit, F.struct("group_pos", "tag", "value")), order)
+    per_message = (
+        attributes.where(F.col("delimiter") == delimiter)
+        .groupBy("msg")
+        .agg(found.alias("_found"), F.min("group_pos").alias("_first"))
+    )
+    # The first of all hits is in the first group, or that group has none.
+    value = F.when(
+        (F.col("_found.group_pos") == F.col("_first")) & F.col("_found.tag").isin(*tags), F.col("_found.value")
+    )
     return per_message.select("msg", F.coalesce(value, F.lit(default)).alias("value"))
 
 
@@ -122,9 +141,11 @@ def requested_attributes(attributes: DataFrame) -> DataFrame:
     word = F.when((F.col("name") == "requested-attributes") & (F.col("tag") == codes.KEYWORD), F.col("value"))
     words = F.collect_set(word)
     return (
-        first_group(attributes)
-        .groupBy("msg")
+        attributes.where(F.col("delimiter") == codes.OPERATION_GROUP)
+        .groupBy("msg", "group_pos")
         .agg(words.alias("_words"))
+        .groupBy("msg")
+        .agg(F.min_by("_words", "group_pos").alias("_words"))
         .select("msg", F.when(F.size("_words") > 0, F.col("_words")).alias("wanted"))
     )
 

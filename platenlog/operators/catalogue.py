@@ -6,14 +6,11 @@ A listing row is ``session_id, file_name, size_bytes, modified``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from platenlog.functions import codes, display, numbers
 from platenlog.operators.ordering import rank_within
 
-# Up to this rank Spark trims each session to its newest rows before the shuffle.
-GROUP_LIMIT = 1000
 FILE_NAME_PARTS = r"^(\d+)_(\d+)_([\s\S]*)\.pdf$"
 
 
@@ -40,17 +37,14 @@ def page_numbers(files: DataFrame, size: int = codes.PAGE_SIZE) -> DataFrame:
 
 
 def page(files: DataFrame, k: int, size: int = codes.PAGE_SIZE) -> DataFrame:
-    """Page ``k`` of every session; sessions that have no such page show page 0."""
-    deepest = (k + 1) * size
-    if deepest < GROUP_LIMIT:
-        newest = W.partitionBy("session_id").orderBy(F.desc("modified"), "file_name")
-        ranked = files.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= deepest)
-        placed = ranked.withColumn("page", F.floor((F.col("_rank") - 1) / size).cast("bigint")).withColumn(
-            "position", (F.col("_rank") - 1).cast("bigint")
-        ).drop("_rank")
-    else:
-        placed = page_numbers(files, size)
-    known = archive_counts(files, size)
+    """Page ``k`` of every session; sessions that have no such page show page 0.
+
+    Adds ``position, page, files, pages``. Files are numbered as in ``page_numbers``,
+    whatever the page, so a hot session is never in one task; the counts are those of the same numbers.
+    """
+    placed = page_numbers(files, size)
+    known = placed.groupBy("session_id").agg((F.max("position") + 1).alias("files"))
+    known = known.withColumn("pages", numbers.pages("files", size))
     shown = F.when(F.col("pages") > k, F.lit(k)).otherwise(0)
     return placed.join(known, "session_id").where(F.col("page") == shown)
 

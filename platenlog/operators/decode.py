@@ -11,35 +11,40 @@ from pyspark.sql import functions as F
 
 from platenlog.functions import codes
 from platenlog.functions.numbers import be_int
-from platenlog.operators.walk import WALKED_TYPE, measure_headers, read_headers
+from platenlog.operators.walk import WALKED_TYPE, read_headers
 
-PREFIX_BYTES = 4096
+# Bytes of a body that are read at first, and where the header goes on, next; at last all.
+PREFIXES = (1 << 12, 1 << 16, 1 << 20, 1 << 24)
 HEADER_COLUMNS = ["major", "minor", "code", "request_id", "header_len", "groups", "tokens"]
 
 
-def decode_messages(df: DataFrame, body: str = "body", prefix: int = PREFIX_BYTES) -> DataFrame:
+def decode_messages(df: DataFrame, body: str = "body", prefixes: tuple[int, ...] = PREFIXES) -> DataFrame:
     """Add header columns, ``groups``, ``tokens``, ``doc_bytes`` and ``error`` (NULL when sound).
 
-    Of a body longer than ``prefix`` Python first gets that prefix, to measure the
-    header, and then exactly the header to read; only where the prefix ends
-    inside the header does it get all of it. Document bytes never come back: the body column stays on the JVM side and
-    ``document_tail`` cuts it by ``header_len``.
+    Python gets the first of ``prefixes`` of every body, and of the few whose header
+    goes on behind it the next one, so a message is walked once in the common
+    case and never sent whole for a byte too much. Document bytes never come back: the body
+    column stays on the JVM side and ``document_tail`` cuts it by ``header_len``.
 
-    The two steps are declared not deterministic, so that a filter on decoded
+    The steps are declared not deterministic, so that a filter on decoded
     columns does not make Spark run them a second time below itself.
     """
-    measure = F.arrow_udf(measure_headers, "bigint").asNondeterministic()
     read = F.arrow_udf(read_headers, WALKED_TYPE).asNondeterministic()
     held = F.coalesce(F.col(body), F.unhex(F.lit("")))  # a missing body is an empty one
     total = F.octet_length(held).cast("bigint")
-    size = measure(F.when(total > prefix, F.substring(held, 1, prefix)), total)
-    measured = df.withColumn("_size", F.coalesce(size, total))
+    walked, steps = df.withColumn("_total", total), []
+    for step, prefix in enumerate([*prefixes, None]):
+        part = held if prefix is None else F.substring(held, 1, prefix)
+        if steps:
+            part = F.when(F.coalesce(*steps).isNull(), part)
+        walked = walked.withColumn(f"_walked{step}", read(part, F.col("_total")))
+        steps.append(F.col(f"_walked{step}"))
     w = F.col("_walked")
     error = F.struct(w["reason"].alias("reason"), w["need"].alias("need"), w["have"].alias("have"))
-    return measured.withColumn("_walked", read(F.substring(held, 1, F.col("_size").cast("int")))).select(
+    return walked.withColumn("_walked", F.coalesce(*steps)).select(
         *df.columns,
         *[w[c].alias(c) for c in HEADER_COLUMNS],
-        (total - w["header_len"]).alias("doc_bytes"),
+        (F.col("_total") - w["header_len"]).alias("doc_bytes"),
         F.when(w["reason"].isNotNull(), error).alias("error"),
     )
 
@@ -76,10 +81,12 @@ def first_token(name: str, group: Column | None = None) -> Column:
 def wanted_attributes(group: Column | None = None) -> Column:
     """Keywords of every requested-attributes in the group; NULL asks for everything."""
     at = operation_group() if group is None else group
-    asked = F.filter(
-        "tokens",
-        lambda t: (t["group_pos"] == at) & (t["name"] == "requested-attributes") & (t["tag"] == codes.KEYWORD),
+    # Values added to an attribute have its number but no name.
+    own = F.transform(
+        F.filter("tokens", lambda t: (t["group_pos"] == at) & (t["name"] == "requested-attributes")),
+        lambda t: t["attr_no"],
     )
+    asked = F.filter("tokens", lambda t: F.array_contains(own, t["attr_no"]) & (t["tag"] == codes.KEYWORD))
     words = F.transform(asked, lambda t: t["value"].cast("string"))
     return F.when(F.size(words) > 0, words)
 

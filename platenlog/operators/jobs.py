@@ -102,10 +102,11 @@ def print_answers(requests: DataFrame, printer_uri: Column | str, block_bits: in
     """What every print request is told: its status, and the job it made where it made one."""
     judged = admission(requests).where(F.col("op_code") == codes.PRINT_JOB)
     uri = F.col(printer_uri) if isinstance(printer_uri, str) else printer_uri
-    refused = judged.where(~takes_job_id(judged)).withColumn("job_id", F.lit(None).cast("bigint"))
-    numbered = assign_job_ids(judged, block_bits)
+    # All prints in one pass: one that draws no id adds nothing to the count.
+    draws = F.when(takes_job_id(judged), 1).otherwise(0)
+    numbered = running_sum(judged, ["session_id"], "seq", draws, "job_id", block_bits)
     stored = F.col("status") == codes.OK
-    return numbered.unionByName(refused).select(
+    return numbered.select(
         "seq",
         "session_id",
         "status",

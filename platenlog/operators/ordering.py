@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from platenlog.plans.session import shared_folder
 
 BLOCK_BITS = 20
+LEVEL_BITS = 22
 FIRST_BLOCK = -(1 << 63)
 
 
@@ -32,8 +33,10 @@ def running_sum(
     ``opening`` (the keys and a last column) gives keys a balance to start from.
 
     ``order`` is an integer that no two rows of a key share, so a block (equal
-    high bits) holds at most ``2**block_bits`` rows whatever the key holds, and a
-    key has at most ``range >> block_bits`` blocks. The block is a function of
+    high bits) holds at most ``2**block_bits`` rows whatever the key holds. Blocks
+    are summed in levels the same way: the blocks of one group, the groups of one larger
+    group, so that no window holds more than ``2**LEVEL_BITS`` rows of a key even if every block
+    holds one row, as with ids made from the time. The block is a function of
     the row alone: both sides of the join agree however often they are computed.
     Keys must not be NULL.
     """
@@ -44,12 +47,7 @@ def running_sum(
         # One more block per key, before all others.
         balance = F.col(opening.columns[-1]).cast("bigint").alias("_total")
         blocks = blocks.unionByName(opening.select(*keys, F.lit(FIRST_BLOCK).alias("_block"), balance))
-    earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        blocks.withColumn("_before", F.sum("_total").over(earlier))
-        .where(F.col("_before") != 0)
-        .select(*keys, "_block", "_before")
-    )
+    starts = _starts(blocks, keys, block_bits).where(F.col("_before") != 0)
     inside = W.partitionBy(*keys, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     # Most keys fit one block and have no start to add; where all do, the right
     # side is empty at run time and adaptive execution drops the join.
@@ -62,6 +60,25 @@ def running_sum(
     )
 
 
+def _starts(blocks: DataFrame, keys: list[str], bits: int) -> DataFrame:
+    """``_block, _before``: the sum of the totals of a key's earlier blocks, level by level."""
+    group = F.shiftright("_block", LEVEL_BITS)
+    last = bits + LEVEL_BITS >= 64
+    peers = [*keys] if last else [*keys, "_group"]
+    earlier = W.partitionBy(*peers).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    inside = blocks.withColumn("_group", group).withColumn(
+        "_inside", F.coalesce(F.sum("_total").over(earlier), F.lit(0))
+    )
+    if last:
+        return inside.select(*keys, "_block", F.col("_inside").alias("_before"))
+    groups = blocks.groupBy(*keys, group.alias("_block")).agg(F.sum("_total").alias("_total"))
+    above = _starts(groups, keys, bits + LEVEL_BITS).where(F.col("_before") != 0)
+    above = above.select(*keys, F.col("_block").alias("_group"), F.col("_before").alias("_above"))
+    return inside.join(above, [*keys, "_group"], "left").select(
+        *keys, "_block", (F.col("_inside") + F.coalesce("_above", F.lit(0))).alias("_before")
+    )
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     """Add ``name``: the place of each row in its key under any total order, from 1.
 
@@ -70,6 +87,7 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], name: str)
     range bounds come from a sample and must not be drawn twice; pass slim rows.
     """
     shared_folder(df.sparkSession)
+    # Runs when it is called: the bounds must be drawn once, before anything reads them.
     place = [F.col(k) for k in keys] + order
     placed = (
         df.repartitionByRange(*place)

@@ -13,7 +13,9 @@ requests AS (
               WHEN CAST(floor(d.doc_id / 20) AS INT) % 10 = 7 THEN 9
               WHEN CAST(floor(d.doc_id / 20) AS INT) % 10 = 8 THEN 11
               ELSE 18 END AS op_code,
-         CASE WHEN d.doc_id % 13 = 0 THEN 'Untitled' ELSE substring(d.text, 1, 80) END AS job_name,
+         CASE WHEN d.doc_id % 13 = 0 THEN 'Untitled' 
+              ELSE d.source || ' / ' || d.lang || ' №' || d.doc_id || ' é中' || repeat(' seite', d.doc_id % 19)
+              END AS job_name,
          coalesce(c.c_name, 'unknown') AS user_name,
          CASE d.doc_id % 7 WHEN 0 THEN 'image/urf' WHEN 1 THEN 'application/PDF'
               WHEN 2 THEN 'application/octet-stream' ELSE 'application/pdf' END AS document_format,
@@ -24,7 +26,7 @@ requests AS (
          d.text AS text
   FROM documents d
   JOIN events e ON e.event_id = d.doc_id
-  LEFT JOIN customer c ON c.c_custkey = d.doc_id % 100 AND d.doc_id % 5 <> 0
+  LEFT JOIN customer c ON c.c_custkey = d.doc_id % (SELECT max(c_custkey) + 1 FROM customer) AND d.doc_id % 5 <> 0
 )"""
 
 ADMITTED = (
@@ -279,7 +281,7 @@ EXPECTED = {
         {_named("status", codes.CLIENT_STATUSES, "status_name")}, status < 256 AS ok FROM lookups""",
     "device_attributes": f"WITH {_capabilities()}, {_devices('supplier', 's_suppkey', 's_name')} SELECT * FROM held",
     "attribute_query": f"""WITH {REQUESTS}, {_capabilities()}, {_devices('customer', 'c_custkey', 'c_name')}
-        SELECT r.seq, h.* FROM requests r JOIN held h ON h.device_id = r.seq % 150
+        SELECT r.seq, h.* FROM requests r JOIN held h ON h.device_id = r.seq % (SELECT max(c_custkey) + 1 FROM customer)
         WHERE r.op_code = 11
           AND (r.seq % 4 IN (0, 1)
                OR (r.seq % 4 = 2 AND h.name IN ('printer-name', 'printer-state', 'no-such-name'))
@@ -322,6 +324,9 @@ EXPECTED = {
     "later_page": f"""WITH {LISTED}
         SELECT session_id, position, page, file_name, size_bytes, files, pages FROM listed
         WHERE page = CASE WHEN pages > 3 THEN 3 ELSE 0 END""",
+    "deep_page": f"""WITH {LISTED}
+        SELECT session_id, position, page, file_name, size_bytes, files, pages FROM listed
+        WHERE page = CASE WHEN pages > 300 THEN 300 ELSE 0 END""",
     "newest_first": f"WITH {JOBS} SELECT session_id, file_name, size_bytes FROM jobs ORDER BY time_created DESC, file_name",
     "page_numbers": f"WITH {LISTED} SELECT session_id, file_name, position, page FROM listed",
     "archive_counts": f"WITH {LISTED} SELECT DISTINCT session_id, files, pages FROM listed",
@@ -400,7 +405,11 @@ EXPECTED = {
     "read_messages": f"""WITH {REQUESTS} SELECT op_code AS code, count(*) AS messages,
         CAST(sum(doc_bytes) AS BIGINT) AS doc_bytes FROM requests GROUP BY op_code""",
     "capture_registry": f"WITH {JOBS} SELECT {JOB_COLUMNS} FROM jobs",
-    "archive_documents": f"WITH {JOBS} SELECT session_id, file_name, size_bytes, time_created AS modified_s FROM jobs",
+    "archive_documents": f"""WITH {JOBS}
+        SELECT session_id, file_name, size_bytes, time_created AS modified_s, md5(text) AS digest FROM jobs""",
+    "list_archive": f"WITH {JOBS} SELECT session_id, file_name, size_bytes, time_created AS modified_s FROM jobs",
+    "id_blocks": f"WITH {JOBS} SELECT session_id, job_id, created_seq FROM jobs",
+    "value_blocks": f"WITH {TOKENS} SELECT msg, grp, pos, attr_pos FROM islands",
     "presence_intervals": _presence(3600),
     "presence_record_lifetime": _presence(120),
     "stream_admission": f"""WITH {ADMITTED}, {DAMAGE}

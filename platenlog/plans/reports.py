@@ -17,10 +17,10 @@ from platenlog.operators.admission import admission, dispatch, gate
 from platenlog.operators.jobs import assign_job_ids, job_lookup, print_answers, register_jobs
 from platenlog.plans.capture import attribute, capture, fixed, text
 from platenlog.plans.flow import registry_from_requests, requests_from_capture
-from platenlog.plans.requests import request_log, table
+from platenlog.plans.requests import key_range, request_log, table
 from platenlog.plans.session import work_path
 from platenlog.sources.devices import device_attributes, device_snapshots
-from platenlog.sources.documents import archive_in_place, list_documents, notify_jobs, with_file_names
+from platenlog.sources.documents import archive_documents, archive_in_place, list_archive, notify_jobs, with_file_names
 from platenlog.sources.messages import read_message_stream, read_messages
 from platenlog.streaming import registry
 from platenlog.streaming.admission import judged_messages, stream_admission
@@ -28,13 +28,25 @@ from platenlog.streaming.presence import stream_presence
 
 PRINTER_URI = "ipp://192.0.2.1:6310/ipp/print"
 ARRIVALS = 4
+FILES_A_BATCH = 3
 
 
 # --- inputs derived from the tables --------------------------------------------------
 
 
+def slim_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request log as a written table: texts are read once, for their length, however often it is used."""
+    path = work_path(spark, "requests")
+    request_log(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def jobs_in(log: DataFrame) -> DataFrame:
+    return register_jobs(assign_job_ids(log))
+
+
 def jobs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return register_jobs(assign_job_ids(request_log(spark, sf_dir)))
+    return jobs_in(slim_log(spark, sf_dir))
 
 
 def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +150,7 @@ def asking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         request_log(spark, sf_dir)
         .where(F.col("op_code") == codes.GET_PRINTER_ATTRIBUTES)
-        .select("seq", (k % 150).alias("device_id"), wanted.alias("wanted"))
+        .select("seq", (k % key_range(spark, sf_dir)).alias("device_id"), wanted.alias("wanted"))
     )
 
 
@@ -150,13 +162,14 @@ def arrivals(spark: SparkSession, rows: DataFrame, order: str = "seq") -> str:
     top = staged.agg((F.max(order) + 1).alias("n")).first()["n"]
     for i in range(ARRIVALS):
         due = (F.col(order) >= top * i // ARRIVALS) & (F.col(order) < top * (i + 1) // ARRIVALS)
-        staged.where(due).coalesce(1).write.mode("append").parquet(path)
+        # Each arrival is one stretch of the log, in as many files as a batch takes.
+        staged.where(due).repartition(FILES_A_BATCH).write.mode("append").parquet(path)
     return path
 
 
 def arriving_log(spark: SparkSession, sf_dir: str, payload: bool = False) -> DataFrame:
     log = request_log(spark, sf_dir, payload)
-    return read_message_stream(spark, arrivals(spark, log), log.schema, max_files=1)
+    return read_message_stream(spark, arrivals(spark, log), log.schema, max_files=FILES_A_BATCH)
 
 
 # --- requests ------------------------------------------------------------------------
@@ -204,7 +217,8 @@ def id_gaps(spark, sf_dir):
 
 
 def lookup_report(spark, sf_dir):
-    return job_lookup(request_log(spark, sf_dir), jobs_of(spark, sf_dir), F.lit(PRINTER_URI))
+    log = slim_log(spark, sf_dir)
+    return job_lookup(log, jobs_in(log), F.lit(PRINTER_URI))
 
 
 def status_report(spark, sf_dir):
@@ -212,7 +226,7 @@ def status_report(spark, sf_dir):
 
 
 def print_report(spark, sf_dir):
-    return print_answers(request_log(spark, sf_dir), F.lit(PRINTER_URI))
+    return print_answers(slim_log(spark, sf_dir), F.lit(PRINTER_URI))
 
 
 # --- attributes ----------------------------------------------------------------------
@@ -235,8 +249,7 @@ def requested_attributes(spark, sf_dir):
 
 
 def first_value(spark, sf_dir):
-    mine = attributes.first_group(attribute_rows(spark, sf_dir))
-    return attributes.first_value(mine, "job-name", [codes.TEXT, codes.NAME], "Untitled")
+    return attributes.first_value(attribute_rows(spark, sf_dir), "job-name", [codes.TEXT, codes.NAME], "Untitled")
 
 
 def first_group(spark, sf_dir):
@@ -346,10 +359,6 @@ def display_columns(spark, sf_dir):
     return catalogue.display_columns(d.join(e, k == F.col("event_id")))
 
 
-def documents_listed(spark, sf_dir):
-    return list_documents(spark, sf_dir).select("file_name", "size_bytes")
-
-
 # --- functions -----------------------------------------------------------------------
 
 
@@ -530,7 +539,7 @@ def _append(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 def streamed_admission(spark, sf_dir):
     bodies = damaged(spark, sf_dir)
-    stream = read_message_stream(spark, arrivals(spark, bodies), bodies.schema, max_files=1)
+    stream = read_message_stream(spark, arrivals(spark, bodies), bodies.schema, max_files=FILES_A_BATCH)
     path = work_path(spark, "admitted")
     _append(stream_admission(stream), path, work_path(spark, "checkpoint"))
     return spark.read.parquet(path).select("seq", "http_status", "status", "reason")
@@ -556,12 +565,37 @@ def streamed_archive(spark, sf_dir):
 
 
 def archived_documents(spark, sf_dir):
-    """A bulk archive written in place, and its listing under registry names."""
+    """A bulk archive written in place, its payloads' digests under registry names."""
     path = work_path(spark, "archive")
     archive_in_place(admission(request_log(spark, sf_dir, payload=True)), path)
-    archive = spark.read.parquet(path)
-    listed = with_file_names(archive.drop("payload"), jobs_of(spark, sf_dir))
-    return listed.select("session_id", "file_name", "size_bytes", F.unix_seconds("modified").alias("modified_s"))
+    archive = spark.read.parquet(path).withColumn("digest", F.md5("payload")).drop("payload")
+    listed = with_file_names(archive, jobs_of(spark, sf_dir))
+    return listed.select(
+        "session_id", "file_name", "size_bytes", F.unix_seconds("modified").alias("modified_s"), "digest"
+    )
+
+
+def archive_listing(spark, sf_dir):
+    """An archive of named documents, written twice as a retried load would, and listed without its payloads."""
+    placed, path = work_path(spark, "archive"), work_path(spark, "named-archive")
+    archive_in_place(admission(request_log(spark, sf_dir, payload=True)), placed)
+    named = with_file_names(spark.read.parquet(placed), jobs_of(spark, sf_dir))
+    for _ in range(2):
+        archive_documents(named, path)
+    return list_archive(spark, path).select(
+        "session_id", "file_name", "size_bytes", F.unix_seconds("modified").alias("modified_s")
+    )
+
+
+def id_blocks(spark, sf_dir):
+    """Job ids counted over many small blocks, and over sequence numbers as far apart as time-based ones."""
+    far = slim_log(spark, sf_dir).withColumn("seq", F.shiftleft("seq", 22))
+    numbered = assign_job_ids(far, block_bits=24).where(F.col("status") == codes.OK)
+    return numbered.select("session_id", "job_id", F.shiftright("seq", 22).alias("created_seq"))
+
+
+def value_blocks(spark, sf_dir):
+    return attributes.value_islands(token_rows(spark, sf_dir), block_bits=8).select("msg", "grp", "pos", "attr_pos")
 
 
 def streamed_lookups(spark, sf_dir):
@@ -623,12 +657,12 @@ REPORTS = {
     "typed_values": typed_values,
     "newest_page": partial(listing_page, k=0),
     "later_page": partial(listing_page, k=3),
+    "deep_page": partial(listing_page, k=300),
     "newest_first": newest_first,
     "page_numbers": page_numbers,
     "archive_counts": archive_counts,
     "catalogue_from_names": catalogue_from_names,
     "display_columns": display_columns,
-    "list_documents": documents_listed,
     "name_functions": name_functions,
     "safe_names": safe_names,
     "number_functions": number_functions,
@@ -644,6 +678,9 @@ REPORTS = {
     "read_messages": stored_messages,
     "capture_registry": capture_registry,
     "archive_documents": archived_documents,
+    "list_archive": archive_listing,
+    "id_blocks": id_blocks,
+    "value_blocks": value_blocks,
     "presence_intervals": partial(presence_intervals, ttl=3600),
     "presence_record_lifetime": presence_intervals,
     "stream_admission": streamed_admission,

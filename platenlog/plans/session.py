@@ -55,13 +55,19 @@ def build_session(master: str, app: str, shuffle_partitions: int, **settings: st
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    Only a session that names none (a local test) gets a folder of its own.
+    Only a local session that names none (a test) gets a folder of its own; on a
+    cluster the executors could not read one that the driver made up. What is left
+    there belongs to the session and can go when it has ended.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    named = named or context.getCheckpointDir()
     if named is None:
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="spark-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
     return named
 
 

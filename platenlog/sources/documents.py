@@ -18,11 +18,11 @@ def archive_documents(documents: DataFrame, path: str, batch_id: int | None = No
 
     For rows that already have a name, as in a micro-batch; names of a bulk load
     come from numbering its requests, see ``archive_in_place``. With a batch id
-    only that batch's partitions are replaced, and a replay adds nothing.
+    only that batch's partitions are replaced, and a replay adds nothing; without one, the days are.
     """
     dated = documents.select(*ARCHIVE_COLUMNS, F.to_date("modified").alias("day"))
     if batch_id is None:
-        dated.write.mode("append").partitionBy("day").parquet(path)
+        _replace_days(dated, path)
         return
     (
         dated.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
@@ -33,6 +33,11 @@ def archive_documents(documents: DataFrame, path: str, batch_id: int | None = No
     )
 
 
+def _replace_days(rows: DataFrame, path: str) -> None:
+    """A bulk load owns the days it writes: run again, it leaves the same archive."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
 def archive_in_place(judged: DataFrame, path: str) -> None:
     """Write the payloads of all prints let in, where they were read: no payload is shuffled.
 
@@ -48,7 +53,7 @@ def archive_in_place(judged: DataFrame, path: str) -> None:
         F.date_trunc("second", F.col("arrived_at").cast("timestamp")).alias("modified"),
         "payload",
     )
-    rows.withColumn("day", F.to_date("modified")).write.mode("append").partitionBy("day").parquet(path)
+    _replace_days(rows.withColumn("day", F.to_date("modified")), path)
 
 
 def with_file_names(archive: DataFrame, jobs: DataFrame) -> DataFrame:

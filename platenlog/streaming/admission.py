@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platenlog.operators.admission import admission, gate
-from platenlog.operators.decode import PREFIX_BYTES, decode_messages, request_columns
+from platenlog.operators.decode import PREFIXES, decode_messages, request_columns
 
 
-def judged_messages(messages: DataFrame, prefix: int = PREFIX_BYTES) -> DataFrame:
+def judged_messages(messages: DataFrame, prefixes: tuple[int, ...] = PREFIXES) -> DataFrame:
     """Decode, gate and admit every message.
 
     A message that is let through but cannot be decoded has an ``http_status``
@@ -22,7 +22,7 @@ def judged_messages(messages: DataFrame, prefix: int = PREFIX_BYTES) -> DataFram
         gated = messages.withColumn("http_status", F.lit(200))
     let_through = F.col("http_status") == 200
     # What the gate turns away, oversized bodies above all, is not decoded.
-    decoded = decode_messages(gated.withColumn("_body", F.when(let_through, F.col("body"))), "_body", prefix)
+    decoded = decode_messages(gated.withColumn("_body", F.when(let_through, F.col("body"))), "_body", prefixes)
     judged = admission(request_columns(decoded.drop("_body")))
     sound = F.col("error").isNull()
     return judged.withColumns(

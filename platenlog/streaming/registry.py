@@ -6,7 +6,12 @@ batch can be run again at any time and leaves the same tables.
 
 Layout under one path: ``draws`` (every job id drawn, with the status its request
 got), ``answers`` and ``archive`` grow by a partition per batch; ``counters`` (last id drawn per session) and ``newest`` (first listing
-page per session) are full snapshots, of which only the last few are kept.
+page per session) are full snapshots, of which only the last few are kept. ``run`` holds
+the id of the stream the tables belong to: batch ids mean nothing to another one.
+
+``draws`` is what counts. A snapshot that is not there, because a step was added to a
+running stream or a checkpoint was put back by more batches than are kept, is made again from
+the draws of the batches before. A new checkpoint on tables that hold something is refused.
 """
 
 from __future__ import annotations
@@ -49,6 +54,11 @@ SLIM = [
     "lookup_job_id", "avail_bytes",
 ]
 OPTIONAL = ["has_group", "write_ok"]
+QUERY_ID = "sql.streaming.queryId"
+
+
+class ForeignTables(RuntimeError):
+    """The tables belong to a stream with another checkpoint."""
 
 
 def lay_down(spark: SparkSession, path: str, schema: str, partition: str = "batch_id") -> None:
@@ -85,6 +95,21 @@ def read_snapshot(spark: SparkSession, path: str, schema: str, batch_id: int) ->
     return held.where(mine).drop("batch_id", "slot")
 
 
+def claim(batch: DataFrame, path: str) -> None:
+    """Make sure that the tables are this stream's, or nobody's yet."""
+    spark = batch.sparkSession
+    mine = spark.sparkContext.getLocalProperty(QUERY_ID) or ""
+    held = [r.run_id for r in spark.read.schema("run_id STRING").parquet(f"{path}/run").limit(2).collect()]
+    if not held:
+        if not draws_table(spark, path).isEmpty():
+            raise ForeignTables(f"{path} holds jobs, but not the stream they come from")
+        spark.range(1).select(F.lit(mine).alias("run_id")).write.mode("overwrite").parquet(f"{path}/run")
+    elif held != [mine]:
+        raise ForeignTables(
+            f"{path} was written by stream {held[0]}, and this is {mine}: a new checkpoint needs new tables"
+        )
+
+
 def draws_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DRAWS).parquet(f"{path}/draws")
 
@@ -103,10 +128,20 @@ def registry_step(spark: SparkSession, path: str) -> Step:
     """Number this batch's jobs from where the batch before stopped, and store them."""
     lay_down(spark, f"{path}/counters", COUNTERS, "slot")
     lay_down(spark, f"{path}/draws", DRAWS)
+    spark.range(0, 0, 1, 1).select(F.lit("").alias("run_id")).write.mode("append").parquet(f"{path}/run")
+
+    def counters(session: SparkSession, batch_id: int) -> DataFrame:
+        """The last id drawn in each session before this batch."""
+        kept = read_snapshot(session, f"{path}/counters", COUNTERS, batch_id - 1)
+        if not kept.isEmpty():
+            return kept
+        earlier = draws_table(session, path).where(F.col("batch_id") < batch_id)
+        return earlier.groupBy("session_id").agg(F.max("job_id").alias("last_id"))
 
     def step(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        before = read_snapshot(session, f"{path}/counters", COUNTERS, batch_id - 1)
+        claim(batch, path)
+        before = counters(session, batch_id)
         numbered = assign_job_ids(admission(_slim(batch)), drawn=before.select("session_id", "last_id"))
         write_batch(job_rows(numbered), f"{path}/draws", batch_id)
         # From what was written, so ids and counters cannot disagree. Ids drawn
@@ -177,7 +212,10 @@ def listing_step(spark: SparkSession, path: str, size: int = codes.PAGE_SIZE) ->
     def step(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         shown = read_snapshot(session, f"{path}/newest", NEWEST, batch_id - 1)
-        jobs = jobs_table(session, path).where(F.col("batch_id") == batch_id)
+        jobs = jobs_table(session, path)
+        # Without a page from the batch before, all jobs so far are new to the listing.
+        due = F.col("batch_id") <= batch_id if shown.isEmpty() else F.col("batch_id") == batch_id
+        jobs = jobs.where(due)
         added = jobs.select(
             "session_id", "file_name", "size_bytes", F.timestamp_seconds("time_created").alias("modified")
         )
@@ -207,7 +245,7 @@ def listing_step(spark: SparkSession, path: str, size: int = codes.PAGE_SIZE) ->
 def newest_page(spark: SparkSession, path: str) -> DataFrame:
     """The listing as of the last finished batch."""
     snapshots = spark.read.schema(NEWEST).parquet(f"{path}/newest")
-    last = snapshots.agg(F.max("batch_id").alias("batch_id"))
+    last = snapshots.agg(F.max("batch_id").alias("batch_id"))  # one row
     return snapshots.join(F.broadcast(last), "batch_id", "left_semi").drop("batch_id", "slot")
 
 

@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from platenlog.operators.attributes import explode_attributes, typed_values
-from platenlog.operators.decode import decode_messages, document_tail, request_columns, split_rejects
-from platenlog.operators.walk import measure_headers, read_headers
+from platenlog.operators.decode import PREFIXES, decode_messages, document_tail, request_columns, split_rejects
+from platenlog.operators.walk import read_headers
 from platenlog.sources.messages import read_messages
 from platenlog.streaming.admission import judged_messages
 from tests.messages import CHARSET, LANGUAGE, URI, attr, message, plain_read
@@ -20,13 +20,19 @@ from tests.messages import CHARSET, LANGUAGE, URI, attr, message, plain_read
 TOKEN = ("group_pos", "delimiter", "pos", "attr_pos", "value_pos", "tag", "name", "value")
 
 
-def walked(bodies):
-    return read_headers(pa.array(bodies, pa.binary())).to_pylist()
+def read(bodies, prefix=None):
+    totals = pa.array([len(b) for b in bodies], pa.int64())
+    return read_headers(pa.array([b[:prefix] for b in bodies], pa.binary()), totals)
 
 
-def measured(bodies, prefix):
-    totals = pa.array([len(b) for b in bodies], pa.int64())
-    return measure_headers(pa.array([b[:prefix] for b in bodies], pa.binary()), totals).to_pylist()
+def walked(bodies, prefix=None):
+    return read(bodies, prefix).to_pylist()
+
+
+def with_names(tokens):
+    """Tokens as the plain reading shows them: values added to an attribute under its name."""
+    names = {t["attr_no"]: t["name"] for t in tokens if t["value_pos"] == 1}
+    return [tuple(names.get(t["attr_no"], "") if f == "name" else t[f] for f in TOKEN) for t in tokens]
 
 
 def as_plain(row):
@@ -35,7 +41,7 @@ def as_plain(row):
     if row["reason"] is not None:
         return (row["reason"],)
     fixed = (row["major"], row["minor"], row["code"], row["request_id"])
-    return fixed, row["header_len"], row["groups"], [tuple(t[f] for f in TOKEN) for t in row["tokens"]]
+    return fixed, row["header_len"], row["groups"], with_names(row["tokens"])
 
 
 def random_body(rng):
@@ -66,23 +72,43 @@ def test_walk_equals_plain_reading():
         assert as_plain(row) == plain_read(body), body
 
 
-def test_measured_bytes_decide_as_the_whole_body_does():
+def test_prefix_decides_as_the_whole_body_does_or_not_at_all():
     rng = random.Random(8)
     bodies = [random_body(rng) for _ in range(2000)]
     for prefix in (0, 5, 30, 4096):
-        sizes = measured(bodies, prefix)
-        for body, size, row in zip(bodies, sizes, walked([b[:n] for b, n in zip(bodies, sizes)])):
-            assert as_plain(row) == plain_read(body), body
-    headers = [b for b in bodies if len(plain_read(b)) == 4]
-    assert measured(headers, 4096) == [min(plain_read(b)[1] + 1, len(b)) for b in headers]
+        for body, row in zip(bodies, walked(bodies, prefix)):
+            if row is None:
+                assert len(body) > prefix
+            else:
+                assert as_plain(row) == plain_read(body), body
+        sound = [b for b in bodies if len(plain_read(b)) == 4 and plain_read(b)[1] < prefix]
+        assert None not in walked(sound, prefix)
+
+
+def test_output_is_no_larger_than_input():
+    """Many values under a long name: 84 KB, and 300 KB of which a copy of the name for each value would be 3.6 GB."""
+    for name, count in ((60_000, 4_000), (60_000, 60_000)):
+        values = attr(0x44, "", b"v") * (count - 1)
+        body = message(2, b"\x01", attr(0x44, "n" * name, b"v"), values)
+        whole = read([body])
+        tokens = whole.field("tokens").values
+        assert len(tokens) == count
+        assert sum(tokens.field(c).nbytes for c in ("name", "value")) < 10 * len(body)
+        assert tokens.field("attr_no").to_pylist()[-1] == 1 and tokens.field("value_pos").to_pylist()[-1] == count
+
+
+def test_bad_texts_are_found_by_halves():
+    bodies = [message(2, b"\x01", attr(0x42, "job-name", b"\xff" if k % 7 == 0 else b"ok")) for k in range(500)]
+    assert [r["reason"] for r in walked(bodies)] == ["bad-utf8" if k % 7 == 0 else None for k in range(500)]
 
 
 def test_sliced_batches():
     bodies = pa.array([message(2, b"\x01", CHARSET), b"", message(4, b"\x01", URI)], pa.binary())
-    rows = read_headers(bodies.slice(1)).to_pylist()
+    totals = pa.array([len(b) for b in bodies.to_pylist()], pa.int64())
+    rows = read_headers(bodies.slice(1), totals.slice(1)).to_pylist()
     assert (rows[0]["need"], rows[0]["have"]) == (1, 0)
     assert [t["name"] for t in rows[1]["tokens"]] == ["printer-uri"]
-    assert read_headers(bodies.slice(0, 0)).to_pylist() == []
+    assert read_headers(bodies.slice(0, 0), totals.slice(0, 0)).to_pylist() == []
 
 
 @pytest.fixture(scope="module")
@@ -124,14 +150,14 @@ def named(spark):
 
 def test_named_bodies_in_spark(spark, named):
     bodies, frame = named
-    for prefix in (4096, 12):
-        for row in decode_messages(frame, prefix=prefix).collect():
+    for prefixes in ((4096,), (12, 40), ()):
+        for row in decode_messages(frame, prefixes=prefixes).collect():
             want = plain_read(bodies[row.name])
             if row.error is not None:
                 got = tuple(v for v in (row.error.reason, row.error.need, row.error.have) if v is not None)
                 assert got == want, row.name
             else:
-                tokens = [tuple(bytes(t[f]) if f == "value" else t[f] for f in TOKEN) for t in row.tokens]
+                tokens = with_names([t.asDict() | {"value": bytes(t.value)} for t in row.tokens])
                 assert ((row.major, row.minor, row.code, row.request_id), row.header_len, row.groups, tokens) == want, row.name
 
 
@@ -199,8 +225,9 @@ def test_reading_one_body_per_file(spark, named, tmp_path):
 
 def test_only_prefixes_reach_python_and_once(spark, named):
     plan = request_columns(decode_messages(named[1])).where("op_code = 2").select("job_name")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython [") == 2
-    assert "measure_headers(CASE WHEN" in plan and "read_headers(substring(coalesce(body" in plan and "Exchange" not in plan
+    # Once for each prefix and once for whole bodies, all but the first for the rows that need it.
+    assert plan.count("ArrowEvalPython [") == len(PREFIXES) + 1
+    assert plan.count("read_headers(CASE WHEN isnull(") == len(PREFIXES) and "Exchange" not in plan
 
 
 DRIVER_ONLY = """

@@ -192,3 +192,52 @@ def test_notices_of_a_stream(spark, tmp_path):
     stream = read_message_stream(spark, source, "session_id STRING, job_id BIGINT, file_name STRING, size_bytes BIGINT", max_files=1)
     notify_jobs(stream, "/d", lambda df, i: told.extend(r.file_path for r in df.collect()), str(tmp_path / "cp")).awaitTermination()
     assert told == ["/d/0.pdf", "/d/1.pdf", "/d/2.pdf"]
+
+
+def registry_of(spark, source, path, checkpoint, *more):
+    stream = read_message_stream(spark, source, PAYLOAD_SCHEMA, max_files=1)
+    registry.run_steps(stream, checkpoint, registry.registry_step(spark, path), *more).awaitTermination()
+
+
+def test_new_checkpoint_is_refused(spark, tmp_path):
+    """It would write batch 0 over the jobs of the first stream and issue their ids again."""
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    for i in range(2):
+        arrive(spark, some_requests(30, 30 * i, i), source)
+    registry_of(spark, source, path, str(tmp_path / "cp"))
+    before = rows_of(registry.draws_table(spark, path))
+    arrive(spark, some_requests(10, 60, 9), source)
+    with pytest.raises(Exception, match="new checkpoint needs new tables"):
+        registry_of(spark, source, path, str(tmp_path / "other"))
+    assert rows_of(registry.draws_table(spark, path)) == before
+    # The first one goes on.
+    registry_of(spark, source, path, str(tmp_path / "cp"))
+    assert len(rows_of(registry.draws_table(spark, path))) > len(before)
+
+
+def test_listing_added_later_is_complete(spark, tmp_path):
+    source, path, checkpoint = (str(tmp_path / d) for d in ("in", "out", "cp"))
+    rows = some_requests(80)
+    arrive(spark, rows[:60], source)
+    registry_of(spark, source, path, checkpoint)
+    arrive(spark, rows[60:], source)
+    registry_of(spark, source, path, checkpoint, registry.listing_step(spark, path))
+    files = register_jobs(assign_job_ids(spark.createDataFrame(rows, PAYLOAD_SCHEMA))).withColumn(
+        "modified", F.timestamp_seconds("time_created")
+    ).select("session_id", "file_name", "size_bytes", "modified")
+    assert rows_of(registry.newest_page(spark, path)) == rows_of(page(files, 0).drop("page", "pages"))
+
+
+def test_checkpoint_put_back(spark, tmp_path):
+    """Ten batches back, further than snapshots are kept: the same tables again."""
+    path = str(tmp_path / "out")
+    steps = [registry.registry_step(spark, path), registry.listing_step(spark, path)]
+    batches = [spark.createDataFrame(some_requests(12, 12 * i, i), PAYLOAD_SCHEMA) for i in range(12)]
+
+    def run(first):
+        for i in range(first, len(batches)):
+            for step in steps:
+                step(batches[i], i)
+        return rows_of(registry.draws_table(spark, path)), rows_of(registry.newest_page(spark, path))
+
+    assert run(0) == run(2)

@@ -2,11 +2,13 @@
 
 import datetime as dt
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from platenlog.functions import codes, device, display, naming, numbers
 from platenlog.operators import attributes, catalogue, rollups
+from platenlog.operators.ordering import running_sum
 from platenlog.operators.presence import presence_intervals
 from platenlog.sources.devices import CAPABILITIES, device_attributes, device_snapshots
 from platenlog.sources.documents import archive_documents, archive_in_place, list_archive, list_documents, notify_jobs, with_file_names
@@ -113,7 +115,10 @@ def test_pages(spark):
     deep = catalogue.page(files, 500).select("file_name").collect()
     assert len(deep) == 15
     assert [r.file_name for r in catalogue.newest_first(files).limit(2).collect()] == ["a-010", "a-011"]
-    assert "WindowGroupLimit" in plan(catalogue.page(files, 0))
+    # Any page has the same columns, and none takes a task per session.
+    assert catalogue.page(files, 0).columns == catalogue.page(files, 500).columns
+    shown = re.sub(r"#\d+L?", "", plan(catalogue.page(files, 0)))
+    assert set(re.findall(r"windowspecdefinition\(session_id, (\w+)", shown)) <= {"_part"}
 
 
 def test_catalogue_from_names(spark):
@@ -248,3 +253,19 @@ def test_archive_in_place(spark, tmp_path):
     assert {r.file_name: (r.job_id, bytes(r.payload), r.size_bytes, str(r.day), r.modified.microsecond) for r in named.collect()} == {
         "one": (1, b"abc", 3, "2024-01-01", 0), "two": (3, b"de", 2, "2024-01-02", 0),
     }
+
+
+def test_numbering_with_sparse_order(spark):
+    """Ids made from the time: a block for each row, and still no window over a whole session."""
+    rows = [("hot", (k * 7919 % 5000) << 40) for k in range(3000)] + [("s", k << 22) for k in range(50)] + [("t", -(k << 30)) for k in range(50)]
+    log = spark.createDataFrame(rows, "session_id STRING, seq BIGINT")
+    numbered = running_sum(log, ["session_id"], "seq", F.lit(1), "n")
+    place: dict = {}
+    for session, seq in sorted(set(rows)):
+        place[session, seq] = sum(1 for s, q in rows if s == session and q <= seq)
+    got = numbered.collect()
+    assert len(got) == len(rows) and all(r.n == place[r.session_id, r.seq] for r in got)
+    text = numbered._jdf.queryExecution().executedPlan().toString()
+    windows = re.findall(r"windowspecdefinition\(session_id#\d+, (\w+)", text)
+    # Beside the rows' own blocks and the groups of blocks, only the last level, of 2**20 groups at most, is by session alone.
+    assert "_group" in windows and [w for w in windows if w not in ("_block", "_group")] == []
