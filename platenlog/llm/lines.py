@@ -21,15 +21,20 @@ minima and joins on a key, whatever the number of lines that share it.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platenlog.plans.session import shared_folder, work_path
 
 MIN_CHARS = 20
-PARTS = (2, 8)
+PARTS = 8
+# Rows of keys that a Python task sends on at once, four to a line.
+EMIT = 50_000
 # Lines whose ids may be broadcast, some 60 bytes each; more are joined by shuffle.
 BROADCAST_LINES = 500_000
 LINE = ["h1", "h2"]
@@ -69,79 +74,110 @@ def part_keys(line: Column, parts: int) -> Column:
     return F.array(*keys(F.length(line)), *keys(F.length(line) + 1))
 
 
+def half_keys(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
+    """``h1, key``: :func:`part_keys` of the halves of every long enough line, four a line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            marks: list[int] = []
+            keys: list[int] = []
+            for value in batch.column(0):
+                for line in (value.as_py() or "").split("\n"):
+                    size = len(line)
+                    if size < min_chars or not line.strip(" "):
+                        continue
+                    whole = line.encode()
+                    marks.append(xxhash.xxh64_intdigest(whole, 42))
+                    for t in (size, size + 1):
+                        half = t // 2
+                        # Bytes are cut where characters are.
+                        at = half if len(whole) == size else len(line[:half].encode())
+                        back = size - (t - half)
+                        back = back if len(whole) == size else len(line[:back].encode())
+                        keys += [digest(whole[back:], 2 * t), digest(whole[:at], 2 * t + 1)]
+                if len(marks) > EMIT:
+                    yield _rows(marks, keys)
+                    marks, keys = [], []
+            yield _rows(marks, keys)
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "h1 bigint, key bigint")
+
+
+def _rows(marks: list[int], keys: list[int]) -> pa.RecordBatch:
+    h1 = np.repeat(np.array(marks, dtype=np.uint64), 4).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(h1), pa.array(np.array(keys, dtype=np.uint64).view(np.int64))], ["h1", "key"])
+
+
 def _meeting(keyed: DataFrame) -> DataFrame:
     """Rows of ``h1, h2, t, part, key`` whose key another line has too."""
     met = keyed.groupBy("t", "part", "key").agg(F.count("*").alias("lines")).where("lines > 1")
     return keyed.join(met, ["t", "part", "key"]).drop("lines")
 
 
-def near_lines(docs: DataFrame, lines: DataFrame, doc_id: str, text: str, broadcast_lines: int) -> DataFrame:
-    """``h1, h2`` of the lines with an earlier line one edit away.
+def _bounded(small: DataFrame, path: str, schema: str, most: int) -> DataFrame:
+    """The rows, written; to be broadcast if they are at most so many."""
+    small.write.parquet(path)
+    held = small.sparkSession.read.schema(schema).parquet(path)
+    return F.broadcast(held) if held.count() <= most else held
 
-    ``lines`` has the different lines: ``h1, h2, first`` and ``keys``, those of the halves.
-    """
+
+def near_lines(docs: DataFrame, doc_id: str, text: str, min_chars: int, broadcast_lines: int) -> DataFrame:
+    """``h1, h2`` of the lines with an earlier line one edit away."""
     spark = docs.sparkSession
-    long = lines.where(F.col("keys").isNotNull()).select(*LINE, F.inline("keys"))
-    path = work_path(spark, "near-lines")
-    _meeting(long).select(*LINE).distinct().write.parquet(path)
-    some = spark.read.schema("h1 bigint, h2 bigint").parquet(path)
-    if some.count() <= broadcast_lines:
-        some = F.broadcast(some)
+    keyed = half_keys(docs, text, min_chars)
+    # The key names its part and length, so different lines with a key in common may be one edit apart.
+    met = (
+        keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
+    )
+    met = _bounded(met, work_path(spark, "line-keys"), "key bigint", broadcast_lines)
+    some = keyed.join(met, "key", "left_semi").select("h1").distinct()
+    some = _bounded(some, work_path(spark, "some-lines"), "h1 bigint", broadcast_lines)
+    some = _occurrences(docs, doc_id, text).join(some, "h1", "left_semi")
     texts = (
-        _occurrences(docs, doc_id, text)
-        .join(some, LINE)
-        .groupBy(*LINE)
+        some.groupBy(*LINE)
         .agg(F.min(F.struct("doc", "content", "n")).alias("first"), F.first("line").alias("line"))
         .checkpoint()
     )
-    close = _meeting(texts.select(*LINE, F.inline(part_keys(F.col("line"), PARTS[1])))).join(texts, LINE)
+    close = _meeting(texts.select(*LINE, F.inline(part_keys(F.col("line"), PARTS)))).join(texts, LINE)
     t, part, line = F.col("t"), F.col("part"), F.col("line")
-    low, high = F.floor(t * part / PARTS[1]).cast("int"), F.floor(t * (part + 1) / PARTS[1]).cast("int")
+    low, high = F.floor(t * part / PARTS).cast("int"), F.floor(t * (part + 1) / PARTS).cast("int")
     without = F.transform(
         F.sequence(low, F.greatest(low, high - 1)),
         lambda at: F.struct(
             at.alias("at"),
-            F.xxhash64(F.substring(line, F.lit(1), at), F.right(line, F.length(line) - at - 1)).alias("variant"),
+            F.xxhash64(F.concat(F.substring(line, F.lit(1), at), F.right(line, F.length(line) - at - 1))).alias("variant"),
         ),
     )
+    own = F.struct("first", *LINE)
     # A line as it is can only be the shorter of a pair; cut, it is the longer or one of two as long.
-    cut = close.where((F.length("line") == t) & (high > low)).select(
-        *LINE, "first", "line", "t", F.inline(without)
-    )
-    replaced = cut.select(*LINE, "first", "line", F.xxhash64(F.lit("replaced"), "t", "at", "variant").alias("key"))
-    earliest = replaced.groupBy("key").agg(
-        F.min(F.struct("first", "line")).alias("other"), F.count("*").alias("met")
-    )
-    found = [
-        replaced.join(earliest.where("met > 1"), "key").where(
-            (F.col("other.first") < F.col("first")) & (F.levenshtein("line", "other.line", 1) == 1)
+    cut = close.where((F.length("line") == t) & (high > low)).select(own.alias("own"), "t", F.inline(without))
+    replaced = cut.select("own", F.xxhash64(F.lit("replaced"), "t", "at", "variant").alias("key"))
+    earliest = replaced.groupBy("key").agg(F.min("own").alias("other"), F.count("*").alias("met")).where("met > 1")
+    pairs = replaced.join(earliest, "key").select("own", "other")
+    # The variant of a longer line against a shorter line, by the hash of their text.
+    shortened = cut.select("own", F.lit(True).alias("longer"), F.col("variant").alias("key"))
+    whole = close.where(F.length("line") == t - 1).select(own.alias("own"), F.lit(False).alias("longer"), F.col("h1").alias("key"))
+    either = shortened.unionByName(whole).distinct()
+    both = (
+        either.groupBy("key")
+        .agg(
+            F.min(F.when(F.col("longer"), F.col("own"))).alias("long"),
+            F.min(F.when(~F.col("longer"), F.col("own"))).alias("short"),
         )
-    ]
-    # The variant of a longer line against the hash of a shorter one, as text.
-    shortened = cut.select(
-        *LINE,
-        "first",
-        "line",
-        F.lit(True).alias("longer"),
-        F.xxhash64(
-            F.concat(F.substring(line, F.lit(1), F.col("at")), F.right(line, F.length(line) - F.col("at") - 1))
-        ).alias("key"),
+        .where("long is not null and short is not null")
     )
-    whole = close.where(F.length("line") == t - 1).select(
-        *LINE, "first", "line", F.lit(False).alias("longer"), F.col("h1").alias("key")
+    pairs = pairs.unionByName(
+        either.join(both, "key").select("own", F.when(F.col("longer"), F.col("short")).otherwise(F.col("long")).alias("other"))
     )
-    either = shortened.unionByName(whole).distinct()
-    both = either.groupBy("key").agg(
-        F.min(F.when(F.col("longer"), F.struct("first", "line"))).alias("long"),
-        F.min(F.when(~F.col("longer"), F.struct("first", "line"))).alias("short"),
-    ).where("long is not null and short is not null")
-    other = F.when(F.col("longer"), F.col("short")).otherwise(F.col("long"))
-    found.append(
-        either.join(both, "key")
-        .withColumn("other", other)
-        .where((F.col("other.first") < F.col("first")) & (F.levenshtein("line", "other.line", 1) == 1))
+    found = (
+        pairs.where(F.col("other.first") < F.col("own.first"))
+        .select("own.h1", "own.h2", F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2"))
+        .distinct()
     )
-    return reduce(DataFrame.unionByName, [f.select(*LINE) for f in found]).distinct()
+    others = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("other"))
+    verified = found.join(texts, LINE).join(others, ["o1", "o2"])
+    return verified.where(F.levenshtein("line", "other", 1) == 1).select(*LINE).distinct()
 
 
 def repeated_lines(
@@ -157,23 +193,22 @@ def repeated_lines(
     in the corpus: in order of document id, hash of the text, number of the line. What
     earlier lines lose themselves does not count. Blank lines are not compared and stay.
     """
-    shared_folder(docs.sparkSession)
     spark = docs.sparkSession
+    shared_folder(spark)
     seen = _occurrences(docs, doc_id, text)
-    keys = F.when(F.length("line") >= min_chars, part_keys(F.col("line"), PARTS[0]))
-    path = work_path(spark, "lines")
-    seen.withColumn("keys", keys).groupBy(*LINE).agg(
-        F.min(F.struct("doc", "content", "n")).alias("first"), F.first("keys").alias("keys"), F.count("*").alias("times")
-    ).write.parquet(path)
-    lines = spark.read.parquet(path)
-    near = near_lines(docs, lines, doc_id, text, broadcast_lines).withColumn("near", F.lit(True))
-    # Lines that occur once and have no earlier one alike are done.
-    judged = lines.select(*LINE, "first", "times").join(near, LINE, "left").where("near or times > 1")
-    gone = (
-        seen.select("doc", "content", "n", *LINE)
-        .join(judged, LINE)
-        .where(F.col("near").isNotNull() | (F.struct("doc", "content", "n") != F.col("first")))
+    repeated = (
+        seen.groupBy(*LINE)
+        .agg(F.min(F.struct("doc", "content", "n")).alias("first"), F.count("*").alias("times"))
+        .where("times > 1")
+        .select(*LINE, "first")
     )
+    kind = "h1 bigint, h2 bigint, first struct<doc:bigint,content:bigint,n:int>"
+    repeated = _bounded(repeated, work_path(spark, "repeated-lines"), kind, broadcast_lines)
+    near = near_lines(docs, doc_id, text, min_chars, broadcast_lines)
+    near = _bounded(near, work_path(spark, "near-lines"), "h1 bigint, h2 bigint", broadcast_lines)
+    places = seen.select("doc", "content", "n", *LINE)
+    later = places.join(repeated, LINE).where(F.struct("doc", "content", "n") != F.col("first"))
+    gone = later.select("doc", "content", "n").unionByName(places.join(near, LINE).select("doc", "content", "n"))
     return gone.groupBy("doc", "content").agg(F.collect_set("n").alias("removed"))
 
 
