@@ -211,9 +211,8 @@ held AS (
 )"""
 
 
-def _presence(ttl: int, closed: bool = False) -> str:
+def _presence(ttl: int) -> str:
     life = ttl * 1_000_000
-    gone = f"WHERE last_us + {life} - 1 <= (SELECT max(at_us) // 1000 * 1000 FROM heard)" if closed else ""
     return f"""
 WITH heard AS (SELECT user_id AS device_id, epoch_us(ts) AS at_us FROM events),
 marked AS (
@@ -227,7 +226,7 @@ spans AS (
   SELECT device_id, min(at_us) AS first_us, max(at_us) AS last_us, count(*) AS announcements
   FROM spanned GROUP BY device_id, span
 )
-SELECT device_id, first_us AS online_from_us, last_us + {life} AS offline_at_us, announcements FROM spans {gone}"""
+SELECT device_id, first_us AS online_from_us, last_us + {life} AS offline_at_us, announcements FROM spans"""
 
 
 DECODED_ATTRIBUTES = """
@@ -425,5 +424,5 @@ EXPECTED = {
         SELECT session_id, position, file_name, size_bytes, files FROM listed WHERE page = 0""",
     "notify_jobs": f"""WITH {JOBS} SELECT job_id, '/archive/' || file_name AS file_path, file_name, size_bytes, session_id
         FROM jobs""",
-    "stream_presence": _presence(3600, closed=True),
+    "stream_presence": _presence(3600),
 }

@@ -24,7 +24,7 @@ from platenlog.sources.documents import archive_documents, archive_in_place, lis
 from platenlog.sources.messages import read_message_stream, read_messages
 from platenlog.streaming import registry
 from platenlog.streaming.admission import judged_messages, stream_admission
-from platenlog.streaming.presence import stream_presence
+from platenlog.streaming.presence import open_spans, stream_presence
 
 PRINTER_URI = "ipp://192.0.2.1:6310/ipp/print"
 ARRIVALS = 4
@@ -628,12 +628,15 @@ def streamed_notices(spark, sf_dir):
 
 
 def streamed_presence(spark, sf_dir, ttl=3600):
-    events = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events*.parquet")
-    heard = stream.select(F.col("user_id").alias("device_id"), F.col("ts").cast("timestamp").alias("ts"))
-    path = work_path(spark, "presence")
-    _append(stream_presence(heard, ttl, "0 seconds"), path, work_path(spark, "checkpoint"))
-    return _in_micros(spark.read.parquet(path))
+    """Announcements up to 100 seconds out of order, over several batches; spans that have ended, and those still open."""
+    heard = announcements(spark, sf_dir)
+    begun = heard.agg(F.min(F.unix_seconds("ts")).alias("at")).first()["at"]
+    late = F.pmod(F.xxhash64("device_id", "ts"), F.lit(100))
+    staged = heard.withColumn("due", F.unix_seconds("ts") - F.lit(begun) + late)
+    stream = read_message_stream(spark, arrivals(spark, staged, "due"), staged.schema, max_files=FILES_A_BATCH)
+    path, checkpoint = work_path(spark, "presence"), work_path(spark, "checkpoint")
+    _append(stream_presence(stream.drop("due"), ttl, "2 minutes"), path, checkpoint)
+    return _in_micros(spark.read.parquet(path).unionByName(open_spans(spark, checkpoint, ttl)))
 
 
 REPORTS = {

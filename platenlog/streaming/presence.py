@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platenlog.functions.codes import RECORD_LIFETIME_SECONDS
@@ -23,9 +23,26 @@ def stream_presence(
         .groupBy("device_id", F.session_window("ts", gap).alias("session"))
         .agg(F.min("ts").alias("online_from"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("announcements"))
     )
+    return _shown(spans, ttl)
+
+
+def _shown(spans: DataFrame, ttl: int) -> DataFrame:
     return spans.select(
         "device_id",
         "online_from",
         (F.col("last") + F.make_dt_interval(secs=F.lit(ttl))).alias("offline_at"),
         "announcements",
     )
+
+
+def open_spans(spark: SparkSession, checkpoint: str, ttl: int = RECORD_LIFETIME_SECONDS) -> DataFrame:
+    """The spans that :func:`stream_presence` still holds back, as of its last finished batch.
+
+    Read from the stream's own state: with what it has emitted, these are the spans of all
+    announcements so far. They may still grow.
+    """
+    held = spark.read.format("statestore").load(checkpoint).select("value.*")
+    spans = held.select(
+        "device_id", F.col("min").alias("online_from"), F.col("max").alias("last"), F.col("count").alias("announcements")
+    )
+    return _shown(spans, ttl)
