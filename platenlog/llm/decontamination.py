@@ -18,13 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platenlog.llm.content import CONTENT, content, one_of_each
 from platenlog.plans.session import work_path
 
 WORDS = 5
 THRESHOLD = 0.8
 # Sketch hashes that may be broadcast, some 40 bytes each; more are joined by shuffle.
 BROADCAST_HASHES = 500_000
-CONTENT = ["__c1", "__c2"]
 
 
 def _words(text: Column) -> Column:
@@ -48,11 +48,6 @@ def _shingles(words: Column, width: Column) -> Column:
     )
 
 
-def _content(text: str) -> dict[str, Column]:
-    own = F.coalesce(F.col(text), F.lit(""))
-    return {"__c1": F.xxhash64(own), "__c2": F.xxhash64(F.lit("second"), own)}
-
-
 def prepared_items(items: DataFrame, item_id: str, text: str, words: int, threshold: float) -> DataFrame:
     """``item_id, width, shingles, n, need, sketch``: need is the least number of shingles to share."""
     split = items.select(F.col(item_id).cast("bigint").alias("item_id"), _words(F.col(text)).alias("words"))
@@ -79,6 +74,7 @@ def prepared_items(items: DataFrame, item_id: str, text: str, words: int, thresh
 def contained_items(
     docs: DataFrame,
     items: DataFrame,
+    doc_id: str = "doc_id",
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
@@ -86,9 +82,11 @@ def contained_items(
     threshold: float = THRESHOLD,
     broadcast_hashes: int = BROADCAST_HASHES,
 ) -> DataFrame:
-    """``__c1, __c2, item_id, n_shared, n_shingles``: which contents of ``docs`` contain which items."""
+    """``c1, c2, item_id, n_shared, n_shingles``: which contents of ``docs`` contain which items."""
     spark = docs.sparkSession
-    own = docs.select(*[c.alias(n) for n, c in _content(text).items()], F.col(text).alias("text"))
+    own = docs.select(
+        *content(F.col(text)), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-1)).alias("id"), F.col(text).alias("text")
+    )
     ready = prepared_items(items, item_id, item_text, words, threshold).checkpoint()
     sketch = ready.select("item_id", "width", "need", F.explode("sketch").alias("mark"))
     # One row for each width that occurs, `words` at most.
@@ -112,11 +110,8 @@ def contained_items(
         found = found.unionByName(met(width)) if width != min(sizes) else met(width)
     # Written, so that Spark knows its size when it joins it to the texts.
     found.distinct().write.parquet(path)
-    found = spark.read.schema("__c1 bigint, __c2 bigint, item_id bigint").parquet(path)
-
-    texts = (
-        own.join(found.select(*CONTENT).distinct(), CONTENT, "left_semi").groupBy(*CONTENT).agg(F.first("text").alias("text"))
-    )
+    found = spark.read.schema("c1 bigint, c2 bigint, item_id bigint").parquet(path)
+    texts = one_of_each(own, found.select(*CONTENT).distinct(), broadcast_hashes)
     judged = (
         texts.select(*CONTENT, _words(F.col("text")).alias("words"))
         .join(found, CONTENT)
@@ -149,15 +144,19 @@ def contaminated(
     text contains none. Repeated documents and items give repeated rows, a null
     document id stays null; other columns are ignored; empty tables give no rows.
     """
-    found = contained_items(docs, items, text, item_id, item_text, words, threshold, broadcast_hashes)
-    ids = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), *[c.alias(n) for n, c in _content(text).items()])
+    found = contained_items(docs, items, doc_id, text, item_id, item_text, words, threshold, broadcast_hashes)
+    ids = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), *content(F.col(text)))
     return ids.join(found, CONTENT).select(
         "doc_id", "item_id", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment")
     )
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **settings) -> DataFrame:
+def without_contaminated(
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings
+) -> DataFrame:
     """The rows of ``docs``, all columns, that contain no item."""
-    found = contained_items(docs, items, text, **settings).select(*CONTENT).distinct()
+    found = contained_items(docs, items, doc_id, text, **settings).select(*CONTENT).distinct()
+    found = found.toDF("__c1", "__c2")
     columns = [F.col(f"`{name}`") for name in docs.columns]
-    return docs.withColumns(_content(text)).join(found, CONTENT, "left_anti").select(*columns)
+    c1, c2 = content(F.col(text))
+    return docs.join(found, (c1 == F.col("__c1")) & (c2 == F.col("__c2")), "left_anti").select(*columns)
