@@ -11,9 +11,10 @@ lies in the surroundings of that anchor: the bytes that a 200-byte string around
    throughout, whoever else has the anchor.
 3. For an anchor with different surroundings, one of each goes, as text, to the shard of the
    anchor, where all of them meet: overlapping ones of a text as one piece.
-4. An anchor with over ``CROWD`` different surroundings would be too much for one shard. The strings
-   around it are grouped by a hash of 128 bits of the whole string instead, which is as exact and
-   spreads by itself.
+4. An anchor with over ``CROWD`` different surroundings, more than fill a shard, is too much for one. The strings
+   around it are compared by hashes of 128 bits instead, which are as exact and spread by themselves:
+   first in stretches of some twenty strings. A stretch that occurs again as a whole is repeated; one whose
+   strings' common part occurs once is not; only strings of what is left are taken one by one.
 
 Copies of a text are one text in all of this; how often it occurs is part of step 2.
 """
@@ -26,21 +27,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platenlog.llm.bwt import repeated_starts
+from platenlog.llm.content import CONTENT, content, one_of_each
 from platenlog.plans.session import shared_folder, work_path
 
 LENGTH = 200
 GRAM = 32
-CROWD = 256
 SHARD_BYTES = 1 << 20
-# Contents whose hashes may be broadcast, some 50 bytes each; more are joined by shuffle.
+# As many surroundings as fill a shard.
+CROWD = SHARD_BYTES // (2 * LENGTH - GRAM)
+STRETCHES = 8
+# Contents or stretches whose hashes may be broadcast, some 50 bytes each; more are joined by shuffle.
 BROADCAST_CONTENTS = 500_000
 # Bytes of text worked on at once.
 SLAB = 1 << 20
-CONTENT = ["c1", "c2"]
+# What goes to a shard, or as a stretch to be compared by hashes; ``ahead`` is from the first string to the anchor.
+PIECE_NAMES = ["shard", "first", "last", "piece", "ahead", "core", "h1", "h2"]
+PIECE_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+PIECES = (
+    "c1 bigint, c2 bigint, shard int, first int, last int, piece binary, ahead int, core bigint, h1 bigint, h2 bigint"
+)
 ANCHORS = "c1 bigint, c2 bigint, at int, anchor bigint, around bigint"
 
 _table = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -140,11 +149,6 @@ def _slabs(texts: pa.Array, length: int) -> Iterator[list[tuple[int, int, bytes,
         yield own
 
 
-def _content(text: str) -> list[Column]:
-    own = F.coalesce(F.col(text), F.lit(""))
-    return [F.xxhash64(own).alias("c1"), F.xxhash64(F.lit("second"), own).alias("c2")]
-
-
 def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
     """Runs of following numbers as (first, last)."""
     if not len(starts):
@@ -156,6 +160,7 @@ def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
 
 def repeated_spans(
     docs: DataFrame,
+    doc_id: str = "doc_id",
     text: str = "text",
     length: int = LENGTH,
     gram: int = GRAM,
@@ -170,7 +175,11 @@ def repeated_spans(
     spark = docs.sparkSession
     shared_folder(spark)
     reach = length - gram
-    texts = docs.select(*_content(text), F.col(text).cast("binary").alias("text"))
+    texts = docs.select(
+        *content(F.col(text)),
+        F.col(text).cast("binary").alias("text"),
+        F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-1)).alias("id"),
+    )
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +202,7 @@ def repeated_spans(
                 )
 
     path = work_path(spark, "anchors")
-    texts.where(F.octet_length("text") >= length).mapInArrow(find, ANCHORS).write.parquet(path)
+    texts.where(F.octet_length("text") >= length).select(*CONTENT, "text").mapInArrow(find, ANCHORS).write.parquet(path)
     all_anchors = spark.read.schema(ANCHORS).parquet(path)
     again = (
         all_anchors.groupBy("anchor")
@@ -231,12 +240,7 @@ def repeated_spans(
         ).alias("ask"),
     )
     wanted = asked.groupBy(*CONTENT).agg(F.collect_list("ask").alias("asks")).checkpoint()
-    if wanted.count() <= broadcast_contents:
-        some = texts.join(F.broadcast(wanted.select(*CONTENT)), CONTENT, "left_semi")
-    else:
-        some = texts.join(wanted.select(*CONTENT), CONTENT, "left_semi")
-    # Of copies of a text, one.
-    pieces = some.groupBy(*CONTENT).agg(F.first("text").alias("text")).join(wanted, CONTENT)
+    pieces = one_of_each(texts, wanted, broadcast_contents).join(wanted, CONTENT)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,42 +249,33 @@ def repeated_spans(
                 asks = batch.column("asks")[row].values.flatten()
                 at, shard = asks[0].to_numpy().astype(np.int64), asks[1].to_numpy()
                 last = len(own) - length
-                out: list[tuple[int, int, bytes | None, int, int]] = []
+                out: list[tuple] = []
                 order = np.lexsort((at, shard))
                 at, shard = at[order], shard[order]
-                lows, highs = np.maximum(0, at - reach), np.minimum(last, at)
-                # Overlapping surroundings that go the same way are one piece.
-                apart = (shard[1:] != shard[:-1]) | (lows[1:] > highs[:-1] + 1)
-                firsts = lows[np.concatenate(([True], apart))].tolist()
-                lasts = highs[np.concatenate((apart, [True]))].tolist()
-                for k, a, b in zip(shard[np.concatenate(([True], apart))].tolist(), firsts, lasts, strict=True):
-                    if k >= 0:
-                        out.append((k, a, own[a : b + length], 0, 0))
-                        continue
-                    for place in range(a, b + 1):
-                        h = xxhash.xxh3_128_intdigest(own[place : place + length])
-                        out.append((-1, place, None, (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)))
+                few = shard >= 0
+                for place in at[~few].tolist():
+                    out += _stretches(own, place, length, reach)
+                at, shard = at[few], shard[few]
+                if len(at):
+                    lows, highs = np.maximum(0, at - reach), np.minimum(last, at)
+                    # Overlapping surroundings that go the same way are one piece.
+                    apart = (shard[1:] != shard[:-1]) | (lows[1:] > highs[:-1] + 1)
+                    begins = np.concatenate(([True], apart))
+                    ends = np.concatenate((apart, [True]))
+                    for k, a, b in zip(shard[begins].tolist(), lows[begins].tolist(), highs[ends].tolist(), strict=True):
+                        out.append((k, a, b, own[a : b + length], 0, None, None, None))
                 if out:
-                    shards_, starts, bytes_, h1, h2 = zip(*out, strict=True)
                     same_row = pa.array(np.full(len(out), row))
+                    columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), PIECE_TYPES, strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column("c1").take(same_row),
-                            batch.column("c2").take(same_row),
-                            pa.array(shards_, pa.int32()),
-                            pa.array(starts, pa.int32()),
-                            pa.array(bytes_, pa.binary()),
-                            pa.array(h1, pa.int64()),
-                            pa.array(h2, pa.int64()),
-                        ],
-                        ["c1", "c2", "shard", "first", "piece", "h1", "h2"],
+                        [batch.column("c1").take(same_row), batch.column("c2").take(same_row), *columns],
+                        ["c1", "c2", *PIECE_NAMES],
                     )
 
-    # Read twice, by shards and by strings.
+    # Read twice, by shards and by stretches.
     path = work_path(spark, "pieces")
-    kind = "c1 bigint, c2 bigint, shard int, first int, piece binary, h1 bigint, h2 bigint"
-    pieces.mapInArrow(cut, kind).write.parquet(path)
-    sent = spark.read.schema(kind).parquet(path)
+    pieces.mapInArrow(cut, PIECES).write.parquet(path)
+    sent = spark.read.schema(PIECES).parquet(path)
 
     def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         firsts = rows["first"].to_numpy()
@@ -300,15 +295,85 @@ def repeated_spans(
         .groupBy("shard")
         .applyInArrow(compare, "c1 bigint, c2 bigint, span struct<first:int,last:int>")
     )
-    strings = sent.where("shard = -1").select(*CONTENT, "first", "h1", "h2")
-    repeats = strings.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").select("h1", "h2")
-    crowd_spans = strings.join(repeats, ["h1", "h2"]).select(
-        *CONTENT, F.struct(F.col("first"), F.col("first").alias("last")).alias("span")
-    )
+    crowd_spans = _crowded(sent.where("shard = -1"), length, broadcast_contents)
     spans = same.unionByName(twice).unionByName(shard_spans).unionByName(crowd_spans)
     return spans.groupBy(*CONTENT).agg(F.collect_set("span").alias("spans"))
 
 
+def _signed(h: int) -> tuple[int, int]:
+    return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
+
+
+def _stretches(own: bytes, at: int, length: int, reach: int) -> Iterator[tuple]:
+    """The strings around an anchor in stretches at fixed distances from it, with the hashes that tell them apart."""
+    step = -(-(reach + 1) // STRETCHES)
+    for low in range(0, reach + 1, step):
+        high = min(reach, low + step - 1)
+        first, last = max(0, at - high), min(len(own) - length, at - low)
+        if first > last:
+            continue
+        # What all strings of the stretch have, and what any of them has; the distance is part of the hash.
+        core = xxhash.xxh3_64_intdigest(own[at - low : at - high + length], low) - (1 << 63)
+        piece = own[first : last + length]
+        whole = last - first == high - low
+        h1, h2 = _signed(xxhash.xxh3_128_intdigest(piece, low)) if whole else (None, None)
+        yield -1, first, last, piece, at - first, core, h1, h2
+
+
+def _crowded(stretches: DataFrame, length: int, broadcast_cores: int) -> DataFrame:
+    """``c1, c2, span`` of what occurs again among stretches of strings."""
+    spark = stretches.sparkSession
+    path = work_path(spark, "cores")
+    stretches.groupBy("core").agg(F.count("*").alias("times")).where("times > 1").select("core").write.parquet(path)
+    cores = spark.read.schema("core bigint").parquet(path)
+    cores = F.broadcast(cores) if cores.count() <= broadcast_cores else cores
+    alive = stretches.join(cores, "core", "left_semi")
+    again = (
+        alive.where("h1 is not null")
+        .groupBy("h1", "h2")
+        .agg(F.count("*").alias("times"), F.min(F.struct(*CONTENT, "first")).alias("one"))
+        .where("times > 1")
+        .select("h1", "h2", "one")
+    )
+    path = work_path(spark, "stretches")
+    alive.join(again, ["h1", "h2"], "left").write.parquet(path)
+    alive = spark.read.schema(f"{PIECES}, one struct<c1:bigint,c2:bigint,first:int>").parquet(path)
+    span = F.struct("first", "last").alias("span")
+    whole = alive.where("one is not null").select(*CONTENT, span)
+    # The others one by one, against each other and against one of each that is whole.
+    single = alive.where(F.col("one").isNull() | (F.col("one") == F.struct(*CONTENT, "first")))
+
+    def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[int] = []
+            out: list[tuple[int, int, int]] = []
+            firsts, ahead = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for row, piece in enumerate(batch.column(2)):
+                own = piece.as_py()
+                for k in range(len(own) - length + 1):
+                    rows.append(row)
+                    out.append((firsts[row] + k, *_signed(xxhash.xxh3_128_intdigest(own[k : k + length], ahead[row] - k))))
+            at = pa.array(rows, pa.int64())
+            places, h1, h2 = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(at),
+                    batch.column(1).take(at),
+                    pa.array(places, pa.int32()),
+                    pa.array(h1, pa.int64()),
+                    pa.array(h2, pa.int64()),
+                ],
+                ["c1", "c2", "first", "h1", "h2"],
+            )
+
+    strings = single.select(*CONTENT, "piece", "first", "ahead").mapInArrow(
+        take_apart, "c1 bigint, c2 bigint, first int, h1 bigint, h2 bigint"
+    )
+    repeats = strings.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").select("h1", "h2")
+    alone = strings.join(repeats, ["h1", "h2"]).select(*CONTENT, F.struct("first", F.col("first").alias("last")).alias("span"))
+    return whole.unionByName(alone)
+
+
 def covered(spans: pa.ListScalar, size: int, length: int) -> np.ndarray:
     """Which bytes of a text of ``size`` bytes are in a string that starts in one of the spans."""
     mark = np.zeros(size + 1, dtype=np.int32)
@@ -332,10 +397,10 @@ def dedup_substrings(
     all of them lose what is long enough. Other columns are ignored; a null id stays null;
     an empty table gives no rows.
     """
-    spans = repeated_spans(docs, text, length, **settings)
+    spans = repeated_spans(docs, doc_id, text, length, **settings)
     rows = docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"),
-        *_content(text),
+        *content(F.col(text)),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
     ).join(spans, CONTENT, "left").select("doc_id", "text", "spans")
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]
