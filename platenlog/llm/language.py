@@ -29,6 +29,9 @@ LANDMARKS = 32
 LANGUAGES = 200
 RIDGE = 0.01
 UNDETERMINED = "und"
+# Unknown three-grams a text may have: this many times what all but a fiftieth of its
+# language's labelled texts have, and a share more.
+UNKNOWN = (2.0, 0.1, 0.98)
 HELD_OUT = (4, 2)
 ROWS = 256
 
@@ -66,6 +69,20 @@ class Model:
     presence: np.ndarray  # vocabulary x landmarks, 0 or 1 over the root of the landmark's number of n-grams
     weights: np.ndarray  # landmarks x languages
     offsets: np.ndarray
+    allowed: np.ndarray  # per language, the share of three-grams that no landmark has to be expected at most
+
+    def unknown(self, codes: np.ndarray) -> tuple[int, int]:
+        """How many of a text's three-grams no landmark has, and how many there are; of shorter letters if there are none."""
+        own = codes[codes >= 1 << 42]
+        own = own if len(own) else codes[codes != 32]
+        at = np.minimum(np.searchsorted(self.vocabulary, own), len(self.vocabulary) - 1)
+        return int((self.vocabulary[at] != own).sum()), len(own)
+
+    def foreign(self, codes: np.ndarray, language: int, sigmas: float) -> bool:
+        """More unknown than a labelled text of the language by so many standard deviations of a draw of its length."""
+        missing, n = self.unknown(codes)
+        share = min(1.0, float(self.allowed[language]))
+        return missing > share * n + sigmas * np.sqrt(n * share * (1 - share)) or missing == n
 
     def kernel(self, texts: list[np.ndarray]) -> np.ndarray:
         rows = np.zeros((len(texts), len(self.vocabulary)), dtype=np.float32)
@@ -89,7 +106,7 @@ def fit(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge
     presence = np.zeros((len(vocabulary), len(marks)), dtype=np.float32)
     for k, codes in enumerate(marks):
         presence[np.searchsorted(vocabulary, codes), k] = 1 / np.sqrt(len(codes))
-    model = Model(languages, vocabulary, presence, np.eye(len(marks)), np.zeros(len(marks)))
+    model = Model(languages, vocabulary, presence, np.eye(len(marks)), np.zeros(len(marks)), np.ones(len(languages)))
     values, vectors = np.linalg.eigh(presence.T.astype(np.float64) @ presence)
     kept = values > 1e-6 * values.max()
     to_features = vectors[:, kept] / np.sqrt(values[kept])
@@ -103,6 +120,17 @@ def fit(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge
     )
     model.weights = (to_features @ solved).astype(np.float32)
     model.offsets = mean - middle @ solved
+    # A landmark is judged by the others: what it alone has counts as unknown.
+    own = vocabulary[(presence > 0).sum(axis=1) == 1]
+    factor, more, quantile = UNKNOWN
+    for k, lang in enumerate(languages):
+        shares = []
+        for place, codes in enumerate(c for x, c in samples if x == lang):
+            missing, n = model.unknown(codes)
+            if place < landmarks:
+                missing = int(np.isin(codes[codes >= 1 << 42], own).sum())
+            shares.append(missing / max(n, 1))
+        model.allowed[k] = factor * np.quantile(shares, quantile) + more
     return model
 
 
@@ -150,8 +178,8 @@ def learn(
     return fit([(lang, np.array(rows["codes"][k].values)) for lang, _, k in samples])
 
 
-def predicted(model: Model | None, docs: DataFrame, text: Column) -> Column:
-    """A struct of ``lang_pred`` and ``score`` for a column of texts."""
+def predicted(model: Model | None, docs: DataFrame, text: Column, sigmas: float | None = None) -> Column:
+    """A struct of ``lang_pred`` and ``score`` for a column of texts; with ``sigmas``, foreign ones are ``und``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
@@ -164,7 +192,9 @@ def predicted(model: Model | None, docs: DataFrame, text: Column) -> Column:
         def score() -> None:
             if batch:
                 margins = model.scores([codes for _, codes in batch])
-                for (k, _), best, margin in zip(batch, margins.argmax(axis=1), margins.max(axis=1), strict=True):
+                for (k, codes), best, margin in zip(batch, margins.argmax(axis=1), margins.max(axis=1), strict=True):
+                    if sigmas is not None and model.foreign(codes, best, sigmas):
+                        continue
                     langs[k], scores[k] = model.languages[best], min(1.0, max(0.0, (float(margin) + 1) / 2))
                 batch.clear()
 
@@ -200,13 +230,23 @@ def identify(
 
 
 def accepted(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
+    least: float = 0.5,
+    sigmas: float | None = None,
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is in a learned language by a score of ``least`` or more."""
+    """The rows of ``docs``, all columns, whose text is in a learned language by a score of ``least`` or more.
+
+    Scores sum to one over the languages, so ``least`` tells the languages from each other
+    and not from others. With ``sigmas``, texts go that have more three-grams no landmark has than
+    labelled texts of the predicted language, short ones being given the chance of their length.
+    """
     model = learn(docs, doc_id, text, lang)
     columns = [F.col(f"`{name}`") for name in docs.columns]
     return (
-        docs.withColumn("__found", predicted(model, docs, F.col(text)))
+        docs.withColumn("__found", predicted(model, docs, F.col(text), sigmas))
         .where((F.col("__found.lang_pred") != UNDETERMINED) & (F.col("__found.score") >= least))
         .select(*columns)
     )
