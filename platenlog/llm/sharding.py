@@ -8,8 +8,10 @@ next one with room. Only what overflows moves away from its point.
 
 The stretches between points ("arcs") are a table of fixed size. The walk round
 the ring works on their byte totals alone; the documents are placed by their
-running byte count inside their arc. Arcs are cut into blocks by a hash of the
-document, so that an arc that holds a third of all rows is still many tasks.
+running byte count inside their arc. Arcs are cut into blocks by stretches of the text
+hash, and a text that alone exceeds a block by a hash of the row, so that an arc that
+holds a third of all rows is still many tasks, and copies are next to each other in it:
+where an arc is cut, at most the group that the cut falls in is parted.
 """
 
 from __future__ import annotations
@@ -100,6 +102,7 @@ def shard_documents(
         (F.octet_length(content) + 16).cast("bigint").alias("size"),
         F.crc32(F.encode(content, "UTF-8")).cast("bigint").alias("text_crc32"),
         F.pmod(F.xxhash64(content), F.lit(RING)).alias("place"),
+        F.xxhash64(content).alias("own"),
         F.xxhash64(F.col(doc_id), content).alias("mark"),
     )
     # The ring in equal cells, each with the points before it and those inside: CELLS rows.
@@ -128,33 +131,53 @@ def shard_documents(
     parts: dict[int, list[tuple[int, int]]] = {}
     for a, start, shard in walk_ring(sizes, owners, shards, slack):
         parts.setdefault(a, []).append((start, shard))
-    # One row per arc: bounded by shards * nodes, however large the data.
+    # One row per arc: bounded by shards * nodes, however large the data. The first arc runs over the ring's end.
+    spans = [(places[a - 1], (places[a] - places[a - 1]) % RING or RING) for a in range(len(points))]
     arcs = spark.createDataFrame(
         [
-            (a, -(-totals[a].n // each), [s for s, _ in sorted(parts[a])], [x for _, x in sorted(parts[a])])
+            (a, -(-totals[a].n // each), *spans[a], [s for s, _ in sorted(parts[a])], [x for _, x in sorted(parts[a])])
             for a in totals
         ],
-        "arc int, blocks bigint, starts array<bigint>, shards array<int>",
+        "arc int, blocks bigint, after bigint, span bigint, starts array<bigint>, shards array<int>",
     )
-    keyed = rows.join(F.broadcast(arcs), "arc").withColumn("block", F.pmod("mark", "blocks"))
-    inside = W.partitionBy("arc", "block").orderBy("place", "mark", "doc_id")
-    summed = keyed.withColumn("upto", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    block_sums = keyed.groupBy("arc", "block").agg(F.sum("size").alias("bytes"))
-    earlier = W.partitionBy("arc").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = block_sums.select(
-        "arc", "block", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("before")
+    keyed = rows.join(F.broadcast(arcs), "arc").withColumn(
+        "block", F.expr("pmod(place - after - 1, %d) * blocks div span" % RING)
+    )
+    # Texts that alone exceed a block: no more than there are blocks of rows.
+    hot = (
+        keyed.groupBy("arc", "block", "place", "own")
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") > each)
+        .groupBy("arc", "block")
+        .agg(F.collect_list(F.struct("place", "own", F.ceil(F.col("n") / each).alias("salts"))).alias("hot"))
     )
+    text_place = F.struct("place", "own")
+    earlier_hot = F.size(F.filter("hot", lambda h: F.struct(h["place"], h["own"]) < text_place))
+    salts = F.filter("hot", lambda h: (h["place"] == F.col("place")) & (h["own"] == F.col("own")))
+    is_hot = F.coalesce(F.size(salts) > 0, F.lit(False))
+    keyed = (
+        keyed.join(F.broadcast(hot), ["arc", "block"], "left")
+        .withColumn("part", F.when(F.col("hot").isNull(), 0).otherwise(2 * earlier_hot + is_hot.cast("int")))
+        .withColumn("salt", F.when(is_hot, F.pmod("mark", F.get(salts, F.lit(0))["salts"])).otherwise(F.lit(0)))
+        .drop("hot")
+    )
+    block = ["block", "part", "salt"]
+    inside = W.partitionBy("arc", *block).orderBy("place", "own", "mark", "doc_id")
+    summed = keyed.withColumn("upto", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    block_sums = keyed.groupBy("arc", *block).agg(F.sum("size").alias("bytes"))
+    earlier = W.partitionBy("arc").orderBy(*block).rowsBetween(W.unboundedPreceding, -1)
+    offsets = block_sums.select("arc", *block, F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("before"))
     # A document goes where its middle byte falls.
     middle = F.col("before") + F.col("upto") - F.shiftright("size", 1) - 1
-    placed = summed.join(offsets, ["arc", "block"]).withColumn(
+    placed = summed.join(offsets, ["arc", *block]).withColumn(
         "shard", F.get("shards", F.size(F.filter("starts", lambda s: s <= middle)) - 1)
     )
     ranked = placed.withColumn(
-        "rank", F.row_number().over(W.partitionBy("arc", "block", "shard").orderBy("upto"))
+        "rank", F.row_number().over(W.partitionBy("arc", *block, "shard").orderBy("upto"))
     )
-    counts = placed.groupBy("shard", "arc", "block").agg(F.count("*").alias("rows"))
-    before = W.partitionBy("shard").orderBy("arc", "block").rowsBetween(W.unboundedPreceding, -1)
-    firsts = counts.select("shard", "arc", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
-    return ranked.join(firsts, ["shard", "arc", "block"]).select(
+    counts = placed.groupBy("shard", "arc", *block).agg(F.count("*").alias("rows"))
+    before = W.partitionBy("shard").orderBy("arc", *block).rowsBetween(W.unboundedPreceding, -1)
+    firsts = counts.select("shard", "arc", *block, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
+    return ranked.join(firsts, ["shard", "arc", *block]).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("rank") - 1).cast("bigint").alias("slot")
     )
