@@ -129,9 +129,74 @@ select d.doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed,
 from parts join docs_ d using (r) group by d.r, d.doc_id
 """
 
+DIVERGENCE = r"""
+with docs_ as (
+    select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts
+    from documents
+), words as materialized (
+    select r, lang, source, t, count(*) as n from (select r, lang, source, unnest(ts) as t from docs_) group by all
+), kept as materialized (select lang, t, sum(n) as n from words group by lang, t having count(*) >= 30),
+counts as materialized (select w.lang, w.source, w.t, sum(w.n) as n from words w join kept using (lang, t) group by all),
+groups_ as (select distinct lang, source from docs_),
+langs as (select lang, count(*) as v, sum(n) as n from kept group by lang),
+sized as materialized (
+    select g.lang, g.source, coalesce(l.v, 0) as v, l.n as lang_n,
+        coalesce((select sum(c.n) from counts c where c.lang = g.lang and c.source = g.source), 0) as n
+    from groups_ g left join langs l using (lang)
+), shares as materialized (
+    select s.lang, s.source, k.t, coalesce(c.n, 0) as n,
+        1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)::hugeint) // (s.n + 5 * s.v)::hugeint as p,
+        1 + (1000000000::hugeint * (k.n + 5)::hugeint) // (s.lang_n + 5 * s.v)::hugeint as q
+    from sized s join kept k using (lang) left join counts c on c.lang = s.lang and c.source = s.source and c.t = k.t
+), apart as (
+    select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+    from shares a join shares b on a.lang = b.lang and a.t = b.t and a.source <> b.source group by all
+), pairs as (
+    select a.lang, a.source, b.source as item, coalesce(x.value, 0) as value
+    from groups_ a join groups_ b on a.lang = b.lang and a.source <> b.source
+    left join apart x on x.lang = a.lang and x.source = a.source and x.item = b.source
+), all_ as (
+    select lang, source, 'pair' as part, item, cast(value as bigint) as value from pairs
+    union all
+    select lang, source, 'term', t, cast(p - q as bigint) from shares where n > 0 and p > q
+), ranked as (
+    select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from all_
+)
+select lang, source, part, item, value, cast(rank as int) as rank from ranked where part = 'pair' or rank <= 50
+"""
+
+NEGATIVES = """
+with rows_ as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+    from embeddings
+    where label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+    select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same,
+        list_sum(list_transform(list_zip(a.v, r.v), lambda x: x[1] * x[2])) as score
+    from rows_ a join rows_ r on a.vec_id % 100 = 0 and r.vec_id <> a.vec_id and len(r.v) = len(a.v)
+), positives as (
+    select * from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as k from scored where same)
+    where k <= 5
+), found as (
+    select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score,
+        row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id) as rank
+    from positives p join scored n on n.anchor_id = p.anchor_id and not n.same
+        and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score
+)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, cast(positive_score as bigint) as positive_score,
+    cast(negative_score as bigint) as negative_score
+from found where rank <= 10
+"""
+
 EXPECTED = {
     "op1_packing": packing_sql(2048, 8, 16_384),
     "op6_chat": CHAT,
     "op8_lines": LINES,
     "op10_decontamination": DECONTAMINATION,
+    "op12_divergence": DIVERGENCE,
+    "op13_negatives": NEGATIVES,
 }

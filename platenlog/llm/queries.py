@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platenlog.llm import ann, chat, decontamination, language, lines, packing, pii, sharding, simhash, substrings
+from platenlog.llm import (
+    ann,
+    chat,
+    decontamination,
+    divergence,
+    language,
+    lines,
+    negatives,
+    packing,
+    pii,
+    secret_scan,
+    sharding,
+    simhash,
+    substrings,
+)
 
 SHARDS = 40
 
@@ -89,6 +103,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    vectors = table(spark, sf_dir, "embeddings").select(
+        "vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label")
+    )
+    return negatives.mine_negatives(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -100,4 +130,7 @@ QUERIES = {
     "op8_lines": op8_lines,
     "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
+    "op11_secrets": op11_secrets,
+    "op12_divergence": op12_divergence,
+    "op13_negatives": op13_negatives,
 }
