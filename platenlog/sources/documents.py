@@ -38,12 +38,13 @@ def _replace_days(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
-def archive_in_place(judged: DataFrame, path: str) -> None:
+def archive_in_place(judged: DataFrame, path: str, batch_id: int | None = None) -> None:
     """Write the payloads of all prints let in, where they were read: no payload is shuffled.
 
     Whether a print is stored does not depend on its job id, so payloads are
     kept under session and ``seq`` and get their names from the registry when
-    they are looked for, see ``with_file_names``.
+    they are looked for, see ``with_file_names``. With a batch id that batch's partition is
+    replaced, without one the days are.
     """
     stored = judged.where((F.col("op_code") == codes.PRINT_JOB) & (F.col("status") == codes.OK))
     rows = stored.select(
@@ -53,7 +54,11 @@ def archive_in_place(judged: DataFrame, path: str) -> None:
         F.date_trunc("second", F.col("arrived_at").cast("timestamp")).alias("modified"),
         "payload",
     )
-    _replace_days(rows.withColumn("day", F.to_date("modified")), path)
+    dated = rows.withColumn("day", F.to_date("modified"))
+    if batch_id is None:
+        _replace_days(dated, path)
+    else:
+        dated.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch_id={batch_id}")
 
 
 def with_file_names(archive: DataFrame, jobs: DataFrame) -> DataFrame:

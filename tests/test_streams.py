@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from platenlog.operators.catalogue import page
 from platenlog.operators.jobs import assign_job_ids, job_lookup, register_jobs
 from platenlog.operators.presence import presence_intervals
-from platenlog.sources.documents import list_archive, notify_jobs
+from platenlog.sources.documents import notify_jobs
 from platenlog.sources.messages import read_message_stream
-from platenlog.streaming import registry
+from platenlog.streaming import registry, runs
 from platenlog.streaming.admission import judged_messages, stream_admission
 from platenlog.streaming.presence import stream_presence
 from tests.messages import CHARSET, attr, message
@@ -92,11 +92,11 @@ def test_lookups_equal_batch(spark, served):
 def test_archive_and_listing_equal_batch(spark, served):
     log, path, _ = served
     batch = register_jobs(assign_job_ids(log))
-    archive = spark.read.parquet(f"{path}/archive")
+    archive = registry.archive_table(spark, path)
     assert rows_of(archive.select("file_name", "session_id", F.length("payload").alias("n"))) == rows_of(
         batch.select("file_name", "session_id", F.col("size_bytes").alias("n"))
     )
-    files = list_archive(spark, f"{path}/archive")
+    files = archive.select("session_id", "file_name", "size_bytes", "modified")
     assert rows_of(registry.newest_page(spark, path)) == rows_of(page(files, 0).drop("page", "pages"))
 
 
@@ -128,9 +128,9 @@ def test_quiet_batches_keep_counters(spark, tmp_path):
     make = lambda *rows: spark.createDataFrame(list(rows), SCHEMA)
     job = lambda seq, **kw: (seq, "s", NOON, kw.get("op", 2), "n", "u", None, 5, None, kw.get("avail"))
     step(make(job(1), job(2, avail=0)), 0)
-    for batch_id in range(1, 2 * registry.SNAPSHOTS_KEPT):
+    for batch_id in range(1, 2 * runs.BASE):
         step(make(job(10 + batch_id, op=4)), batch_id)
-    step(make(job(90), job(91)), 2 * registry.SNAPSHOTS_KEPT)
+    step(make(job(90), job(91)), 2 * runs.BASE)
     assert sorted((r.created_seq, r.job_id) for r in registry.jobs_table(spark, path).collect()) == [(1, 1), (90, 3), (91, 4)]
 
 
