@@ -32,35 +32,47 @@ def unless(absent: Column, part: Column) -> Column:
     return F.when(absent, F.unhex(F.lit(""))).otherwise(part)
 
 
-def header(log: DataFrame) -> Column:
-    """Everything up to and including the end marker."""
-    return F.concat(
-        F.unhex(F.lit("0101")),
-        fixed(F.col("op_code"), 2),
-        fixed(F.col("seq"), 4),
-        F.unhex(F.lit("01")),
-        attribute(codes.CHARSET, "attributes-charset", text(F.lit("utf-8"))),
-        attribute(codes.NATURAL_LANGUAGE, "attributes-natural-language", text(F.lit("en"))),
-        attribute(codes.URI, "printer-uri", text(F.lit("ipp://192.0.2.1:6310/ipp/print"))),
-        unless(
-            F.col("user_name") == "unknown", attribute(codes.NAME, "requesting-user-name", text(F.col("user_name")))
-        ),
-        unless(F.col("job_name") == "Untitled", attribute(codes.NAME, "job-name", text(F.col("job_name")))),
-        unless(
-            F.col("document_format") == codes.DEFAULT_FORMAT,
-            attribute(codes.MIME_TYPE, "document-format", text(F.col("document_format"))),
-        ),
-        unless(
-            F.col("lookup_job_id").isNull(),
-            attribute(codes.INTEGER, "job-id", fixed(F.coalesce("lookup_job_id", F.lit(0)), 4)),
-        ),
-        F.unhex(F.lit("03")),
-    )
+def attributes(log: DataFrame) -> list[tuple[int, str, Column, Column | None]]:
+    """Tag, name and value of what a message says, in order, and where it is left out."""
+    return [
+        (codes.CHARSET, "attributes-charset", text(F.lit("utf-8")), None),
+        (codes.NATURAL_LANGUAGE, "attributes-natural-language", text(F.lit("en")), None),
+        (codes.URI, "printer-uri", text(F.lit("ipp://192.0.2.1:6310/ipp/print")), None),
+        (codes.NAME, "requesting-user-name", text(F.col("user_name")), F.col("user_name") == "unknown"),
+        (codes.NAME, "job-name", text(F.col("job_name")), F.col("job_name") == "Untitled"),
+        (codes.MIME_TYPE, "document-format", text(F.col("document_format")), F.col("document_format") == codes.DEFAULT_FORMAT),
+        (codes.INTEGER, "job-id", fixed(F.coalesce("lookup_job_id", F.lit(0)), 4), F.col("lookup_job_id").isNull()),
+    ]
 
 
-def capture(log: DataFrame) -> DataFrame:
-    """``seq, session_id, arrived_at, avail_bytes, body`` for every request of a log with payloads."""
+def header(log: DataFrame) -> Column:
+    """Everything up to and including the end marker."""
+    parts = [
+        attribute(tag, name, value) if absent is None else unless(absent, attribute(tag, name, value))
+        for tag, name, value, absent in attributes(log)
+    ]
+    fixed_part = [F.unhex(F.lit("0101")), fixed(F.col("op_code"), 2), fixed(F.col("seq"), 4)]
+    return F.concat(*fixed_part, F.unhex(F.lit("01")), *parts, F.unhex(F.lit("03")))
+
+
+def text_places(log: DataFrame) -> tuple[Column, Column]:
+    """Where in a body the names are, and the values that are texts: arrays of (start, length), from 0."""
+    names, texts = [], []
+    at = F.lit(9)
+    for tag, name, value, absent in attributes(log):
+        held = F.lit(True) if absent is None else ~absent
+        size = F.octet_length(value)
+        own = len(name.encode())
+        names.append(F.when(held, F.struct((at + 3).alias("start"), F.lit(own).alias("length"))))
+        if tag != codes.INTEGER:
+            texts.append(F.when(held, F.struct((at + 5 + own).alias("start"), size.alias("length"))))
+        at = at + F.when(held, 5 + own + size).otherwise(0)
+    return F.array_compact(F.array(*names)), F.array_compact(F.array(*texts))
+
+
+def capture(log: DataFrame, *more: str) -> DataFrame:
+    """``seq, session_id, arrived_at, avail_bytes, body`` for every request of a log with payloads, and columns named."""
     document = unless(F.col("doc_bytes") == 0, F.col("payload"))
     return log.select(
-        "seq", "session_id", "arrived_at", "avail_bytes", F.concat(header(log), document).alias("body")
+        "seq", "session_id", "arrived_at", "avail_bytes", F.concat(header(log), document).alias("body"), *more
     )

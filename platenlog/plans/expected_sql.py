@@ -153,22 +153,32 @@ http AS (
   FROM documents
 )"""
 
-# The shared head of a captured body, in bytes: 8 of fixed fields, 1 group marker,
-# then per attribute 1 tag, 2 and 2 of lengths, its name and its value.
-CHARSET_BYTES = 5 + len("attributes-charset") + len("utf-8")
-LANGUAGE_BYTES = 5 + len("attributes-natural-language") + len("en")
-URI_VALUE_AT = 9 + CHARSET_BYTES + LANGUAGE_BYTES + 5 + len("printer-uri")
-
-DAMAGE = f"""
+# A captured header in bytes: 8 of fixed fields, 1 group marker, then per attribute 1 tag, 2 and 2 of
+# lengths, its name and its value, and 1 end marker. Needs the attributes as ``written``.
+DAMAGE = """
+sized AS (
+  SELECT seq, place, tag, length(name) AS names, CASE WHEN s IS NULL THEN 4 ELSE strlen(s) END AS valued FROM written
+),
+laid AS (
+  SELECT *, CAST(9 + sum(5 + names + valued) OVER (PARTITION BY seq ORDER BY place) AS BIGINT) - 5 - names - valued AS start
+  FROM sized
+),
+headers AS (SELECT seq, CAST(10 + sum(5 + names + valued) AS BIGINT) AS header_len FROM sized GROUP BY seq),
+cuts AS (SELECT seq, header_len, CASE WHEN seq % 9 BETWEEN 1 AND 6 THEN seq * 7919 % header_len END AS cut FROM headers),
+met AS (
+  SELECT c.seq, c.cut, l.names, l.valued, c.cut - l.start - 1 AS room
+  FROM cuts c LEFT JOIN laid l ON l.seq = c.seq AND c.cut > l.start AND c.cut < l.start + 5 + l.names + l.valued
+),
 damage AS (
-  SELECT doc_id AS seq,
-         CASE doc_id % 9 WHEN 0 THEN NULL WHEN 8 THEN 'bad-utf8' ELSE 'end-of-data' END AS wrong,
-         CAST(CASE doc_id % 9 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 4 WHEN 4 THEN 1 WHEN 5 THEN 2
-                              WHEN 6 THEN {len("attributes-charset")}
-                              WHEN 7 THEN {len("ipp://192.0.2.1:6310/ipp/print")} END AS BIGINT) AS need,
-         CAST(CASE doc_id % 9 WHEN 1 THEN 0 WHEN 2 THEN 3 - 2 WHEN 3 THEN 6 - 4 WHEN 4 THEN 8 - 8 WHEN 5 THEN 11 - 10
-                              WHEN 6 THEN 22 - 12 WHEN 7 THEN 100 - {URI_VALUE_AT} END AS BIGINT) AS have
-  FROM documents
+  SELECT seq,
+         CASE WHEN seq % 9 = 0 THEN NULL WHEN seq % 9 >= 7 THEN 'bad-utf8' ELSE 'end-of-data' END AS wrong,
+         CAST(CASE WHEN cut < 2 THEN 1 WHEN cut < 4 THEN 2 WHEN cut < 8 THEN 4 WHEN room IS NULL AND cut IS NOT NULL THEN 1
+                   WHEN room < 2 THEN 2 WHEN room < 2 + names THEN names
+                   WHEN room < 4 + names THEN 2 WHEN cut IS NOT NULL THEN valued END AS BIGINT) AS need,
+         CAST(CASE WHEN cut < 2 THEN 0 WHEN cut < 4 THEN cut - 2 WHEN cut < 8 THEN cut - 4 WHEN room IS NULL AND cut IS NOT NULL THEN 0
+                   WHEN room < 2 THEN room WHEN room < 2 + names THEN room - 2
+                   WHEN room < 4 + names THEN room - 2 - names WHEN cut IS NOT NULL THEN room - 4 - names END AS BIGINT) AS have
+  FROM met
 )"""
 
 NOT_HERE = "content_type IS NULL OR NOT starts_with(content_type, 'application/ipp')"
@@ -389,11 +399,11 @@ EXPECTED = {
     "exploded_attributes": f"""WITH {REQUESTS}, {DECODED_ATTRIBUTES}
         SELECT seq, CAST(row_number() OVER (PARTITION BY seq ORDER BY place) AS INT) AS attr_pos, name, 1 AS value_pos,
                tag, s AS str_value, CAST(i AS INT) AS int_value FROM written""",
-    "split_rejects": f"WITH {DAMAGE} SELECT seq, wrong AS reason, need, have FROM damage WHERE wrong IS NOT NULL",
-    "reject_rollup": f"""WITH {DAMAGE}
+    "split_rejects": f"WITH {REQUESTS}, {DECODED_ATTRIBUTES}, {DAMAGE} SELECT seq, wrong AS reason, need, have FROM damage WHERE wrong IS NOT NULL",
+    "reject_rollup": f"""WITH {REQUESTS}, {DECODED_ATTRIBUTES}, {DAMAGE}
         SELECT wrong AS reason, need, have, count(*) AS messages FROM damage WHERE wrong IS NOT NULL
         GROUP BY wrong, need, have""",
-    "judged_messages": f"""WITH {ADMITTED}, {HTTP}, {DAMAGE},
+    "judged_messages": f"""WITH {ADMITTED}, {HTTP}, {DECODED_ATTRIBUTES}, {DAMAGE},
         g AS (SELECT a.seq, a.status, a.reason, d.wrong,
                      CASE WHEN method <> 'POST' OR path NOT IN ('/ipp/print', '/') THEN 404
                           WHEN {NOT_HERE} THEN 400 ELSE 200 END AS gate
@@ -411,7 +421,7 @@ EXPECTED = {
     "value_blocks": f"WITH {TOKENS} SELECT msg, grp, pos, attr_pos FROM islands",
     "presence_intervals": _presence(3600),
     "presence_record_lifetime": _presence(120),
-    "stream_admission": f"""WITH {ADMITTED}, {DAMAGE}
+    "stream_admission": f"""WITH {ADMITTED}, {DECODED_ATTRIBUTES}, {DAMAGE}
         SELECT seq, CASE WHEN wrong IS NULL THEN 200 ELSE 400 END AS http_status,
                CASE WHEN wrong IS NULL THEN status END AS status, coalesce(wrong, reason) AS reason
         FROM admitted JOIN damage USING (seq)""",

@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platenlog.functions import codes, device, display, naming, numbers
 from platenlog.operators import attributes, catalogue, decode, presence, rollups
 from platenlog.operators.admission import admission, dispatch, gate
 from platenlog.operators.jobs import assign_job_ids, job_lookup, print_answers, register_jobs
-from platenlog.plans.capture import attribute, capture, fixed, text
+from platenlog.plans.capture import attribute, capture, fixed, header, text, text_places
 from platenlog.plans.flow import registry_from_requests, requests_from_capture
 from platenlog.plans.requests import key_range, request_log, table
 from platenlog.plans.session import work_path
@@ -90,38 +90,52 @@ def attribute_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def http_columns(key: str) -> dict[str, Column]:
+    """What came with a request, some of which breaks a rule."""
+    k = F.col(key)
+    return {
+        "method": F.when(k % 9 == 0, "GET").otherwise("POST"),
+        "path": F.when(k % 8 == 0, "/ipp/other").when(k % 8 == 1, "/").otherwise("/ipp/print"),
+        "content_type": F.when(k % 7 == 0, None)
+        .when(k % 7 == 1, "application/ipp; charset=utf-8")
+        .when(k % 7 == 2, "text/html")
+        .when(k % 7 == 3, "Application/ipp")
+        .otherwise("application/ipp"),
+    }
+
+
 def http_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as HTTP requests, some of which break a rule."""
+    """Documents as HTTP requests."""
     k = F.col("doc_id")
+    size = F.octet_length("text")
     return table(spark, sf_dir, "documents").select(
         k.alias("seq"),
-        F.when(k % 9 == 0, "GET").otherwise("POST").alias("method"),
-        F.when(k % 8 == 0, "/ipp/other").when(k % 8 == 1, "/").otherwise("/ipp/print").alias("path"),
-        F.when(k % 7 == 0, None)
-        .when(k % 7 == 1, "application/ipp; charset=utf-8")
-        .when(k % 7 == 2, "text/html")
-        .when(k % 7 == 3, "Application/ipp")
-        .otherwise("application/ipp")
-        .alias("content_type"),
-        F.when(k % 10 == 0, codes.MAX_BODY_BYTES + 1)
-        .when(k % 10 == 1, codes.MAX_BODY_BYTES)
-        .otherwise(F.octet_length("text"))
-        .cast("bigint")
-        .alias("body_bytes"),
+        *[column.alias(name) for name, column in http_columns("doc_id").items()],
+        F.when(k % 10 == 0, codes.MAX_BODY_BYTES + 1).when(k % 10 == 1, codes.MAX_BODY_BYTES).otherwise(size).cast("bigint").alias("body_bytes"),
     )
 
 
 def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captured bodies of which most are cut short, at points in the part all share, or garbled."""
-    k = F.col("seq") % 9
-    body = F.col("body")
-    cut = (
-        F.when(k == 1, 0).when(k == 2, 3).when(k == 3, 6).when(k == 4, 8).when(k == 5, 11).when(k == 6, 22).when(k == 7, 100)
-    )
-    garbled = F.concat(F.substr(body, F.lit(1), F.lit(14)), F.unhex(F.lit("FF")), F.substr(body, F.lit(16)))
-    return capture(request_log(spark, sf_dir, payload=True)).withColumn(
-        "body", F.when(k == 8, garbled).when(cut.isNotNull(), F.substr(body, F.lit(1), cut)).otherwise(body)
+    """Captured bodies of which most are cut short, anywhere in their header, or garbled in a name or a text."""
+    log = request_log(spark, sf_dir, payload=True)
+    seq = F.col("seq")
+    names, texts = text_places(log)
+    bodies = log.select("*", F.octet_length(header(log)).alias("_length"), names.alias("_names"), texts.alias("_texts"))
+
+    def garbled(places: str):
+        """One byte of one of the places becomes FF, which no text has."""
+        place = F.element_at(places, (1 + seq % F.size(places)).cast("int"))
+        at = (place["start"] + seq % place["length"]).cast("int")
+        return F.concat(F.substr("body", F.lit(1), at), F.unhex(F.lit("FF")), F.substr("body", at + 2))
+
+    body = (
+        F.when(seq % 9 == 0, F.col("body"))
+        .when(seq % 9 == 7, garbled("_names"))
+        .when(seq % 9 == 8, garbled("_texts"))
+        .otherwise(F.substr("body", F.lit(1), (seq * 7919 % F.col("_length")).cast("int")))
     )
+    whole = capture(bodies, "_length", "_names", "_texts")
+    return whole.withColumn("body", body).drop("_length", "_names", "_texts")
 
 
 def devices_of(spark: SparkSession, sf_dir: str, name: str, key: str, label: str) -> DataFrame:
@@ -479,8 +493,8 @@ def reject_rollup(spark, sf_dir):
 
 
 def judged(spark, sf_dir):
-    http = http_rows(spark, sf_dir).drop("body_bytes").withColumnRenamed("seq", "_seq")
-    messages = damaged(spark, sf_dir).join(http, F.col("seq") == F.col("_seq")).drop("_seq")
+    # The HTTP columns follow from the message's own number: nothing is joined.
+    messages = damaged(spark, sf_dir).withColumns(http_columns("seq"))
     return judged_messages(messages).select("seq", "http_status", "status", "reason")
 
 
@@ -555,12 +569,10 @@ def streamed_archive(spark, sf_dir):
     path = work_path(spark, "registry")
     log = arriving_log(spark, sf_dir, payload=True)
     registry.stream_archive(log, path, work_path(spark, "checkpoint")).awaitTermination()
-    return spark.read.parquet(f"{path}/archive").select(
-        "session_id",
-        "file_name",
-        "size_bytes",
-        F.md5("payload").alias("digest"),
-        F.date_format("day", "yyyy-MM-dd").alias("day"),
+    # Digests are made where the payloads lie, and get names; payloads do not move.
+    archive = spark.read.parquet(f"{path}/archive").withColumn("digest", F.md5("payload")).drop("payload")
+    return with_file_names(archive, registry.jobs_table(spark, path)).select(
+        "session_id", "file_name", "size_bytes", "digest", F.date_format("day", "yyyy-MM-dd").alias("day")
     )
 
 
