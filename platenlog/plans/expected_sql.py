@@ -181,6 +181,37 @@ damage AS (
   FROM met
 )"""
 
+# The damaged bodies themselves, as hexadecimal digits until they are hashed.
+BODIES = """
+shown AS (
+  SELECT l.seq, l.place, l.start, l.names, l.valued,
+         printf('%02x%04x', l.tag, l.names) || lower(hex(encode(w.name))) || printf('%04x', l.valued)
+           || CASE WHEN w.s IS NULL THEN printf('%08x', w.i) ELSE lower(hex(encode(w.s))) END AS digits
+  FROM laid l JOIN written w USING (seq, place)
+),
+whole AS (
+  SELECT r.seq, h.header_len,
+         printf('0101%04x%08x01', r.op_code, r.seq)
+           || (SELECT string_agg(digits, '' ORDER BY place) FROM shown s WHERE s.seq = r.seq) || '03' AS head,
+         CASE WHEN r.doc_bytes = 0 THEN '' ELSE lower(hex(encode(r.text))) END AS tail
+  FROM requests r JOIN headers h USING (seq)
+),
+garbled AS (
+  SELECT seq, start + 3 + seq % names AS at FROM (
+    SELECT *, row_number() OVER (PARTITION BY seq ORDER BY place) - 1 AS n, count(*) OVER (PARTITION BY seq) AS many
+    FROM laid WHERE seq % 9 = 7) WHERE n = seq % many
+  UNION ALL
+  SELECT seq, start + 5 + names + seq % valued FROM (
+    SELECT *, row_number() OVER (PARTITION BY seq ORDER BY place) - 1 AS n, count(*) OVER (PARTITION BY seq) AS many
+    FROM laid WHERE seq % 9 = 8 AND tag <> 33) WHERE n = seq % many
+),
+bodies AS (
+  SELECT w.seq, md5(unhex(CASE WHEN c.cut IS NOT NULL THEN left(head, 2 * c.cut)
+      WHEN g.at IS NOT NULL THEN left(head, 2 * g.at) || 'ff' || substr(head, 2 * g.at + 3) || tail
+      ELSE head || tail END)) AS digest
+  FROM whole w JOIN cuts c USING (seq) LEFT JOIN garbled g USING (seq)
+)"""
+
 NOT_HERE = "content_type IS NULL OR NOT starts_with(content_type, 'application/ipp')"
 
 
@@ -429,6 +460,20 @@ EXPECTED = {
     "stream_archive": f"""WITH {JOBS}
         SELECT session_id, file_name, size_bytes, md5(text) AS digest,
                strftime(make_timestamp(time_created * 1000000), '%Y-%m-%d') AS day FROM jobs""",
+    # Rejects draw no number.
+    "stream_capture": f"""WITH {ADMITTED}, {DECODED_ATTRIBUTES}, {DAMAGE}, {BODIES},
+        sound AS (SELECT a.* FROM admitted a JOIN damage d USING (seq) WHERE wrong IS NULL),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS job_id,
+                            CAST(floor(epoch(arrived_at)) AS BIGINT) AS time_created
+                     FROM sound WHERE op_code = 2 AND format_ok AND doc_bytes > 0)
+        SELECT 'job' AS kind, seq, session_id, job_id,
+               time_created || '_' || job_id || '_'
+                 || substring(regexp_replace(job_name, '[^\\p{{L}}\\p{{N}}_.-]', '_', 'g'), 1, 64) || '.pdf' AS file_name,
+               doc_bytes AS size_bytes, md5(text) AS digest, NULL AS reason, NULL::BIGINT AS need, NULL::BIGINT AS have
+        FROM numbered WHERE status = 0
+        UNION ALL
+        SELECT 'reject', seq, session_id, NULL, NULL, NULL, digest, wrong, need, have
+        FROM damage JOIN requests USING (seq) JOIN bodies USING (seq) WHERE wrong IS NOT NULL""",
     "stream_lookup": f"WITH {LOOKUPS} SELECT * FROM lookups",
     "stream_listing": f"""WITH {LISTED}
         SELECT session_id, position, file_name, size_bytes, files FROM listed WHERE page = 0""",

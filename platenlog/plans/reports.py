@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import partial
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from platenlog.plans.session import work_path
 from platenlog.sources.devices import device_attributes, device_snapshots
 from platenlog.sources.documents import archive_documents, archive_in_place, list_archive, notify_jobs, with_file_names
 from platenlog.sources.messages import read_message_stream, read_messages
-from platenlog.streaming import registry
+from platenlog.streaming import intake, registry
 from platenlog.streaming.admission import judged_messages, stream_admission
 from platenlog.streaming.presence import open_spans, stream_presence
 
@@ -565,6 +566,40 @@ def streamed_registry(spark, sf_dir):
     return registry.jobs_table(spark, path).drop("batch_id")
 
 
+def streamed_capture(spark, sf_dir):
+    """From bodies to jobs and rejects; the second batch fails half way, and the stream is started again."""
+    bodies = damaged(spark, sf_dir)
+    source, path, checkpoint = arrivals(spark, bodies), work_path(spark, "captured"), work_path(spark, "checkpoint")
+    failures = [1]
+
+    def stumble(batch: DataFrame, batch_id: int) -> None:
+        if batch_id in failures:
+            failures.remove(batch_id)
+            raise RuntimeError("the second batch fails once, after its jobs were numbered")
+
+    def run():
+        stream = read_message_stream(spark, source, bodies.schema, max_files=FILES_A_BATCH)
+        intake.stream_capture(stream, path, checkpoint, stumble).awaitTermination()
+
+    try:
+        run()
+    except StreamingQueryException:
+        run()
+    jobs = registry.jobs_table(spark, path).select(
+        F.lit("job").alias("kind"), F.col("created_seq").alias("seq"), "session_id", "job_id", "file_name", "size_bytes"
+    )
+    documents = intake.documents(spark, path).select("seq", F.md5("payload").alias("digest"))
+    why = F.struct("error.*")
+    bad = intake.rejects(spark, path).select(
+        F.lit("reject").alias("kind"), "seq", "session_id", F.md5("body").alias("digest"), why.alias("why")
+    )
+    return (
+        jobs.join(documents, "seq")
+        .unionByName(bad, allowMissingColumns=True)
+        .select("kind", "seq", "session_id", "job_id", "file_name", "size_bytes", "digest", "why.reason", "why.need", "why.have")
+    )
+
+
 def streamed_archive(spark, sf_dir):
     path = work_path(spark, "registry")
     log = arriving_log(spark, sf_dir, payload=True)
@@ -701,6 +736,7 @@ REPORTS = {
     "stream_admission": streamed_admission,
     "stream_registry": streamed_registry,
     "stream_archive": streamed_archive,
+    "stream_capture": streamed_capture,
     "stream_lookup": streamed_lookups,
     "stream_listing": streamed_listing,
     "notify_jobs": streamed_notices,
