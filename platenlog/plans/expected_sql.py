@@ -480,4 +480,12 @@ EXPECTED = {
     "notify_jobs": f"""WITH {JOBS} SELECT job_id, '/archive/' || file_name AS file_path, file_name, size_bytes, session_id
         FROM jobs""",
     "stream_presence": _presence(3600),
+    # The watermark, in whole milliseconds, stands two minutes below the last announcement.
+    "stream_presence_changes": f"""WITH spans AS ({_presence(3600)}),
+        settled AS (SELECT epoch_us(max(ts)) // 1000 * 1000 - 120000000 AS upto FROM events)
+        SELECT device_id, 'online' AS change, online_from_us AS at_us, online_from_us, NULL::BIGINT AS announcements
+        FROM spans, settled WHERE online_from_us <= upto
+        UNION ALL
+        SELECT device_id, 'offline', offline_at_us, online_from_us, announcements FROM spans, settled
+        WHERE offline_at_us <= upto""",
 }

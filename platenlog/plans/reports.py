@@ -19,13 +19,13 @@ from platenlog.operators.jobs import assign_job_ids, job_lookup, print_answers,
 from platenlog.plans.capture import attribute, capture, fixed, header, text, text_places
 from platenlog.plans.flow import registry_from_requests, requests_from_capture
 from platenlog.plans.requests import key_range, request_log, table
-from platenlog.plans.session import work_path
+from platenlog.plans.session import STREAM_SETTINGS, work_path
 from platenlog.sources.devices import device_attributes, device_snapshots
 from platenlog.sources.documents import archive_documents, archive_in_place, list_archive, notify_jobs, with_file_names
 from platenlog.sources.messages import read_message_stream, read_messages
 from platenlog.streaming import intake, registry
 from platenlog.streaming.admission import judged_messages, stream_admission
-from platenlog.streaming.presence import open_spans, stream_presence
+from platenlog.streaming.presence import open_spans, stream_presence, stream_presence_changes
 
 PRINTER_URI = "ipp://192.0.2.1:6310/ipp/print"
 ARRIVALS = 4
@@ -674,18 +674,51 @@ def streamed_notices(spark, sf_dir):
     return spark.read.parquet(told).drop("batch_id")
 
 
-def streamed_presence(spark, sf_dir, ttl=3600):
-    """Announcements up to 100 seconds out of order, over several batches; spans that have ended, and those still open."""
+def late_announcements(spark, sf_dir):
+    """Announcements up to 100 seconds out of order, over several batches."""
     heard = announcements(spark, sf_dir)
     begun = heard.agg(F.min(F.unix_seconds("ts")).alias("at")).first()["at"]
     late = F.pmod(F.xxhash64("device_id", "ts"), F.lit(100))
     staged = heard.withColumn("due", F.unix_seconds("ts") - F.lit(begun) + late)
-    stream = read_message_stream(spark, arrivals(spark, staged, "due"), staged.schema, max_files=FILES_A_BATCH)
+    return read_message_stream(spark, arrivals(spark, staged, "due"), staged.schema, max_files=FILES_A_BATCH).drop("due")
+
+
+def _with_settings(spark: SparkSession, settings: dict[str, str], run) -> None:
+    """Run with the settings of a long-running stream, and put back those of the session."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        run()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def streamed_presence(spark, sf_dir, ttl=3600):
+    """Spans that have ended, and those still open."""
+    stream = late_announcements(spark, sf_dir)
     path, checkpoint = work_path(spark, "presence"), work_path(spark, "checkpoint")
-    _append(stream_presence(stream.drop("due"), ttl, "2 minutes"), path, checkpoint)
+    merged = {k: v for k, v in STREAM_SETTINGS.items() if "sessionWindow" in k}
+    _with_settings(spark, merged, lambda: _append(stream_presence(stream, ttl, "2 minutes"), path, checkpoint))
     return _in_micros(spark.read.parquet(path).unionByName(open_spans(spark, checkpoint, ttl)))
 
 
+def streamed_presence_changes(spark, sf_dir, ttl=3600):
+    """Devices coming on line and going off, as far as the last watermark settles them."""
+    stream = late_announcements(spark, sf_dir)
+    path, checkpoint = work_path(spark, "changes"), work_path(spark, "checkpoint")
+    changes = stream_presence_changes(stream, ttl, "2 minutes")
+    _with_settings(spark, STREAM_SETTINGS, lambda: _append(changes, path, checkpoint))
+    return spark.read.schema(changes.schema).parquet(path).select(
+        "device_id",
+        "change",
+        F.unix_micros("at").alias("at_us"),
+        F.unix_micros("online_from").alias("online_from_us"),
+        "announcements",
+    )
+
+
 REPORTS = {
     "gate_status": gate_status,
     "admission": admission_report,
@@ -741,4 +774,5 @@ REPORTS = {
     "stream_listing": streamed_listing,
     "notify_jobs": streamed_notices,
     "stream_presence": streamed_presence,
+    "stream_presence_changes": streamed_presence_changes,
 }

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from platenlog.functions.codes import RECORD_LIFETIME_SECONDS
 
@@ -46,3 +48,87 @@ def open_spans(spark: SparkSession, checkpoint: str, ttl: int = RECORD_LIFETIME_
         "device_id", F.col("min").alias("online_from"), F.col("max").alias("last"), F.col("count").alias("announcements")
     )
     return _shown(spans, ttl)
+
+
+class _Changes(StatefulProcessor):
+    """One state row per device: its spans that are not settled yet, in order, in microseconds.
+
+    A span is [first and last announcement, how many, whether its start was told]. An announcement that can
+    still come is later than the watermark, so a start is settled once the watermark has
+    reached it and an end once it has reached the expiry. One timer stands for the next of them.
+    """
+
+    def __init__(self, ttl: int) -> None:
+        self.ttl = ttl * 1_000_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("spans", "spans ARRAY<STRUCT<a: BIGINT, b: BIGINT, n: BIGINT, told: BOOLEAN>>")
+
+    def handleInputRows(self, key, rows, timerValues):
+        heard = sorted(int(us) for frame in rows for us in frame["us"])
+        spans = [list(span) for span in self.held.get()[0]] if self.held.exists() else []
+        merged: list[list] = []
+        for a, b, n, told in sorted([*spans, *([us, us, 1, False] for us in heard)], key=lambda span: span[0]):
+            # A record aged exactly its lifetime has expired.
+            if merged and a < merged[-1][1] + self.ttl:
+                merged[-1][1:3] = max(merged[-1][1], b), merged[-1][2] + n
+            else:
+                merged.append([a, b, n, told])
+        yield self._settle(key, merged, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        spans = [list(span) for span in self.held.get()[0]] if self.held.exists() else []
+        yield self._settle(key, spans, timerValues.getCurrentWatermarkInMs())
+
+    def _settle(self, key, spans: list[list], watermark: int) -> pd.DataFrame:
+        now, out, left = watermark * 1000, [], []
+        for a, b, n, told in spans:
+            if a <= now and not told:
+                out.append(("online", a, a, None))
+            if b + self.ttl <= now:
+                out.append(("offline", b + self.ttl, a, n))
+            else:
+                left.append((a, b, n, told or a <= now))
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if left:
+            self.held.update((left,))
+            due = min(b + self.ttl if told else a for a, b, _, told in left)
+            self.handle.registerTimer(-(-due // 1000))
+        else:
+            self.held.clear()
+        made = pd.DataFrame(out, columns=["change", "at_us", "from_us", "announcements"])
+        made.insert(0, "device_id", key[0])
+        return made.astype({"announcements": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_presence_changes(
+    announcements: DataFrame, ttl: int = RECORD_LIFETIME_SECONDS, delay: str = "2 minutes"
+) -> DataFrame:
+    """A row when a device comes on line and one when it goes off, as soon as the watermark settles them.
+
+    ``device_id, change, at, online_from, announcements``: ``online`` at a span's first announcement, told while the
+    span goes on; ``offline`` one lifetime after its last, with how many there were. Announcements may come late and
+    out of order by up to ``delay``: they extend or join spans that are not settled, and one after the expiry
+    starts a new span. Spans are those of ``presence_intervals``. Needs the state store of
+    ``STREAM_SETTINGS``.
+    """
+    kind = announcements.schema["device_id"].dataType.simpleString()
+    heard = announcements.withWatermark("ts", delay).select("device_id", "ts", F.unix_micros("ts").alias("us"))
+    changes = heard.groupBy("device_id").transformWithStateInPandas(
+        statefulProcessor=_Changes(ttl),
+        outputStructType=f"device_id {kind}, change STRING, at_us BIGINT, from_us BIGINT, announcements BIGINT",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+    return changes.select(
+        "device_id",
+        "change",
+        F.timestamp_micros("at_us").alias("at"),
+        F.timestamp_micros("from_us").alias("online_from"),
+        "announcements",
+    )

@@ -13,7 +13,8 @@ from platenlog.sources.documents import notify_jobs
 from platenlog.sources.messages import read_message_stream
 from platenlog.streaming import registry, runs
 from platenlog.streaming.admission import judged_messages, stream_admission
-from platenlog.streaming.presence import stream_presence
+from platenlog.plans.session import STREAM_SETTINGS
+from platenlog.streaming.presence import stream_presence, stream_presence_changes
 from tests.messages import CHARSET, attr, message
 from tests.test_requests import NOON, SCHEMA
 
@@ -185,6 +186,48 @@ def test_presence_stream(spark, tmp_path):
     assert got.where("device_id = 'exact'").count() == 2 and got.where("device_id = 'near'").count() == 1
 
 
+def test_presence_changes(spark, tmp_path):
+    """On and off as the watermark settles them: out of order, across a restart, and at exactly one lifetime."""
+    second = 10**6
+    rng = random.Random(5)
+    heard = [("exact", 0), ("exact", 120 * second), ("near", 1), ("near", 120 * second), ("back", 500 * second), ("back", 400 * second), ("back", 300 * second)]
+    heard += [(f"d{rng.randrange(3)}", rng.randrange(3000) * second + rng.randrange(second)) for _ in range(300)]
+    # After the epoch, where the watermark begins; up to 100 seconds late.
+    heard = [(d, us + 1000 * second) for d, us in heard]
+    heard.sort(key=lambda h: h[1] + rng.randrange(100) * second)
+    end = 6000 * second
+    source, out, checkpoint = (str(tmp_path / d) for d in ("in", "out", "cp"))
+    schema = "device_id STRING, ts TIMESTAMP"
+
+    def come(rows):
+        spark.createDataFrame(rows, "device_id STRING, us BIGINT").select("device_id", F.timestamp_micros("us").alias("ts")).coalesce(1).write.mode("append").parquet(source)
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, STREAM_SETTINGS[key])
+    try:
+        told = []
+        for at in (0, 150):
+            for k in range(at, min(at + 150, len(heard)), 75):
+                come(heard[k : k + 75])
+            append_all(stream_presence_changes(read_message_stream(spark, source, schema, max_files=1)), out, checkpoint)
+            told.append(spark.read.parquet(out).count())
+        come(heard[300:] + [("late", end)])
+        append_all(stream_presence_changes(read_message_stream(spark, source, schema, max_files=1)), out, checkpoint)
+    finally:
+        spark.conf.set(key, before)
+    spans = presence_intervals(spark.read.schema(schema).parquet(source)).where("device_id <> 'late'")
+    on = spans.select("device_id", F.lit("online").alias("change"), F.col("online_from").alias("at"), "online_from", F.lit(None).cast("long").alias("announcements"))
+    off = spans.select("device_id", F.lit("offline").alias("change"), F.col("offline_at").alias("at"), "online_from", "announcements")
+    got = spark.read.parquet(out)
+    assert 0 < told[0] < told[1] < got.count()
+    assert rows_of(got) == rows_of(on.unionByName(off))
+    assert {d: got.where(f"device_id = '{d}'").count() for d in ("exact", "near", "back")} == {"exact": 4, "near": 2, "back": 2}
+    # One row for each device that is not settled.
+    state = spark.read.format("statestore").option("stateVarName", "spans").load(checkpoint)
+    assert [r.key[0] for r in state.select("key").collect()] == ["late"]
+
+
 def test_notices_of_a_stream(spark, tmp_path):
     source, told = str(tmp_path / "in"), []
     for i in range(3):
