@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 import struct
 import subprocess
 import sys
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from platenlog.operators.attributes import explode_attributes, typed_values
 from platenlog.operators.decode import PREFIXES, decode_messages, document_tail, request_columns, split_rejects
+from platenlog.operators import walk
 from platenlog.operators.walk import read_headers
 from platenlog.sources.messages import read_messages
 from platenlog.streaming.admission import judged_messages
@@ -72,6 +74,45 @@ def test_walk_equals_plain_reading():
         assert as_plain(row) == plain_read(body), body
 
 
+def long_body(rng, items):
+    """A header of many items: values, added values, new groups, collections; sound, cut, or with a fault."""
+    parts = [b"\x01"]
+    for _ in range(items):
+        roll = rng.random()
+        if roll < 0.03:
+            parts.append(bytes([rng.choice([1, 2, 4, 5])]))
+        elif roll < 0.5:
+            parts.append(attr(rng.choice([0x21, 0x42, 0x44, 0x30, 0x34, 0x37, 0x4A, 0x13]), rng.choice(["", "a", "name", "é" * 40]), b"\0\0\0" + bytes([rng.randrange(128)])))
+        else:
+            parts.append(attr(0x30, "", rng.randbytes(rng.choice([0, 1, 9, 300]))))
+    if rng.random() < 0.3:
+        parts[rng.randrange(1, items)] = rng.choice([attr(0x21, "short", b"x"), attr(0x42, b"\xff", b"x"), b"\x0a", b"\x03", attr(0x42, "n", b"\xc3")])
+    body = message(2, *parts, document=rng.randbytes(rng.choice([0, 40, 3000])))
+    return body[: rng.randrange(len(body) + 1)] if rng.random() < 0.3 else body
+
+
+@pytest.mark.parametrize("turns, windows", [(1, (64, 64)), (2, (16, 4096)), (5, (1 << 14, 1 << 20))])
+def test_leaps_equal_plain_reading(monkeypatch, turns, windows):
+    rng = random.Random(turns)
+    monkeypatch.setattr(walk, "TURNS", turns)
+    monkeypatch.setattr(walk, "WINDOWS", windows)
+    bodies = [long_body(rng, rng.randrange(2, 120)) for _ in range(300)] + [random_body(rng) for _ in range(1500)]
+    for body, row in zip(bodies, walked(bodies)):
+        assert as_plain(row) == plain_read(body), body
+
+
+def test_a_million_items_in_seconds():
+    item = attr(0x44, "", b"kw")
+    body = message(2, b"\x01", attr(0x44, "requested-attributes", b"all"), *[item] * 1_000_000, document=b"doc")
+    begun = time.perf_counter()
+    whole = read([body])
+    took = time.perf_counter() - begun
+    tokens = whole.field("tokens").values
+    assert whole.field("header_len")[0].as_py() == len(body) - 3 and len(tokens) == 1_000_001
+    assert tokens.field("value_pos")[-1].as_py() == 1_000_001 and tokens.field("attr_no")[-1].as_py() == 1
+    assert took < 30  # one by one it is minutes
+
+
 def test_prefix_decides_as_the_whole_body_does_or_not_at_all():
     rng = random.Random(8)
     bodies = [random_body(rng) for _ in range(2000)]
