@@ -326,6 +326,26 @@ EXPECTED = {
           AND (r.seq % 4 IN (0, 1)
                OR (r.seq % 4 = 2 AND h.name IN ('printer-name', 'printer-state', 'no-such-name'))
                OR (r.seq % 4 = 3 AND h.name IN ('media-col-database', 'printer-more-info')))""",
+    "attribute_answers": f"""WITH {REQUESTS}, {_capabilities()}, {_devices('customer', 'c_custkey', 'c_name')}
+        SELECT r.seq, h.* FROM requests r JOIN held h ON h.device_id = r.seq % (SELECT max(c_custkey) + 1 FROM customer)
+        WHERE r.op_code = 11
+          AND (r.seq % 4 IN (0, 1)
+               OR (r.seq % 4 = 2 AND h.name IN ('printer-name', 'printer-state', 'no-such-name'))
+               OR (r.seq % 4 = 3 AND h.name IN ('media-col-database', 'printer-more-info')))""",
+    "dated_answers": f"""WITH {REQUESTS}, {_capabilities()}, {_devices('customer', 'c_custkey', 'c_name')},
+        dated AS (SELECT c_custkey AS device_id, n, 1704067200 + (c_custkey % 7) * 7200 + n * 36000 AS taken_s
+                  FROM customer CROSS JOIN range(3) t(n)),
+        asked AS (SELECT *, seq % (SELECT max(c_custkey) + 1 FROM customer) AS device_id FROM requests WHERE op_code = 11),
+        known AS (SELECT a.seq, a.device_id, max(d.taken_s) AS taken_s, max(d.n) AS n
+                  FROM asked a JOIN dated d ON d.device_id = a.device_id AND make_timestamp(d.taken_s * 1000000) <= a.arrived_at
+                  GROUP BY a.seq, a.device_id)
+        SELECT k.seq, k.device_id, k.taken_s, h.pos, h.name, h.value_pos, h.tag,
+               CASE WHEN c.value = ':name' THEN h.value || ' v' || k.n ELSE h.value END AS value
+        FROM known k JOIN held h ON h.device_id = k.device_id
+        JOIN capabilities c ON c.pos = h.pos AND c.value_pos = h.value_pos
+        WHERE k.seq % 4 IN (0, 1)
+           OR (k.seq % 4 = 2 AND h.name IN ('printer-name', 'printer-state', 'no-such-name'))
+           OR (k.seq % 4 = 3 AND h.name IN ('media-col-database', 'printer-more-info'))""",
     "requested_attributes": f"""WITH {ATTRIBUTES}
         SELECT msg, string_agg(DISTINCT value, ',' ORDER BY value)
                       FILTER (WHERE name = 'requested-attributes' AND tag = 68) AS wanted

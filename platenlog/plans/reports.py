@@ -13,14 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platenlog.functions import codes, device, display, naming, numbers
-from platenlog.operators import attributes, catalogue, decode, presence, rollups
+from platenlog.operators import answers, attributes, catalogue, decode, presence, rollups
 from platenlog.operators.admission import admission, dispatch, gate
 from platenlog.operators.jobs import assign_job_ids, job_lookup, print_answers, register_jobs
 from platenlog.plans.capture import attribute, capture, fixed, header, text, text_places
 from platenlog.plans.flow import registry_from_requests, requests_from_capture
 from platenlog.plans.requests import key_range, request_log, table
 from platenlog.plans.session import STREAM_SETTINGS, work_path
-from platenlog.sources.devices import device_attributes, device_snapshots
+from platenlog.sources.devices import device_attributes, device_snapshots, explode_devices
 from platenlog.sources.documents import archive_documents, archive_in_place, list_archive, notify_jobs, with_file_names
 from platenlog.sources.messages import read_message_stream, read_messages
 from platenlog.streaming import intake, registry
@@ -258,6 +258,47 @@ def attribute_query(spark, sf_dir):
     return attributes.attribute_query(asking_rows(spark, sf_dir), snapshots)
 
 
+def asking_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests as captured bodies, with the list in the header, and a list that is no keyword before it."""
+    wanted = F.coalesce("wanted", F.array().cast("array<string>"))
+    words = F.transform(
+        wanted,
+        lambda w, k: F.when(k == 0, attribute(codes.KEYWORD, "requested-attributes", text(w))).otherwise(
+            attribute(codes.KEYWORD, "", text(w))
+        ),
+    )
+    listed = F.aggregate(words, F.unhex(F.lit("")), lambda before, word: F.concat(before, word))
+    other = attribute(codes.NAME, "requested-attributes", text(F.lit("printer-uuid")))
+    head = F.concat(F.unhex(F.lit("0200000B")), fixed(F.col("seq"), 4), F.unhex(F.lit("01")))
+    body = F.concat(head, other, listed, F.unhex(F.lit("03")))
+    return asking_rows(spark, sf_dir).select("seq", "device_id", body.alias("body"))
+
+
+def attribute_answers(spark, sf_dir):
+    """Decoded requests, answered from the long table of device attributes."""
+    decoded = decode.request_columns(decode.decode_messages(asking_bodies(spark, sf_dir)))
+    held = explode_devices(device_snapshots(devices_of(spark, sf_dir, "customer", "c_custkey", "c_name")))
+    return answers.attribute_answers(decoded, held)
+
+
+def dated_answers(spark, sf_dir):
+    """Requests answered from what their device was at the time: three dated snapshots a device, none before the first."""
+    k = F.col("device_id")
+    days = F.explode(F.array(*[F.lit(n) for n in range(3)]))
+    devices = devices_of(spark, sf_dir, "customer", "c_custkey", "c_name").withColumn("n", days)
+    taken = F.timestamp_seconds(F.lit(1704067200) + (k % 7) * 7200 + F.col("n") * 36000)
+    dated = devices.withColumns({"taken_at": taken, "name": F.concat("name", F.lit(" v"), F.col("n").cast("string"))})
+    stored = work_path(spark, "dated")
+    keyed = dated.withColumn("device_id", F.struct("device_id", "taken_at"))
+    explode_devices(device_snapshots(keyed)).select("device_id.*", "pos", "name", "value_pos", "tag", "value").write.parquet(stored)
+    held = spark.read.parquet(stored)
+    times = request_log(spark, sf_dir).select("seq", "arrived_at")
+    asked = asking_rows(spark, sf_dir).join(times, "seq")
+    known = answers.as_of(asked, held.where("pos = 1").select("device_id", "taken_at"))
+    told = answers.attribute_answers(known, held, ("device_id", "taken_at"))
+    return told.select("seq", "device_id", F.unix_seconds("taken_at").alias("taken_s"), "pos", "name", "value_pos", "tag", "value")
+
+
 def requested_attributes(spark, sf_dir):
     wanted = attributes.requested_attributes(attribute_rows(spark, sf_dir))
     return wanted.select("msg", F.array_join(F.array_sort("wanted"), ",").alias("wanted"))
@@ -732,6 +773,8 @@ REPORTS = {
     "status_ok": status_report,
     "device_attributes": device_report,
     "attribute_query": attribute_query,
+    "attribute_answers": attribute_answers,
+    "dated_answers": dated_answers,
     "requested_attributes": requested_attributes,
     "first_value": first_value,
     "first_group": first_group,
