@@ -22,11 +22,15 @@ from pyspark.sql import functions as F
 from platenlog.plans.session import shared_folder
 
 GRAMS = 3
-# The labelled rows learned from, at most so many different texts a language, of
-# which so many are landmarks; languages beyond the most frequent are not learned.
+# The labelled rows learned from: at most so many different texts a language, of which so many are
+# landmarks, and at most so many of both in all. Every label with a text is learned; with many
+# labels each has fewer texts, one at least.
 SAMPLE_TEXTS = 300
 LANDMARKS = 32
-LANGUAGES = 200
+ALL_TEXTS = 20_000
+ALL_LANDMARKS = 512
+# More labels than this are joined by a shuffle.
+FEW_LABELS = 100_000
 RIDGE = 0.01
 UNDETERMINED = "und"
 # Unknown three-grams a text may have: this many times what all but a fiftieth of its
@@ -96,12 +100,18 @@ class Model:
         return self.kernel(texts) @ self.weights + self.offsets
 
 
-def fit(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """The model of (language, codes) samples; the first of each language are its landmarks."""
-    languages = sorted({lang for lang, _ in samples})
+def fit(
+    samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE, all_landmarks: int = ALL_LANDMARKS
+) -> Model | None:
+    """The model of (language, codes) samples; the first of each language are its landmarks, as far as there is room."""
+    own_texts: dict[str, list[np.ndarray]] = {}
+    for lang, codes in samples:
+        own_texts.setdefault(lang, []).append(codes)
+    languages = sorted(own_texts)
     if not languages:
         return None
-    marks = [codes for lang in languages for codes in [c for x, c in samples if x == lang][:landmarks]]
+    landmarks = max(1, min(landmarks, all_landmarks // len(languages)))
+    marks = [codes for lang in languages for codes in own_texts[lang][:landmarks]][:all_landmarks]
     vocabulary = distinct(np.concatenate(marks))
     presence = np.zeros((len(vocabulary), len(marks)), dtype=np.float32)
     for k, codes in enumerate(marks):
@@ -112,23 +122,29 @@ def fit(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge
     to_features = vectors[:, kept] / np.sqrt(values[kept])
     features = np.vstack([model.kernel([c for _, c in samples[k : k + ROWS]]) for k in range(0, len(samples), ROWS)])
     features = features.astype(np.float64) @ to_features
-    wanted = np.array([[1.0 if lang == x else -1.0 for x in languages] for lang, _ in samples])
-    middle, mean = features.mean(axis=0), wanted.mean(axis=0)
+    number = {lang: k for k, lang in enumerate(languages)}
+    own = np.array([number[lang] for lang, _ in samples])
+    # Languages weigh the same, however many texts they have.
+    weight = len(samples) / (len(languages) * np.bincount(own)[own])
+    middle = weight @ features / len(samples)
     centred = features - middle
-    solved = np.linalg.solve(
-        centred.T @ centred + ridge * len(samples) * np.eye(centred.shape[1]), centred.T @ (wanted - mean)
-    )
+    weighted = weight[:, None] * centred
+    # Targets are 1 for the own language and -1 for all others; less their mean, only the own ones remain,
+    # as the weighted features sum to 0.
+    summed = np.zeros((len(languages), centred.shape[1]))
+    np.add.at(summed, own, weighted)
+    solved = np.linalg.solve(centred.T @ weighted + ridge * len(samples) * np.eye(centred.shape[1]), 2 * summed.T)
     model.weights = (to_features @ solved).astype(np.float32)
-    model.offsets = mean - middle @ solved
+    model.offsets = 2 / len(languages) - 1 - middle @ solved
     # A landmark is judged by the others: what it alone has counts as unknown.
-    own = vocabulary[(presence > 0).sum(axis=1) == 1]
+    alone = vocabulary[(presence > 0).sum(axis=1) == 1]
     factor, more, quantile = UNKNOWN
     for k, lang in enumerate(languages):
         shares = []
-        for place, codes in enumerate(c for x, c in samples if x == lang):
+        for place, codes in enumerate(own_texts[lang]):
             missing, n = model.unknown(codes)
-            if place < landmarks:
-                missing = int(np.isin(codes[codes >= 1 << 42], own).sum())
+            if place < landmarks and k * landmarks + place < all_landmarks:
+                missing = int(np.isin(codes[codes >= 1 << 42], alone).sum())
             shares.append(missing / max(n, 1))
         model.allowed[k] = factor * np.quantile(shares, quantile) + more
     return model
@@ -143,22 +159,27 @@ def learn(
 ) -> Model | None:
     """Fit on different texts with a label outside the held-out fold, drawn over all rows by the hash of the text.
 
-    Counts and the choice run over all rows; what comes to the driver is the
-    chosen texts' n-gram codes, at most ``LANGUAGES * sample_texts`` rows.
+    Counts and the choice run over all rows; what comes to the driver is the chosen texts' n-gram codes:
+    at most ``sample_texts`` of a language and ``ALL_TEXTS`` of all, but one of each. Copies
+    of a text count once, so a label whose rows are nearly all copies is learned from as many texts as it has.
     """
     shared_folder(docs.sparkSession)
     labelled = docs.where((remainder(doc_id) != HELD_OUT[1]) & F.col(lang).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")
     )
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    # A stretch of hash values with some four times the texts that are wanted.
-    share = F.least(F.lit(1.0), F.lit(4.0 * sample_texts) / F.col("count"))
+    labelled = labelled.where(F.col("text").rlike(r"\p{L}"))
+    # Different texts count, not rows; copies combine before the shuffle.
+    counts = labelled.select("lang", "mark").distinct().groupBy("lang").count().checkpoint()
+    labels = counts.count()
+    sample_texts = max(1, min(sample_texts, ALL_TEXTS // max(labels, 1)))
+    # A stretch of hash values with some four times the texts that are wanted, and a few dozen where that is few.
+    share = F.least(F.lit(1.0), F.lit(4.0 * sample_texts + 60) / F.col("count"))
     reach = counts.select("lang", (F.lit(-(2.0**63)) + share * 2.0**64).alias("reach"))
-    near = labelled.join(F.broadcast(reach), "lang").where(F.col("mark").cast("double") <= F.col("reach"))
+    reach = F.broadcast(reach) if labels <= FEW_LABELS else reach
+    near = labelled.join(reach, "lang").where(F.col("mark").cast("double") <= F.col("reach"))
     place = F.row_number().over(W.partitionBy("lang").orderBy("mark"))
     chosen = (
-        near.where(F.col("text").rlike(r"\p{L}"))
-        .groupBy("lang", "mark")
+        near.groupBy("lang", "mark")
         .agg(F.first("text").alias("text"))
         .withColumn("place", place)
         .where(F.col("place") <= sample_texts)

@@ -35,6 +35,56 @@ def test_language_odd(spark):
     assert kept.columns == table.columns and kept.count() == len(rows) - 3
 
 
+def test_language_of_copies(spark):
+    """Forty texts in 40,000 rows, or one text in all of them, are a language like one of 300 different texts."""
+    words = ["the cat", "and the", "hat with", "this thing", "those who", "there was"]
+    many = [(k, f"{words[k % 6]} {words[k // 6 % 6]} {k % 40 % 7}", "en") for k in range(40)]
+    rows = [(k, many[k % 40][1], "en") for k in range(40_000)] + [(50_000 + k, "o rato roeu a roupa", "pt") for k in range(40_000)]
+    rows += [(100_000 + k, f"der die und das {'abcdefghijklmnop'[k % 16]}{k}", "de") for k in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(table)
+    assert model.languages == ["de", "en", "pt"]
+    asked = spark.createDataFrame([(1, "the hat and the cat"), (2, "die und der"), (3, "o rato roeu")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(asked.selectExpr("*", "string(null) as lang"), model=model).collect()}
+    assert got == {1: "en", 2: "de", 3: "pt"}
+
+
+def test_many_labels(spark):
+    """Five hundred labels are all learned, by a bounded number of texts and landmarks."""
+    draw = np.random.default_rng(4)
+    own = ["".join(chr(97 + c) for c in draw.integers(0, 26, 5)) for _ in range(1000)]
+    rows = [(k, f"{own[2 * (k % 500)]} {own[2 * (k % 500) + 1]} {k}", f"l{k % 500}") for k in range(3000)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 500 and model.presence.shape[1] <= language.ALL_LANDMARKS
+    codes = [language.grams(text) for _, text, _ in rows]
+    best = [model.languages[k] for k in model.scores(codes).argmax(axis=1)]
+    assert np.mean([a == lang for a, (_, _, lang) in zip(best, rows, strict=True)]) > 0.95
+
+
+def test_kernel_and_ridge_by_hand():
+    """Scores equal ridge regression written out on the kernel's own features."""
+    texts = [("a", "abc abd"), ("a", "abd abe"), ("b", "xyz xyw"), ("b", "xyw abc"), ("c", "qrs"), ("a", "abc"), ("c", "qrt q")]
+    samples = [(lang, language.grams(text)) for lang, text in texts]
+    model = language.fit(samples, landmarks=2, ridge=0.1)
+    marks = [set(c) for lang in "abc" for c in [set(c.tolist()) for x, c in samples if x == lang][:2]]
+
+    def k(x, y):
+        return len(x & y) / np.sqrt(len(x) * len(y))
+
+    between = np.array([[k(x, y) for y in marks] for x in marks])
+    values, vectors = np.linalg.eigh(between)
+    kept = values > 1e-6 * values.max()
+    root = vectors[:, kept] / np.sqrt(values[kept])
+    features = np.array([[k(set(c.tolist()), m) for m in marks] for _, c in samples]) @ root
+    targets = np.array([[1.0 if lang == x else -1.0 for x in "abc"] for lang, _ in samples])
+    design = np.hstack([features, np.ones((len(samples), 1))])
+    penalty = 0.1 * len(samples) * np.eye(design.shape[1])
+    penalty[-1, -1] = 0
+    weight = np.array([len(samples) / 3 / sum(x == lang for x, _ in samples) for lang, _ in samples])[:, None]
+    by_hand = design @ np.linalg.solve(design.T @ (weight * design) + penalty, design.T @ (weight * targets))
+    assert np.allclose(model.scores([c for _, c in samples]), by_hand, atol=1e-4)
+
+
 def exact(vectors: dict, query, own):
     near = [(-float(np.dot(np.float64(v), np.float64(query))), k) for k, v in vectors.items() if k != own]
     return [k for _, k in sorted(near)]
