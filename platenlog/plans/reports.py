@@ -276,9 +276,13 @@ def asking_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attribute_answers(spark, sf_dir):
     """Decoded requests, answered from the long table of device attributes."""
+    path = work_path(spark, "asked")
+    # Decoded once; the answers read the requests twice.
     decoded = decode.request_columns(decode.decode_messages(asking_bodies(spark, sf_dir)))
+    decoded.select("seq", "device_id", "wanted").write.parquet(path)
+    asked = spark.read.parquet(path)
     held = explode_devices(device_snapshots(devices_of(spark, sf_dir, "customer", "c_custkey", "c_name")))
-    return answers.attribute_answers(decoded, held)
+    return answers.attribute_answers(asked, held)
 
 
 def dated_answers(spark, sf_dir):
