@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 START, MORE, END = "<|im_start|>", "<|im_more|>", "<|im_end|>"
 LEARNED_ROLE = "assistant"
+# Pieces of a conversation whose sizes are summed together.
+BLOCK = 256
 
 
 def escape(text: Column) -> Column:
@@ -110,30 +112,55 @@ def format_conversations(
             )
         ).alias("pieces"),
     )
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda so_far, piece: F.struct(
-            (so_far["at"] + F.length(piece["text"])).alias("at"),
-            F.when(
-                piece["learned"],
-                F.concat(
-                    so_far["spans"],
-                    F.array(F.struct(so_far["at"].alias("start"), F.length(piece["text"]).alias("length"))),
+    # Where each piece starts is summed inside blocks, and block by block: a fold copies
+    # what it has so far with every item it adds.
+    cuts = F.sequence(F.lit(0), F.floor((F.size("pieces") - 1) / BLOCK).cast("int"))
+    blocked = pieces.withColumn("cut", F.transform(cuts, lambda k: F.slice("pieces", k * BLOCK + 1, F.lit(BLOCK))))
+    sums = blocked.withColumn(
+        "ahead",
+        _starts(F.transform("cut", lambda own: F.aggregate(own, F.lit(0), lambda n, piece: n + F.length(piece["text"])))),
+    )
+    spans = F.flatten(
+        F.zip_with(
+            "cut",
+            "ahead",
+            lambda own, ahead: F.transform(
+                F.filter(
+                    F.zip_with(
+                        own,
+                        _starts(F.transform(own, lambda piece: F.length(piece["text"]))),
+                        lambda piece, at: F.struct(
+                            piece["learned"].alias("learned"),
+                            (ahead + at).alias("start"),
+                            F.length(piece["text"]).alias("length"),
+                        ),
+                    ),
+                    lambda span: span["learned"],
                 ),
-            )
-            .otherwise(so_far["spans"])
-            .alias("spans"),
-        ),
-        lambda so_far: so_far["spans"],
+                lambda span: F.struct(span["start"].alias("start"), span["length"].alias("length")),
+            ),
+        )
     )
-    return pieces.select(
+    return sums.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda piece: piece["text"]), "").alias("formatted"),
         spans.alias("loss_spans"),
     )
 
 
+def _starts(sizes: Column) -> Column:
+    """Array of what comes before each of the sizes."""
+    none = F.array().cast("array<int>")
+    return F.aggregate(
+        sizes,
+        F.struct(F.lit(0).alias("at"), none.alias("starts")),
+        lambda so_far, size: F.struct(
+            (so_far["at"] + size).alias("at"), F.concat(so_far["starts"], F.array(so_far["at"])).alias("starts")
+        ),
+        lambda so_far: so_far["starts"],
+    )
+
+
 def _piece(text: Column, learned: Column) -> Column:
     return F.struct(text.alias("text"), learned.alias("learned"))
 
@@ -158,8 +185,21 @@ def read_back(formatted: DataFrame) -> DataFrame:
             ),
         )
     )
-    learned = F.transform(
-        "loss_spans",
-        lambda span: unescape(F.substr(F.col("formatted"), span["start"] + 1, span["length"])),
+    # Four bytes a code point, so that a span is cut where it lies and not counted off from the start.
+    # The lit character keeps a text that begins with a byte order mark from losing it.
+    mark = F.encode(F.lit("x"), "UTF-32")
+    learned = F.flatten(
+        F.transform(
+            F.array(F.encode("formatted", "UTF-32")),
+            lambda points: F.transform(
+                "loss_spans",
+                lambda span: unescape(
+                    F.substr(
+                        F.decode(F.concat(mark, F.substr(points, span["start"] * 4 + 1, span["length"] * 4)), "UTF-32"),
+                        F.lit(2),
+                    )
+                ),
+            ),
+        )
     )
     return formatted.select("conv_id", turns.alias("turns"), F.array_join(learned, "").alias("loss_text"), "formatted")
