@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 from fractions import Fraction
 
 import pytest
@@ -46,6 +47,25 @@ def test_chat_reads_back(spark):
     assert chat.format_conversations(table.limit(0)).count() == 0
 
 
+def test_chat_long_conversation(spark):
+    """More pieces than a block, byte order marks and wide characters, and time in proportion."""
+    said = ["\ufeffa", "é𝄞", "", "<|x", "plain words"]
+    seconds = {}
+    for n in (4_000, 4_000, 16_000):
+        rows = spark.range(n).select(
+            F.lit(1).cast("bigint").alias("conv_id"),
+            F.col("id").alias("turn"),
+            F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"),
+            F.get(F.array(*[F.lit(t) for t in said]), (F.col("id") % len(said)).cast("int")).alias("text"),
+        )
+        begun = time.monotonic()
+        row = chat.read_back(chat.format_conversations(rows)).first()
+        seconds[n] = time.monotonic() - begun
+        assert [t.text for t in row.turns] == [said[k % len(said)] for k in range(n)]
+        assert row.loss_text == "".join(said[k % len(said)] for k in range(n) if k % 3)
+    assert seconds[16_000] < 8 * seconds[4_000] + 1
+
+
 # Personal data
 
 
@@ -72,6 +92,28 @@ def test_pii_checks_and_context(spark):
     assert row.base_sha256 == hashlib.sha256(b"email:2:8,ip:9:16").hexdigest()
 
 
+def test_pii_account_numbers():
+    """A country's length ends a number, whatever capitals follow; unknown countries take what there is."""
+    known = "DE89 3704 0044 0532 0130 00"
+    for text, want in {
+        f"IBAN {known} BIC COBADEFFXXX": [known],
+        f"{known} {known}": [known, known],
+        f"{known}X": [],
+        f"A{known}": [],
+        "GB82WEST12345698765432 NOW": ["GB82WEST12345698765432"],
+        "NO93 8601 1117 947": ["NO93 8601 1117 947"],
+        "DE12 NO93 8601 1117 947": ["NO93 8601 1117 947"],
+        "DE89  3704 0044 0532 0130 00": [],
+        "ZZ00" * 20_000: [],
+        "": [],
+    }.items():
+        assert [text[a:b] for a, b in pii.accounts(text)] == want, text[:60]
+    # No country ZZ: the whole run, which has to pass by itself.
+    body = "0123456789AB"
+    code = next(f"ZZ{k:02d}{body}" for k in range(100) if pii.mod97(f"ZZ{k:02d}{body}"))
+    assert [code[a:b] for a, b in pii.accounts(code)] == [code]
+
+
 # Packing
 
 
