@@ -130,6 +130,9 @@ URI = 0x45
 CHARSET = 0x47
 NATURAL_LANGUAGE = 0x48
 MIME_TYPE = 0x49
+BEGIN_COLLECTION = 0x34
+END_COLLECTION = 0x37
+MEMBER_NAME = 0x4A
 STRING_TAGS = [0x41, 0x42, 0x44, 0x45, 0x46, 0x47, 0x48, 0x49]
 OUT_OF_BAND_TAGS = [0x10, 0x13]
 

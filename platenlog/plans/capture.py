@@ -27,6 +27,18 @@ def text(value: Column) -> Column:
     return F.encode(value, "utf-8")
 
 
+def collection(name: str, members: list[tuple[str, Column]]) -> Column:
+    """A collection under an attribute's name, or without one as a further or a nested value.
+
+    Members have a name and the bytes of their values, each without a name of its own.
+    """
+    empty = F.unhex(F.lit(""))
+    parts = [part for own, held in members for part in (attribute(codes.MEMBER_NAME, "", text(F.lit(own))), held)]
+    return F.concat(
+        attribute(codes.BEGIN_COLLECTION, name, empty), *parts, attribute(codes.END_COLLECTION, "", empty)
+    )
+
+
 def unless(absent: Column, part: Column) -> Column:
     """A part that is left out where ``absent`` holds."""
     return F.when(absent, F.unhex(F.lit(""))).otherwise(part)

@@ -438,6 +438,36 @@ EXPECTED = {
         UNION ALL SELECT s_suppkey, 'note', s_name FROM supplier""",
     "media_sizes": """SELECT p_partkey, (20000 + p_size * 10) / 100 AS width_mm, (29000 + p_size * 11) / 100 AS height_mm
         FROM part""",
+    "nested_values": """WITH layout(attr_pos, name, place, level, collection, member, item, tag, kind) AS (VALUES
+            (1, 'printer-name', 1, 0, 0, NULL, 1, 65, 'name'),
+            (2, 'media-col-database', 1, 0, 0, NULL, 1, 52, NULL),
+            (2, 'media-col-database', 3, 1, 1, 'media-col', 1, 52, NULL),
+            (2, 'media-col-database', 5, 2, 3, 'media-size', 1, 52, NULL),
+            (2, 'media-col-database', 7, 3, 5, 'x-dimension', 1, 33, 'x1'),
+            (2, 'media-col-database', 9, 3, 5, 'y-dimension', 1, 33, 'y1'),
+            (2, 'media-col-database', 12, 2, 3, 'media-type', 1, 68, 'type'),
+            (2, 'media-col-database', 13, 2, 3, 'media-type', 2, 68, 'type'),
+            (2, 'media-col-database', 15, 1, 1, 'media-col', 2, 52, NULL),
+            (2, 'media-col-database', 17, 2, 15, 'media-size', 1, 52, NULL),
+            (2, 'media-col-database', 19, 3, 17, 'x-dimension', 1, 33, 'x2'),
+            (2, 'media-col-database', 21, 3, 17, 'y-dimension', 1, 33, 'y2'),
+            (2, 'media-col-database', 24, 2, 15, 'media-type', 1, 68, 'type'),
+            (2, 'media-col-database', 25, 2, 15, 'media-type', 2, 68, 'type'),
+            (2, 'media-col-database', 28, 1, 1, 'media-bottom-margin', 1, 33, 'none'),
+            (3, 'media-size-ready', 1, 0, 0, NULL, 1, 52, NULL),
+            (3, 'media-size-ready', 3, 1, 1, 'y-dimension', 1, 33, 'side'),
+            (3, 'media-size-ready', 5, 1, 1, 'x-dimension', 1, 33, 'twice'))
+        SELECT p_partkey, attr_pos, name, place, level, collection, member, item, tag,
+               CASE kind WHEN 'name' THEN p_name WHEN 'type' THEN lower(p_brand) WHEN 'none' THEN '0'
+                    WHEN 'x1' THEN CAST(20000 + p_size * 10 AS VARCHAR) WHEN 'y1' THEN CAST(29000 + p_size * 11 AS VARCHAR)
+                    WHEN 'x2' THEN CAST(10000 + p_size AS VARCHAR) WHEN 'y2' THEN CAST(14000 + p_size AS VARCHAR)
+                    WHEN 'side' THEN CAST(p_size AS VARCHAR) WHEN 'twice' THEN CAST(p_size * 2 AS VARCHAR) END AS shown
+        FROM part CROSS JOIN layout""",
+    "decoded_media_sizes": """
+        SELECT p_partkey, 'media-col-database' AS name, 5 AS place, 2 AS level,
+               (20000 + p_size * 10) / 100 AS width_mm, (29000 + p_size * 11) / 100 AS height_mm FROM part
+        UNION ALL
+        SELECT p_partkey, 'media-col-database', 17, 2, (10000 + p_size) / 100, (14000 + p_size) / 100 FROM part""",
     "decode_roundtrip": f"""WITH {REQUESTS}
         SELECT seq, session_id, 1 AS major, 1 AS minor, op_code, seq AS request_id, true AS has_group, job_name,
                user_name, document_format, doc_bytes, lookup_job_id FROM requests""",

@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platenlog.functions import codes, device, display, naming, numbers
-from platenlog.operators import answers, attributes, catalogue, decode, presence, rollups
+from platenlog.operators import answers, attributes, catalogue, decode, nested, presence, rollups
 from platenlog.operators.admission import admission, dispatch, gate
 from platenlog.operators.jobs import assign_job_ids, job_lookup, print_answers, register_jobs
-from platenlog.plans.capture import attribute, capture, fixed, header, text, text_places
+from platenlog.plans.capture import attribute, capture, collection, fixed, header, text, text_places
 from platenlog.plans.flow import registry_from_requests, requests_from_capture
 from platenlog.plans.requests import key_range, request_log, table
 from platenlog.plans.session import STREAM_SETTINGS, work_path
@@ -478,6 +478,53 @@ def media_sizes(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.inline(F.array(device.media_dims(size))))
 
 
+def media_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p_partkey, body``: a message of a device that holds two sizes, three collections deep, and one ready size."""
+    side = F.col("p_size")
+
+    def integer(n: Column) -> Column:
+        return attribute(codes.INTEGER, "", fixed(n, 4))
+
+    def medium(x: Column, y: Column) -> Column:
+        size = collection("", [("x-dimension", integer(x)), ("y-dimension", integer(y))])
+        kind = attribute(codes.KEYWORD, "", text(F.lower("p_brand")))
+        return collection("", [("media-size", size), ("media-type", F.concat(kind, kind))])
+
+    both = [medium(20000 + side * 10, 29000 + side * 11), medium(10000 + side, 14000 + side)]
+    ready = collection("media-size-ready", [("y-dimension", integer(side)), ("x-dimension", integer(side * 2))])
+    body = F.concat(
+        F.unhex(F.lit("0101000b00000001")),
+        F.unhex(F.lit("04")),
+        attribute(codes.TEXT, "printer-name", text(F.col("p_name"))),
+        collection("media-col-database", [("media-col", F.concat(*both)), ("media-bottom-margin", integer(F.lit(0)))]),
+        ready,
+        F.unhex(F.lit("03")),
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", body.alias("body"))
+
+
+def media_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = decode.decode_messages(media_messages(spark, sf_dir))
+    return nested.nested_values(attributes.explode_attributes(decoded, "p_partkey"), "p_partkey")
+
+
+def nested_values(spark, sf_dir):
+    held = media_values(spark, sf_dir)
+    number = numbers.be_int(F.col("value")).cast("int")
+    shown = (
+        F.when(F.col("tag") == codes.INTEGER, number.cast("string"))
+        .when(~F.col("opens"), F.col("value").cast("string"))
+    )
+    return held.select(
+        "p_partkey", "attr_pos", "name", "place", "level", "collection", "member", "item", "tag", shown.alias("shown")
+    )
+
+
+def decoded_media_sizes(spark, sf_dir):
+    sizes = nested.media_sizes(media_values(spark, sf_dir), "p_partkey")
+    return sizes.select("p_partkey", "name", "place", "level", "width_mm", "height_mm")
+
+
 # --- messages ------------------------------------------------------------------------
 
 
@@ -798,6 +845,8 @@ REPORTS = {
     "number_functions": number_functions,
     "announcement_records": announcement_records,
     "media_sizes": media_sizes,
+    "nested_values": nested_values,
+    "decoded_media_sizes": decoded_media_sizes,
     "decode_roundtrip": decode_roundtrip,
     "long_headers": long_headers,
     "document_tails": document_tails,
