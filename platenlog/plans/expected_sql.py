@@ -387,6 +387,9 @@ EXPECTED = {
     "deep_page": f"""WITH {LISTED}
         SELECT session_id, position, page, file_name, size_bytes, files, pages FROM listed
         WHERE page = CASE WHEN pages > 300 THEN 300 ELSE 0 END""",
+    "indexed_page": f"""WITH {LISTED}
+        SELECT session_id, position, page, file_name, size_bytes, files, pages FROM listed
+        WHERE page = CASE WHEN pages > 2 THEN 2 ELSE 0 END""",
     "newest_first": f"WITH {JOBS} SELECT session_id, file_name, size_bytes FROM jobs ORDER BY time_created DESC, file_name",
     "page_numbers": f"WITH {LISTED} SELECT session_id, file_name, position, page FROM listed",
     "archive_counts": f"WITH {LISTED} SELECT DISTINCT session_id, files, pages FROM listed",

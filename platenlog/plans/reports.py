@@ -20,6 +20,7 @@ from platenlog.plans.capture import attribute, capture, collection, fixed, heade
 from platenlog.plans.flow import registry_from_requests, requests_from_capture
 from platenlog.plans.requests import key_range, request_log, table
 from platenlog.plans.session import STREAM_SETTINGS, work_path
+from platenlog.sources import pages
 from platenlog.sources.devices import device_attributes, device_snapshots, explode_devices
 from platenlog.sources.documents import archive_documents, archive_in_place, list_archive, notify_jobs, with_file_names
 from platenlog.sources.messages import read_message_stream, read_messages
@@ -392,6 +393,18 @@ def listing_page(spark, sf_dir, k):
     )
 
 
+def listing_by_day(spark: SparkSession, sf_dir: str) -> str:
+    path = work_path(spark, "listing")
+    pages.write_listing(files_of(spark, sf_dir), path)
+    return path
+
+
+def indexed_page(spark, sf_dir, k):
+    return pages.read_page(spark, listing_by_day(spark, sf_dir), k).select(
+        "session_id", "position", "page", "file_name", "size_bytes", "files", "pages"
+    )
+
+
 def newest_first(spark, sf_dir):
     return catalogue.newest_first(files_of(spark, sf_dir)).select("session_id", "file_name", "size_bytes")
 
@@ -835,6 +848,7 @@ REPORTS = {
     "newest_page": partial(listing_page, k=0),
     "later_page": partial(listing_page, k=3),
     "deep_page": partial(listing_page, k=300),
+    "indexed_page": partial(indexed_page, k=2),
     "newest_first": newest_first,
     "page_numbers": page_numbers,
     "archive_counts": archive_counts,
