@@ -532,6 +532,8 @@ EXPECTED = {
         SELECT session_id, position, file_name, size_bytes, files FROM listed WHERE page = 0""",
     "notify_jobs": f"""WITH {JOBS} SELECT job_id, '/archive/' || file_name AS file_path, file_name, size_bytes, session_id
         FROM jobs""",
+    "committed_notices": f"""WITH {JOBS} SELECT job_id, '/archive/' || file_name AS file_path, file_name, size_bytes, session_id
+        FROM jobs""",
     "stream_presence": _presence(3600),
     # The watermark, in whole milliseconds, stands two minutes below the last announcement.
     "stream_presence_changes": f"""WITH spans AS ({_presence(3600)}),

@@ -22,8 +22,9 @@ from platenlog.plans.requests import key_range, request_log, table
 from platenlog.plans.session import STREAM_SETTINGS, work_path
 from platenlog.sources import pages
 from platenlog.sources.devices import device_attributes, device_snapshots, explode_devices
-from platenlog.sources.documents import archive_documents, archive_in_place, list_archive, notify_jobs, with_file_names
+from platenlog.sources.documents import archive_documents, archive_in_place, list_archive, notice, notify_jobs, with_file_names
 from platenlog.sources.messages import read_message_stream, read_messages
+from platenlog.sources.notices import committed_notices, write_notices
 from platenlog.streaming import intake, registry
 from platenlog.streaming.admission import judged_messages, stream_admission
 from platenlog.streaming.presence import open_spans, stream_presence, stream_presence_changes
@@ -779,6 +780,18 @@ def streamed_notices(spark, sf_dir):
     return spark.read.parquet(told).drop("batch_id")
 
 
+def told_notices(spark, sf_dir):
+    """Notices of a job stream through the committed sink, run a second time over all that was told."""
+    jobs = jobs_of(spark, sf_dir)
+    source, told, checkpoint = (work_path(spark, label) for label in ("jobs", "told", "checkpoint"))
+    jobs.write.parquet(source)
+    for files in (1, 2):
+        # The second run finds everything told.
+        stream = read_message_stream(spark, source, jobs.schema, max_files=files)
+        write_notices(stream, "/archive", told, checkpoint).awaitTermination()
+    return committed_notices(spark, told, notice(jobs, "/archive").schema).drop("batch_id")
+
+
 def late_announcements(spark, sf_dir):
     """Announcements up to 100 seconds out of order, over several batches."""
     heard = announcements(spark, sf_dir)
@@ -883,6 +896,7 @@ REPORTS = {
     "stream_lookup": streamed_lookups,
     "stream_listing": streamed_listing,
     "notify_jobs": streamed_notices,
+    "committed_notices": told_notices,
     "stream_presence": streamed_presence,
     "stream_presence_changes": streamed_presence_changes,
 }
