@@ -9,12 +9,15 @@ lies in the surroundings of that anchor: the bytes that a 200-byte string around
 1. Anchors, with a hash of their surroundings, are taken from all texts; only those are stored.
 2. Anchors that occur once are dropped. Surroundings that occur more than once are repeated
    throughout, whoever else has the anchor.
-3. For an anchor with different surroundings, one of each goes, as text, to the shard of the
-   anchor, where all of them meet: overlapping ones of a text as one piece.
-4. An anchor with over ``CROWD`` different surroundings, more than fill a shard, is too much for one. The strings
-   around it are compared by hashes of 128 bits instead, which are as exact and spread by themselves:
-   first in stretches of some twenty strings. A stretch that occurs again as a whole is repeated; one whose
-   strings' common part occurs once is not; only strings of what is left are taken one by one.
+3. Of the different surroundings of an anchor one each is cut into ``PARTS`` stretches of strings at fixed
+   distances from the anchor. What all strings of a stretch share, its core, is hashed; equal strings
+   have equal cores, so stretches whose core occurs once are dropped, and ones that occur again as a
+   whole are repeated. No text is moved for this but once, to be hashed.
+4. One of each of the others goes, as text, to the shard of its core, where all with that core
+   meet: overlapping ones of a text as one piece. This is the same at every size: an anchor
+   that very many texts have is dealt out by what is beside it.
+5. A core that over ``CROWD`` stretches have, more than fill a shard, is too much for one. Their strings
+   are compared one by one by hashes of 128 bits, which are as exact and spread by themselves.
 
 Copies of a text are one text in all of this; how often it occurs is part of step 2.
 """
@@ -33,23 +36,26 @@ from pyspark.sql import functions as F
 from platenlog.llm.bwt import repeated_starts
 from platenlog.llm.content import CONTENT, content, one_of_each
 from platenlog.plans.session import shared_folder, work_path
+from platenlog.sources.folders import remove
 
 LENGTH = 200
 GRAM = 32
 SHARD_BYTES = 1 << 20
-# As many surroundings as fill a shard.
-CROWD = SHARD_BYTES // (2 * LENGTH - GRAM)
-STRETCHES = 8
-# Contents or stretches whose hashes may be broadcast, some 50 bytes each; more are joined by shuffle.
+PARTS = 4
+# As many stretches as fill a shard.
+CROWD = SHARD_BYTES // (LENGTH + (LENGTH - GRAM) // PARTS)
+# Contents or cores whose hashes may be broadcast, some 50 bytes each; more are joined by shuffle.
 BROADCAST_CONTENTS = 500_000
 # Bytes of text worked on at once.
 SLAB = 1 << 20
-# What goes to a shard, or as a stretch to be compared by hashes; ``ahead`` is from the first string to the anchor.
-PIECE_NAMES = ["shard", "first", "last", "piece", "ahead", "core", "h1", "h2"]
-PIECE_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-PIECES = (
-    "c1 bigint, c2 bigint, shard int, first int, last int, piece binary, ahead int, core bigint, h1 bigint, h2 bigint"
-)
+# Hashes of a stretch; it holds the strings that start at first..last.
+HASHED_NAMES = ["at", "first", "last", "core", "h1", "h2"]
+HASHED_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+HASHED = "c1 bigint, c2 bigint, at int, first int, last int, core bigint, h1 bigint, h2 bigint"
+# What goes to a shard, or to be compared by hashes (shard -1); ``ahead`` is from the first string to the anchor.
+PIECE_NAMES = ["shard", "first", "piece", "ahead"]
+PIECE_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.int32()]
+PIECES = "c1 bigint, c2 bigint, shard int, first int, piece binary, ahead int"
 ANCHORS = "c1 bigint, c2 bigint, at int, anchor bigint, around bigint"
 
 _table = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -210,9 +216,10 @@ def repeated_spans(
         .where("times > 1")
         .select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
     )
-    path = work_path(spark, "anchors-again")
-    all_anchors.join(again, "anchor").write.parquet(path)
-    met = spark.read.schema(ANCHORS + ", mixed boolean").parquet(path)
+    again_path = work_path(spark, "anchors-again")
+    all_anchors.join(again, "anchor").write.parquet(again_path)
+    remove(spark, path)
+    met = spark.read.schema(ANCHORS + ", mixed boolean").parquet(again_path)
     around = F.struct(
         F.greatest(F.lit(0), F.col("at") - reach).alias("first"), F.col("at").alias("last")
     )
@@ -220,61 +227,83 @@ def repeated_spans(
 
     # One of each of the different surroundings, and whether it occurs again.
     mixed = met.where("mixed")
-    kinds = mixed.groupBy("anchor", "around").agg(
-        F.count("*").alias("times"), F.min(F.struct(*CONTENT, "at")).alias("one")
+    kinds = (
+        mixed.groupBy("anchor", "around")
+        .agg(F.count("*").alias("times"), F.min(F.struct(*CONTENT, "at")).alias("one"))
+        .checkpoint()
     )
-    sizes = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    kinds = kinds.join(sizes, "anchor").checkpoint()
     twice = (
         mixed.join(kinds.where("times > 1").select("anchor", "around"), ["anchor", "around"], "left_semi")
         .select(*CONTENT, around.alias("span"))
     )
-    total = kinds.where(F.col("kinds") <= crowd).count() * (length + reach)
+    wanted = kinds.select("one.*").groupBy(*CONTENT).agg(F.collect_list("at").alias("asks")).checkpoint()
+    held_path = work_path(spark, "texts")
+    one_of_each(texts, wanted, broadcast_contents).write.parquet(held_path)
+    held = spark.read.schema("c1 bigint, c2 bigint, text binary").parquet(held_path)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = batch.column("text")[row].as_py()
+                out = [x for at in batch.column("asks")[row].as_py() for x in _stretches(own, at, length, reach)]
+                yield _rows(batch, row, out, HASHED_NAMES, HASHED_TYPES)
+
+    hashed_path = work_path(spark, "stretches")
+    held.join(wanted, CONTENT).mapInArrow(hashed, HASHED).write.parquet(hashed_path)
+    stretches = spark.read.schema(HASHED).parquet(hashed_path)
+    piece = F.struct("h1", "h2")
+    path = work_path(spark, "cores")
+    (
+        stretches.groupBy("core")
+        .agg(F.count("*").alias("times"), F.min(piece).alias("lo"), F.max(piece).alias("hi"))
+        .where("times > 1")
+        .select("core", (F.col("lo") != F.col("hi")).alias("mixed"), (F.col("times") > crowd).alias("crowded"))
+        .write.parquet(path)
+    )
+    cores = spark.read.schema("core bigint, mixed boolean, crowded boolean").parquet(path)
+    cores = F.broadcast(cores) if cores.count() <= broadcast_contents else cores
+    path = work_path(spark, "stretches-again")
+    stretches.join(cores, "core").write.parquet(path)
+    remove(spark, hashed_path)
+    alive = spark.read.schema(HASHED + ", mixed boolean, crowded boolean").parquet(path)
+    same_piece = ["core", "h1", "h2"]
+    groups = (
+        alive.groupBy(*same_piece, "mixed", "crowded")
+        .agg(F.count("*").alias("times"), F.min(F.struct(*CONTENT, "at", "first", "last")).alias("one"))
+        .checkpoint()
+    )
+    whole = (
+        alive.join(groups.where("times > 1").select(*same_piece), same_piece, "left_semi")
+        .select(*CONTENT, F.struct("first", "last").alias("span"))
+    )
+    total = groups.where("mixed and not crowded").count() * (length + reach // PARTS)
     shards = max(1, -(-total // shard_bytes))
-    asked = kinds.select(
-        "one.c1",
-        "one.c2",
-        F.struct(
-            "one.at",
-            F.when(F.col("kinds") <= crowd, F.pmod("anchor", F.lit(shards)).cast("int")).otherwise(-1).alias("shard"),
-        ).alias("ask"),
+    shard = F.when(F.col("crowded"), -1).otherwise(F.pmod("core", F.lit(shards)).cast("int")).alias("shard")
+    asked = (
+        groups.where("mixed")
+        .select("one.*", shard)
+        .groupBy(*CONTENT)
+        .agg(F.collect_list(F.struct("at", "first", "last", "shard")).alias("asks"))
     )
-    wanted = asked.groupBy(*CONTENT).agg(F.collect_list("ask").alias("asks")).checkpoint()
-    pieces = one_of_each(texts, wanted, broadcast_contents).join(wanted, CONTENT)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 own = batch.column("text")[row].as_py()
                 asks = batch.column("asks")[row].values.flatten()
-                at, shard = asks[0].to_numpy().astype(np.int64), asks[1].to_numpy()
-                last = len(own) - length
-                out: list[tuple] = []
-                order = np.lexsort((at, shard))
-                at, shard = at[order], shard[order]
+                at, first, last, shard = (c.to_numpy().astype(np.int64) for c in asks)
                 few = shard >= 0
-                for place in at[~few].tolist():
-                    out += _stretches(own, place, length, reach)
-                at, shard = at[few], shard[few]
-                if len(at):
-                    lows, highs = np.maximum(0, at - reach), np.minimum(last, at)
-                    # Overlapping surroundings that go the same way are one piece.
-                    apart = (shard[1:] != shard[:-1]) | (lows[1:] > highs[:-1] + 1)
-                    begins = np.concatenate(([True], apart))
-                    ends = np.concatenate((apart, [True]))
-                    for k, a, b in zip(shard[begins].tolist(), lows[begins].tolist(), highs[ends].tolist(), strict=True):
-                        out.append((k, a, b, own[a : b + length], 0, None, None, None))
-                if out:
-                    same_row = pa.array(np.full(len(out), row))
-                    columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), PIECE_TYPES, strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("c1").take(same_row), batch.column("c2").take(same_row), *columns],
-                        ["c1", "c2", *PIECE_NAMES],
-                    )
-
-    # Read twice, by shards and by stretches.
+                out = [
+                    (-1, a, own[a : b + length], k - a)
+                    for k, a, b in zip(at[~few].tolist(), first[~few].tolist(), last[~few].tolist(), strict=True)
+                ]
+                out += [(k, a, own[a : b + length], 0) for k, a, b in _merged(shard[few], first[few], last[few])]
+                yield _rows(batch, row, out, PIECE_NAMES, PIECE_TYPES)
+
+    # Read twice, by shards and by strings.
     path = work_path(spark, "pieces")
-    pieces.mapInArrow(cut, PIECES).write.parquet(path)
+    held.join(asked, CONTENT).mapInArrow(cut, PIECES).write.parquet(path)
+    remove(spark, held_path)
     sent = spark.read.schema(PIECES).parquet(path)
 
     def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -291,12 +320,12 @@ def repeated_spans(
 
     shard_spans = (
         sent.where("shard >= 0")
-        .select(*CONTENT, "shard", "first", "piece")
+        .drop("ahead")
         .groupBy("shard")
         .applyInArrow(compare, "c1 bigint, c2 bigint, span struct<first:int,last:int>")
     )
-    crowd_spans = _crowded(sent.where("shard = -1"), length, broadcast_contents)
-    spans = same.unionByName(twice).unionByName(shard_spans).unionByName(crowd_spans)
+    single_spans = _one_by_one(sent.where("shard = -1"), length)
+    spans = same.unionByName(twice).unionByName(whole).unionByName(shard_spans).unionByName(single_spans)
     return spans.groupBy(*CONTENT).agg(F.collect_set("span").alias("spans"))
 
 
@@ -304,74 +333,62 @@ def _signed(h: int) -> tuple[int, int]:
     return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
+def _rows(batch: pa.RecordBatch, row: int, out: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    """What was made of one row, with the hashes of its text."""
+    same_row = pa.array(np.full(len(out), row))
+    columns = zip(*out, strict=True) if out else [()] * len(types)
+    return pa.RecordBatch.from_arrays(
+        [*(batch.column(c).take(same_row) for c in CONTENT), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
+        [*CONTENT, *names],
+    )
+
+
 def _stretches(own: bytes, at: int, length: int, reach: int) -> Iterator[tuple]:
     """The strings around an anchor in stretches at fixed distances from it, with the hashes that tell them apart."""
-    step = -(-(reach + 1) // STRETCHES)
+    step = -(-(reach + 1) // PARTS)
     for low in range(0, reach + 1, step):
         high = min(reach, low + step - 1)
         first, last = max(0, at - high), min(len(own) - length, at - low)
         if first > last:
             continue
-        # What all strings of the stretch have, and what any of them has; the distance is part of the hash.
+        # What all strings of the stretch have, and what any of them has; the distance is part of both hashes.
         core = xxhash.xxh3_64_intdigest(own[at - low : at - high + length], low) - (1 << 63)
-        piece = own[first : last + length]
-        whole = last - first == high - low
-        h1, h2 = _signed(xxhash.xxh3_128_intdigest(piece, low)) if whole else (None, None)
-        yield -1, first, last, piece, at - first, core, h1, h2
+        yield at, first, last, core, *_signed(xxhash.xxh3_128_intdigest(own[first : last + length], at - first))
 
 
-def _crowded(stretches: DataFrame, length: int, broadcast_cores: int) -> DataFrame:
-    """``c1, c2, span`` of what occurs again among stretches of strings."""
-    spark = stretches.sparkSession
-    path = work_path(spark, "cores")
-    stretches.groupBy("core").agg(F.count("*").alias("times")).where("times > 1").select("core").write.parquet(path)
-    cores = spark.read.schema("core bigint").parquet(path)
-    cores = F.broadcast(cores) if cores.count() <= broadcast_cores else cores
-    alive = stretches.join(cores, "core", "left_semi")
-    again = (
-        alive.where("h1 is not null")
-        .groupBy("h1", "h2")
-        .agg(F.count("*").alias("times"), F.min(F.struct(*CONTENT, "first")).alias("one"))
-        .where("times > 1")
-        .select("h1", "h2", "one")
-    )
-    path = work_path(spark, "stretches")
-    alive.join(again, ["h1", "h2"], "left").write.parquet(path)
-    alive = spark.read.schema(f"{PIECES}, one struct<c1:bigint,c2:bigint,first:int>").parquet(path)
-    span = F.struct("first", "last").alias("span")
-    whole = alive.where("one is not null").select(*CONTENT, span)
-    # The others one by one, against each other and against one of each that is whole.
-    single = alive.where(F.col("one").isNull() | (F.col("one") == F.struct(*CONTENT, "first")))
+def _merged(shard: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple[int, int, int]]:
+    """(shard, first, last) of one text's stretches, with those that overlap and go the same way as one."""
+    if not len(shard):
+        return []
+    order = np.lexsort((first, shard))
+    shard, first, last = shard[order], first[order], last[order]
+    base = shard << 32
+    reached = np.maximum.accumulate(base + last)
+    apart = base[1:] + first[1:] > reached[:-1] + 1
+    begins, ends = np.concatenate(([True], apart)), np.concatenate((apart, [True]))
+    return list(zip(shard[begins].tolist(), first[begins].tolist(), (reached - base)[ends].tolist(), strict=True))
+
+
+def _one_by_one(pieces: DataFrame, length: int) -> DataFrame:
+    """``c1, c2, span`` of the strings that occur again among the strings of pieces."""
 
     def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[int] = []
-            out: list[tuple[int, int, int]] = []
-            firsts, ahead = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            for row, piece in enumerate(batch.column(2)):
+            firsts, ahead = batch.column("first").to_pylist(), batch.column("ahead").to_pylist()
+            for row, piece in enumerate(batch.column("piece")):
                 own = piece.as_py()
-                for k in range(len(own) - length + 1):
-                    rows.append(row)
-                    out.append((firsts[row] + k, *_signed(xxhash.xxh3_128_intdigest(own[k : k + length], ahead[row] - k))))
-            at = pa.array(rows, pa.int64())
-            places, h1, h2 = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(at),
-                    batch.column(1).take(at),
-                    pa.array(places, pa.int32()),
-                    pa.array(h1, pa.int64()),
-                    pa.array(h2, pa.int64()),
-                ],
-                ["c1", "c2", "first", "h1", "h2"],
-            )
+                out = [
+                    (firsts[row] + k, *_signed(xxhash.xxh3_128_intdigest(own[k : k + length], ahead[row] - k)))
+                    for k in range(len(own) - length + 1)
+                ]
+                yield _rows(batch, row, out, ["first", "h1", "h2"], [pa.int32(), pa.int64(), pa.int64()])
 
-    strings = single.select(*CONTENT, "piece", "first", "ahead").mapInArrow(
+    strings = pieces.select(*CONTENT, "piece", "first", "ahead").mapInArrow(
         take_apart, "c1 bigint, c2 bigint, first int, h1 bigint, h2 bigint"
     )
     repeats = strings.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").select("h1", "h2")
-    alone = strings.join(repeats, ["h1", "h2"]).select(*CONTENT, F.struct("first", F.col("first").alias("last")).alias("span"))
-    return whole.unionByName(alone)
+    span = F.struct("first", F.col("first").alias("last")).alias("span")
+    return strings.join(repeats, ["h1", "h2"], "left_semi").select(*CONTENT, span)
 
 
 def covered(spans: pa.ListScalar, size: int, length: int) -> np.ndarray:
