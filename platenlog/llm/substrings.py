@@ -48,6 +48,8 @@ CROWD = SHARD_BYTES // (LENGTH + (LENGTH - GRAM) // PARTS)
 BROADCAST_CONTENTS = 500_000
 # Bytes of text worked on at once.
 SLAB = 1 << 20
+# Hashed stretches handed on at once.
+HASHED_ROWS = 1 << 16
 # Hashes of a stretch; it holds the strings that start at first..last.
 HASHED_NAMES = ["at", "first", "last", "core", "h1", "h2"]
 HASHED_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
@@ -243,10 +245,26 @@ def repeated_spans(
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows: list[np.ndarray] = []
+            found: list[tuple[np.ndarray, ...]] = []
+            size = 0
             for row in range(batch.num_rows):
                 own = batch.column("text")[row].as_py()
-                out = [x for at in batch.column("asks")[row].as_py() for x in _stretches(own, at, length, reach)]
-                yield _rows(batch, row, out, HASHED_NAMES, HASHED_TYPES)
+                asks = batch.column("asks")[row].values.to_numpy().astype(np.int64)
+                found.append(_stretches(own, asks, length, reach))
+                rows.append(np.full(len(found[-1][0]), row))
+                size += len(rows[-1])
+                if size >= HASHED_ROWS or row == batch.num_rows - 1:
+                    same_row = pa.array(np.concatenate(rows))
+                    columns = (np.concatenate(c) for c in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(batch.column(c).take(same_row) for c in CONTENT),
+                            *(pa.array(c, t) for c, t in zip(columns, HASHED_TYPES, strict=True)),
+                        ],
+                        [*CONTENT, *HASHED_NAMES],
+                    )
+                    rows, found, size = [], [], 0
 
     hashed_path = work_path(spark, "stretches")
     held.join(wanted, CONTENT).mapInArrow(hashed, HASHED).write.parquet(hashed_path)
@@ -257,18 +275,18 @@ def repeated_spans(
         stretches.groupBy("core")
         .agg(F.count("*").alias("times"), F.min(piece).alias("lo"), F.max(piece).alias("hi"))
         .where("times > 1")
-        .select("core", (F.col("lo") != F.col("hi")).alias("mixed"), (F.col("times") > crowd).alias("crowded"))
+        .select("core", (F.col("lo") != F.col("hi")).alias("mixed"))
         .write.parquet(path)
     )
-    cores = spark.read.schema("core bigint, mixed boolean, crowded boolean").parquet(path)
+    cores = spark.read.schema("core bigint, mixed boolean").parquet(path)
     cores = F.broadcast(cores) if cores.count() <= broadcast_contents else cores
     path = work_path(spark, "stretches-again")
     stretches.join(cores, "core").write.parquet(path)
     remove(spark, hashed_path)
-    alive = spark.read.schema(HASHED + ", mixed boolean, crowded boolean").parquet(path)
+    alive = spark.read.schema(HASHED + ", mixed boolean").parquet(path)
     same_piece = ["core", "h1", "h2"]
     groups = (
-        alive.groupBy(*same_piece, "mixed", "crowded")
+        alive.groupBy(*same_piece, "mixed")
         .agg(F.count("*").alias("times"), F.min(F.struct(*CONTENT, "at", "first", "last")).alias("one"))
         .checkpoint()
     )
@@ -276,12 +294,17 @@ def repeated_spans(
         alive.join(groups.where("times > 1").select(*same_piece), same_piece, "left_semi")
         .select(*CONTENT, F.struct("first", "last").alias("span"))
     )
-    total = groups.where("mixed and not crowded").count() * (length + reach // PARTS)
+    # Of different stretches of a core one each is left; crowded cores are at most 1 / CROWD of these.
+    crowded = (
+        groups.where("mixed").groupBy("core").agg(F.count("*").alias("pieces")).where(F.col("pieces") > crowd)
+    ).select("core", F.lit(True).alias("crowded")).checkpoint()
+    crowded = F.broadcast(crowded) if crowded.count() <= broadcast_contents else crowded
+    ones = groups.where("mixed").join(crowded, "core", "left")
+    total = groups.where("mixed").count() * (length + reach // PARTS)
     shards = max(1, -(-total // shard_bytes))
     shard = F.when(F.col("crowded"), -1).otherwise(F.pmod("core", F.lit(shards)).cast("int")).alias("shard")
     asked = (
-        groups.where("mixed")
-        .select("one.*", shard)
+        ones.select("one.*", shard)
         .groupBy(*CONTENT)
         .agg(F.collect_list(F.struct("at", "first", "last", "shard")).alias("asks"))
     )
@@ -343,17 +366,21 @@ def _rows(batch: pa.RecordBatch, row: int, out: list[tuple], names: list[str], t
     )
 
 
-def _stretches(own: bytes, at: int, length: int, reach: int) -> Iterator[tuple]:
-    """The strings around an anchor in stretches at fixed distances from it, with the hashes that tell them apart."""
+def _stretches(own: bytes, anchors: np.ndarray, length: int, reach: int) -> tuple[np.ndarray, ...]:
+    """The strings around anchors in stretches at fixed distances from them, with the hashes that tell them apart."""
     step = -(-(reach + 1) // PARTS)
-    for low in range(0, reach + 1, step):
-        high = min(reach, low + step - 1)
-        first, last = max(0, at - high), min(len(own) - length, at - low)
-        if first > last:
-            continue
-        # What all strings of the stretch have, and what any of them has; the distance is part of both hashes.
-        core = xxhash.xxh3_64_intdigest(own[at - low : at - high + length], low) - (1 << 63)
-        yield at, first, last, core, *_signed(xxhash.xxh3_128_intdigest(own[first : last + length], at - first))
+    lows = np.arange(0, reach + 1, step)
+    at, low = np.repeat(anchors, len(lows)), np.tile(lows, len(anchors))
+    high = np.minimum(reach, low + step - 1)
+    first, last = np.maximum(0, at - high), np.minimum(len(own) - length, at - low)
+    some = first <= last
+    at, low, high, first, last = at[some], low[some], high[some], first[some], last[some]
+    # What all strings of a stretch have, and what any of them has; the distance is part of both hashes.
+    cores = zip((at - low).tolist(), (at - high + length).tolist(), low.tolist(), strict=True)
+    pieces = zip(first.tolist(), (last + length).tolist(), (at - first).tolist(), strict=True)
+    core = np.frombuffer(b"".join([xxhash.xxh3_64_digest(own[a:b], seed) for a, b, seed in cores]), ">i8")
+    whole = np.frombuffer(b"".join([xxhash.xxh3_128_digest(own[a:b], seed) for a, b, seed in pieces]), ">i8")
+    return at, first, last, core.astype(np.int64), whole[::2].astype(np.int64), whole[1::2].astype(np.int64)
 
 
 def _merged(shard: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple[int, int, int]]:

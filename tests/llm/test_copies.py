@@ -146,6 +146,23 @@ def test_substrings_random(spark):
         check_substrings(spark, texts, length=40, gram=12, crowd=crowd, shard_bytes=4000)
 
 
+def test_stretches_of_one_text_merge():
+    """A narrow stretch inside a wider one does not end it; stretches of other shards stay apart."""
+    first, last = np.array([143, 100, 101, 100, 300]), np.array([185, 142, 140, 142, 310])
+    assert substrings._merged(np.array([0, 0, 0, 1, 0]), first, last) == [(0, 100, 185), (0, 300, 310), (1, 100, 142)]
+    assert substrings._merged(first[:0], first[:0], first[:0]) == []
+
+
+def test_substrings_beside_one_passage(spark):
+    """One passage in many texts with other bytes beside it, some of which repeat."""
+    draw = random.Random(12)
+    passage = "".join(draw.choice("abcd") for _ in range(34))
+    sides = ["".join(draw.choice("ab") for _ in range(draw.randrange(30))) for _ in range(6)]
+    texts = [draw.choice(sides) + passage + draw.choice(sides) + passage[: draw.randrange(34)] for _ in range(120)]
+    for crowd in (2, 10_000):
+        check_substrings(spark, texts, length=40, gram=12, crowd=crowd, shard_bytes=2000)
+
+
 def test_substrings_of_documents(spark):
     check_substrings(spark, [r.text for r in rows_of(spark)] + ["q" * 199, "r" * 200, "s" * 201])
     assert substrings.dedup_substrings(docs(spark, [])).count() == 0
