@@ -12,7 +12,7 @@ lies in the surroundings of that anchor: the bytes that a 200-byte string around
 3. Of the different surroundings of an anchor one each is cut into ``PARTS`` stretches of strings at fixed
    distances from the anchor. What all strings of a stretch share, its core, is hashed; equal strings
    have equal cores, so stretches whose core occurs once are dropped, and ones that occur again as a
-   whole are repeated. No text is moved for this but once, to be hashed.
+   whole are repeated. One copy of each text asked for moves to be hashed, and again in step 4 to be cut.
 4. One of each of the others goes, as text, to the shard of its core, where all with that core
    meet: overlapping ones of a text as one piece. This is the same at every size: an anchor
    that very many texts have is dealt out by what is beside it.
