@@ -67,6 +67,15 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
     return int(np.packbits(ones * 2 > seen).view(">i8")[0])
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The signed fingerprint of shingles by their signed 64-bit hashes; 0 without any."""
+    ones = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(hashes), CHUNK):
+        octets = hashes[k : k + CHUNK].astype(">i8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(octets, axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes)).view(">i8")[0])
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """``doc_id, content, fp`` for every row: the id, a hash of the text, the fingerprint.
 

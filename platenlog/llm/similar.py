@@ -1,7 +1,9 @@
-"""Near copies by exact shingle similarity: rare-first prefixes, pivots for crowds, every link verified.
+"""Near copies by SimHash with pigeonring filtering, completed by prefixes; every link verified by exact similarity.
 
 Two texts link if their sets of word shingles have a Jaccard similarity of ``threshold``
-or more. The shingles of a set are put in one order that holds for all texts; sets that
+or more. Candidates come first from fingerprints of the sets: those that ``simhash.links`` connects by its ring of
+segments. A threshold bounds no number of bits, so similar sets may be further apart, and these are found exactly by
+prefixes. The shingles of a set are put in one order that holds for all texts; sets that
 similar then share one of their first n - ceil(threshold n) + 1, so texts meet on those
 alone and no pair is missed. The order is by hash, but shingles that very many prefixes
 hold come last: which ones those are is a matter of speed, not of the result.
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from platenlog.llm import simhash
 from platenlog.llm.components import components
 from platenlog.llm.simhash import SEED, pick_rows
 from platenlog.plans.session import shared_folder, work_path
@@ -103,23 +106,23 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
-SKETCHES = "doc_id bigint, content bigint, node bigint, n int, bits binary, prefix array<bigint>, late array<bigint>"
+SKETCHES = "doc_id bigint, content bigint, node bigint, fp bigint, n int, bits binary, prefix array<bigint>, late array<bigint>"
 
 
 def sketches(texts: DataFrame, words: int, threshold: float, last: list[int]) -> DataFrame:
-    """``doc_id, content, node, n, bits, prefix, late`` for every row."""
+    """``doc_id, content, node, fp, n, bits, prefix, late`` for every row; ``fp`` is the SimHash of the set."""
     shared = texts.sparkSession.sparkContext.broadcast(np.array(sorted(last), dtype=np.int64))
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
             for value in batch.column(2):
                 own = marks(value.as_py(), words)
-                made.append((node(own), len(own), counts(own), *prefix(own, shared.value, threshold)))
+                made.append((node(own), simhash.fingerprint_of(own), len(own), counts(own), *prefix(own, shared.value, threshold)))
             columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *columns], ["doc_id", "content", "node", "n", "bits", "prefix", "late"]
+                [batch.column(0), batch.column(1), *columns], ["doc_id", "content", "node", "fp", "n", "bits", "prefix", "late"]
             )
 
     return texts.mapInArrow(run, SKETCHES)
@@ -175,8 +178,23 @@ def sets_of(texts: DataFrame, rows: DataFrame, wanted: DataFrame, words: int) ->
     return chosen.mapInArrow(run, "node bigint, marks array<bigint>").groupBy("node").agg(F.first("marks").alias("marks"))
 
 
-def links(texts: DataFrame, rows: DataFrame, words: int, threshold: float, crowd: int) -> DataFrame | None:
-    """``a, b``: verified links between nodes that connect what all similar pairs would; None if nothing meets."""
+def ring_pairs(rows: DataFrame, crowd: int) -> DataFrame:
+    """``a, b``, the smaller first: nodes whose fingerprints the pigeonring links, and those of one fingerprint with one of them."""
+    known = rows.where("n > 0").select("fp", "node").distinct()
+    heads = known.groupBy("fp").agg(F.min("node").alias("head")).checkpoint()
+    alike = known.join(heads, "fp").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    near = (
+        simhash.links(heads.select("fp"), crowd)
+        .toDF("fa", "fb")
+        .join(heads.toDF("fa", "ha"), "fa")
+        .join(heads.toDF("fb", "hb"), "fb")
+        .select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    )
+    return alike.where("a < b").unionByName(near)
+
+
+def joined_nodes(texts: DataFrame, rows: DataFrame, words: int, threshold: float, crowd: int) -> DataFrame | None:
+    """``node, root``: the components that verified links of all similar pairs would give; None if nothing meets."""
     spark = texts.sparkSession
     keys = met_keys(rows)
     if keys.isEmpty():
@@ -211,10 +229,11 @@ def links(texts: DataFrame, rows: DataFrame, words: int, threshold: float, crowd
         folders.remove(spark, path)
         return linked
 
-    # Everybody with the head of the shingle; those with the same head are joined, which is all that is asked here.
+    # What the fingerprints find, and everybody with the head of the shingle; those with the same head are joined, which is all that is asked here.
     members = keys.select("key", "node")
     heads = members.groupBy("key").agg(F.min("node").alias("a"))
-    found = verified(members.join(heads, "key").where("a < node").select("a", F.col("node").alias("b")).distinct())
+    met = members.join(heads, "key").where("a < node").select("a", F.col("node").alias("b"))
+    found = verified(ring_pairs(rows, crowd).unionByName(met).distinct())
     joined = found.select(F.col("b").alias("node"), "a").union(found.select("a", "a")).groupBy("node").agg(F.min("a").alias("root"))
     # Where members are few, all pairs that this has not joined.
     own = few.select("key", "node").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -237,8 +256,9 @@ def links(texts: DataFrame, rows: DataFrame, words: int, threshold: float, crowd
             .select("key", "pivot")
             .checkpoint()
         )
-        if step and pivots.isEmpty():
-            return found
+        last = pivots.isEmpty()
+        if step and last:
+            return joined
         roots = placed.select("key", F.col("node").alias("pivot"), F.col("root").alias("own"))
         asked = (
             placed.join(pivots.join(roots, ["key", "pivot"]), "key")
@@ -246,15 +266,19 @@ def links(texts: DataFrame, rows: DataFrame, words: int, threshold: float, crowd
             .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         )
         pairs = asked if step else asked.unionByName(pairs)
-        found = found.unionByName(verified(pairs.distinct())).checkpoint()
-        if pivots.isEmpty():
-            return found
+        fresh = verified(pairs.distinct())
+        # From the second round on, the components stand for the links that made them.
+        if step == 0:
+            joined = components(found.unionByName(fresh)).checkpoint()
+        elif not fresh.isEmpty():
+            joined = components(joined.toDF("a", "b").unionByName(fresh)).checkpoint()
+        if last:
+            return joined
         todo = (
             placed.join(pivots.withColumnRenamed("pivot", "node").withColumn("was", F.lit(True)), ["key", "node"], "left")
             .select("key", "node", (F.col("done") | F.col("was").isNotNull()).alias("done"))
             .checkpoint()
         )
-        joined = components(found)
         step += 1
 
 
@@ -280,12 +304,12 @@ def near_copies(
     path = work_path(spark, "sketches")
     sketches(texts, words, threshold, last).write.parquet(path)
     rows = spark.read.schema(SKETCHES).parquet(path)
-    found = links(texts, rows, words, threshold, crowd)
+    joined = joined_nodes(texts, rows, words, threshold, crowd)
     own = rows.select("doc_id", "content", "node")
-    if found is None:
+    if joined is None:
         named = own.withColumnRenamed("node", "root")
     else:
-        named = own.join(components(found), "node", "left").select(
+        named = own.join(joined, "node", "left").select(
             "doc_id", "content", F.coalesce("root", "node").alias("root")
         )
     named = named.checkpoint()

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from platenlog.llm import similar
+from platenlog.llm import similar, simhash
 from tests.llm import plain
 from tests.llm.test_texts import ODD, docs
 
@@ -58,3 +58,41 @@ def test_crowds_and_chains(spark):
         got = similar.near_copies(docs(spark, texts), crowd=crowd).orderBy("doc_id").collect()
         assert [r.component_id for r in got] == want, crowd
     assert similar.near_copies(docs(spark, [])).count() == 0
+
+
+def test_stage_asks_the_ring_of_fingerprints(spark, monkeypatch):
+    """Fingerprints of sets, linked by the ring's pigeonring as all pairs within two bits would be, go on to the exact check."""
+    draw = random.Random(5)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(4_000)]
+    texts = [" ".join(base)]
+    for _ in range(30):
+        own = list(base)
+        own[draw.randrange(len(own))] = f"x{draw.randrange(10**6)}"
+        texts.append(" ".join(own))
+    texts += [" ".join(f"z{draw.randrange(10**6)}" for _ in range(50)) for _ in range(20)] + ["", None, texts[0]]
+    asked, made = [], similar.ring_pairs
+
+    def seen(rows, crowd):
+        asked.append((rows.where("n > 0").select("node", "fp").distinct().collect(), made(rows, crowd).collect()))
+        return made(rows, crowd)
+
+    monkeypatch.setattr(similar, "ring_pairs", seen)
+    for crowd in (2, 64):
+        STAGE(spark, docs(spark, texts), SF).count() if crowd == 64 else similar.near_copies(docs(spark, texts), crowd=crowd).count()
+    for nodes, pairs in asked:
+        bits = [r.fp & (2**64 - 1) for r in nodes]
+        at = {r.node: k for k, r in enumerate(nodes)}
+        root = list(range(len(nodes)))
+        for a, b in sorted((at[r.a], at[r.b]) for r in pairs):
+            root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+        assert all(r.a < r.b for r in pairs)
+        assert root == plain.groups(len(nodes), lambda a, b: (bits[a] ^ bits[b]).bit_count() <= 2)
+        assert len(set(root)) < len(nodes) - 10
+    assert len(asked) == 2
+
+
+def test_fingerprint_of_hashes():
+    """Those of the text's own shingles, where none repeats."""
+    text = b" ".join(b"w%d" % k for k in range(70_000))
+    assert simhash.fingerprint_of(similar.marks(text, 5)) == simhash.fingerprint(text, 5)
+    assert simhash.fingerprint_of(similar.marks(b"", 5)) == 0
