@@ -234,7 +234,8 @@ def joined_nodes(texts: DataFrame, rows: DataFrame, words: int, threshold: float
     heads = members.groupBy("key").agg(F.min("node").alias("a"))
     met = members.join(heads, "key").where("a < node").select("a", F.col("node").alias("b"))
     found = verified(ring_pairs(rows, crowd).unionByName(met).distinct())
-    joined = found.select(F.col("b").alias("node"), "a").union(found.select("a", "a")).groupBy("node").agg(F.min("a").alias("root"))
+    # Whole components, so that a crowd of near copies has nothing left to ask.
+    joined = components(found).checkpoint()
     # Where members are few, all pairs that this has not joined.
     own = few.select("key", "node").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
@@ -267,10 +268,8 @@ def joined_nodes(texts: DataFrame, rows: DataFrame, words: int, threshold: float
         )
         pairs = asked if step else asked.unionByName(pairs)
         fresh = verified(pairs.distinct())
-        # From the second round on, the components stand for the links that made them.
-        if step == 0:
-            joined = components(found.unionByName(fresh)).checkpoint()
-        elif not fresh.isEmpty():
+        # The components stand for the links that made them.
+        if not fresh.isEmpty():
             joined = components(joined.toDF("a", "b").unionByName(fresh)).checkpoint()
         if last:
             return joined
