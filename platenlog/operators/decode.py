@@ -14,7 +14,7 @@ from platenlog.functions.numbers import be_int
 from platenlog.operators.walk import WALKED_TYPE, read_headers
 
 # Bytes of a body that are read at first, and where the header goes on, next; at last all.
-PREFIXES = (1 << 12, 1 << 20)
+PREFIXES = (1 << 10, 1 << 20)
 HEADER_COLUMNS = ["major", "minor", "code", "request_id", "header_len", "groups", "tokens"]
 
 

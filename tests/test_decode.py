@@ -288,3 +288,20 @@ def test_executors_need_no_package(tmp_path):
         [sys.executable, "-c", DRIVER_ONLY, repo], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120
     )
     assert done.stdout.strip().endswith("10"), done.stderr[-2000:]
+
+
+def test_headers_are_walked_some_at_a_time(monkeypatch):
+    """A batch of any size is walked in parts of so many bodies and bytes, with the results of the whole."""
+    bodies = [message(0x000B, b"\x01", attr(0x42, "job-name", b"n" * (k % 40)))[: k % 70] + b"d" * (k % 5000) for k in range(3000)]
+    arrays = pa.array(bodies, pa.binary()), pa.array([len(b) for b in bodies], pa.int64())
+    whole = walk.read_some(*arrays).to_pylist()
+    seen, some = [], walk.read_some
+
+    def noted(part, totals):
+        seen.append((len(part), sum(len(b.as_py()) for b in part)))
+        return some(part, totals)
+
+    monkeypatch.setattr(walk, "read_some", noted)
+    assert walk.read_headers(*arrays).to_pylist() == whole
+    assert sum(n for n, _ in seen) == 3000
+    assert max(n for n, _ in seen) <= walk.BODIES_AT_ONCE and max(b for _, b in seen) <= walk.WALKED_AT_ONCE
