@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from platenlog.functions import codes
 from platenlog.functions.device import device_time
 from platenlog.functions.numbers import be_int, be_uint
-from platenlog.operators.ordering import BLOCK_BITS, running_sum
+from platenlog.operators.ordering import BLOCK_BITS, running_sum, tasks_for
 
 
 def explode_attributes(decoded: DataFrame, *keys: str) -> DataFrame:
@@ -28,9 +28,16 @@ def explode_attributes(decoded: DataFrame, *keys: str) -> DataFrame:
 
 
 def value_islands(tokens: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
-    """Add ``attr_pos``: how many named tokens the group has had so far (0 before the first)."""
+    """Add ``attr_pos``: how many named tokens the group has had so far (0 before the first).
+
+    Tokens are counted first, so that no task sorts more of a larger table.
+    """
+    return _islands(tokens, block_bits, tasks_for(tokens))
+
+
+def _islands(tokens: DataFrame, block_bits: int, tasks: int | None) -> DataFrame:
     named = F.when(F.col("name") != "", 1).otherwise(0)
-    return running_sum(tokens, ["msg", "grp"], "pos", named, "attr_pos", block_bits)
+    return running_sum(tokens, ["msg", "grp"], "pos", named, "attr_pos", block_bits, tasks=tasks)
 
 
 def collect_values(islands: DataFrame, keys: list[str], order: str, value: Column | str) -> DataFrame:
@@ -44,7 +51,10 @@ def collect_values(islands: DataFrame, keys: list[str], order: str, value: Colum
 
 def group_values(tokens: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
     """Fold values with an empty name into the attribute before them; leading ones are dropped."""
-    islands = value_islands(tokens, block_bits).where(F.col("attr_pos") > 0)
+    tasks = tasks_for(tokens)
+    islands = _islands(tokens, block_bits, tasks).where(F.col("attr_pos") > 0)
+    if tasks:
+        islands = islands.repartition(tasks, "msg", "grp", "attr_pos")
     value = F.struct("tag", "value")
     return collect_values(islands, ["msg", "grp", "attr_pos"], "pos", value)
 

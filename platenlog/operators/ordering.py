@@ -17,6 +17,17 @@ from platenlog.plans.session import shared_folder
 BLOCK_BITS = 20
 LEVEL_BITS = 22
 FIRST_BLOCK = -(1 << 63)
+# Rows that one task sorts, about, where a table is larger than the session's partitions are made for.
+TASK_ROWS = 1 << 19
+
+
+def tasks_for(df: DataFrame, each: int = 1) -> int | None:
+    """So many partitions as keep a task at about ``TASK_ROWS`` rows; None where the session's are enough.
+
+    Counts the rows; ``each`` is how many rows will come of one.
+    """
+    needed = -(-df.count() * each // TASK_ROWS)
+    return needed if needed > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
 
 
 def running_sum(
@@ -27,10 +38,12 @@ def running_sum(
     name: str,
     block_bits: int = BLOCK_BITS,
     opening: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add ``name``: the sum of ``amount`` over the rows of the key up to this one.
 
-    ``opening`` (the keys and a last column) gives keys a balance to start from.
+    ``opening`` (the keys and a last column) gives keys a balance to start from; ``tasks`` is how many
+    partitions the blocks are dealt to, if not as many as the session names.
 
     ``order`` is an integer that no two rows of a key share, so a block (equal
     high bits) holds at most ``2**block_bits`` rows whatever the key holds. Blocks
@@ -42,18 +55,22 @@ def running_sum(
     """
     block = F.shiftright(F.col(order).cast("bigint"), block_bits)
     amount = amount.cast("bigint")
-    blocks = df.groupBy(*keys, block.alias("_block")).agg(F.sum(amount).alias("_total"))
+    df = df.withColumn("_block", block)
+    if tasks:
+        df = df.repartition(tasks, *keys, "_block")
+    blocks = df.groupBy(*keys, "_block").agg(F.sum(amount).alias("_total"))
     if opening is not None:
         # One more block per key, before all others.
         balance = F.col(opening.columns[-1]).cast("bigint").alias("_total")
         blocks = blocks.unionByName(opening.select(*keys, F.lit(FIRST_BLOCK).alias("_block"), balance))
+    if tasks:
+        blocks = blocks.repartition(tasks, *keys)
     starts = _starts(blocks, keys, block_bits).where(F.col("_before") != 0)
     inside = W.partitionBy(*keys, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     # Most keys fit one block and have no start to add; where all do, the right
     # side is empty at run time and adaptive execution drops the join.
     return (
-        df.withColumn("_block", block)
-        .withColumn("_inside", F.sum(amount).over(inside))
+        df.withColumn("_inside", F.sum(amount).over(inside))
         .join(starts, [*keys, "_block"], "left")
         .withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_inside"))
         .drop("_block", "_inside", "_before")

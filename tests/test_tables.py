@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from platenlog.functions import codes, device, display, naming, numbers
-from platenlog.operators import attributes, catalogue, rollups
+from platenlog.operators import attributes, catalogue, nested, ordering, rollups
 from platenlog.operators.ordering import running_sum
 from platenlog.operators.presence import presence_intervals
 from platenlog.sources.devices import CAPABILITIES, device_attributes, device_snapshots
@@ -269,3 +269,32 @@ def test_numbering_with_sparse_order(spark):
     windows = re.findall(r"windowspecdefinition\(session_id#\d+, (\w+)", text)
     # Beside the rows' own blocks and the groups of blocks, only the last level, of 2**20 groups at most, is by session alone.
     assert "_group" in windows and [w for w in windows if w not in ("_block", "_group")] == []
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    """Numbered, folded and nested values of a larger table are dealt to more tasks than the session names, with the same rows."""
+    monkeypatch.setattr(ordering, "TASK_ROWS", 50)
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    draw = random.Random(9)
+    rows = [(f"m{k % 7}", k % 3, k * 3, 0x44, draw.choice(["", "a", "b"]), str(k)) for k in range(50 * own + 200)]
+    many = spark.createDataFrame(rows, "msg string, grp int, pos int, tag int, name string, value string")
+    tasks = ordering.tasks_for(many)
+    assert tasks == own + 4 and ordering.tasks_for(many.limit(50)) is None and ordering.tasks_for(many.limit(50), 60 * own) == 60 * own
+    for block_bits in (4, 20):
+        assert f", {tasks})" in plan(attributes.value_islands(many, block_bits))
+        got = [tuple(r) for r in attributes.value_islands(many, block_bits).select("msg", "grp", "pos", "attr_pos").collect()]
+        so_far, want = {}, []
+        for msg, grp, pos, _, name, _ in rows:
+            so_far[msg, grp] = so_far.get((msg, grp), 0) + (name != "")
+            want.append((msg, grp, pos, so_far[msg, grp]))
+        assert sorted(got) == sorted(want)
+        folded = attributes.group_values(many, block_bits)
+        assert plan(folded).count(f", {tasks})") >= 3
+        assert folded.select(F.sum(F.size("values"))).first()[0] == sum(1 for w in want if w[3])
+
+
+def test_nested_tasks(spark):
+    values = spark.createDataFrame([("m", 1, 1, 1, "a", k, 0x21, b"1") for k in range(1, 4)], "msg string, group_pos int, delimiter int, attr_pos int, name string, value_pos int, tag int, value binary")
+    dealt = nested.nested_values(values, "msg", tasks=77)
+    assert ", 77)" in plan(dealt) and plan(dealt).count("Exchange") == 1
+    assert [r.item for r in dealt.orderBy("place").collect()] == [1, 2, 3]
