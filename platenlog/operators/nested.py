@@ -20,7 +20,7 @@ from platenlog.functions.numbers import be_int
 ATTRIBUTE = ["group_pos", "attr_pos"]
 
 
-def nested_values(values: DataFrame, *keys: str) -> DataFrame:
+def nested_values(values: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
     """Every value of exploded attributes with its place among collections.
 
     ``values`` are rows of ``explode_attributes`` with the message's ``keys``. Returned are the keys,
@@ -35,10 +35,13 @@ def nested_values(values: DataFrame, *keys: str) -> DataFrame:
 
     Ends and names are marks and no rows of their own. An end that closes nothing is passed
     over; a collection that is not closed holds what follows in its attribute. One shuffle by attribute, whose
-    values a message body bounds.
+    values a message body bounds, to ``tasks`` partitions if they
+    are named (``ordering.tasks_for`` the messages: counting ``values`` would decode them).
     """
     tag = F.col("tag")
     own = [*keys, *ATTRIBUTE]
+    if tasks:
+        values = values.repartition(tasks, *own)
     wire = W.partitionBy(*own).orderBy("value_pos")
     step = F.when(tag == codes.BEGIN_COLLECTION, 1).when(tag == codes.END_COLLECTION, -1).otherwise(0)
     summed = values.withColumn("_sum", F.sum(step).over(wire))

@@ -16,6 +16,7 @@ from platenlog.functions import codes, device, display, naming, numbers
 from platenlog.operators import answers, attributes, catalogue, decode, nested, presence, rollups
 from platenlog.operators.admission import admission, dispatch, gate
 from platenlog.operators.jobs import assign_job_ids, job_lookup, print_answers, register_jobs
+from platenlog.operators.ordering import tasks_for
 from platenlog.plans.capture import attribute, capture, collection, fixed, header, text, text_places
 from platenlog.plans.flow import registry_from_requests, requests_from_capture
 from platenlog.plans.requests import key_range, request_log, table
@@ -32,6 +33,8 @@ from platenlog.streaming.presence import open_spans, stream_presence, stream_pre
 PRINTER_URI = "ipp://192.0.2.1:6310/ipp/print"
 ARRIVALS = 4
 FILES_A_BATCH = 3
+# Of media_messages, about.
+TOKENS_A_MESSAGE = 48
 
 
 # --- inputs derived from the tables --------------------------------------------------
@@ -518,8 +521,9 @@ def media_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def media_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = decode.decode_messages(media_messages(spark, sf_dir))
-    return nested.nested_values(attributes.explode_attributes(decoded, "p_partkey"), "p_partkey")
+    messages = media_messages(spark, sf_dir)
+    values = attributes.explode_attributes(decode.decode_messages(messages), "p_partkey")
+    return nested.nested_values(values, "p_partkey", tasks=tasks_for(messages, TOKENS_A_MESSAGE))
 
 
 def nested_values(spark, sf_dir):
