@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,11 +65,18 @@ class _Changes(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("spans", "spans ARRAY<STRUCT<a: BIGINT, b: BIGINT, n: BIGINT, told: BOOLEAN>>")
+        # With the time of the timer that is set, so that it need not be asked for: a call costs more than the rest.
+        self.held = handle.getValueState(
+            "spans", "spans ARRAY<STRUCT<a: BIGINT, b: BIGINT, n: BIGINT, told: BOOLEAN>>, due BIGINT"
+        )
+
+    def _read(self) -> tuple[list[list], int | None]:
+        held = self.held.get()
+        return ([list(span) for span in held[0]], held[1]) if held is not None else ([], None)
 
     def handleInputRows(self, key, rows, timerValues):
-        heard = sorted(int(us) for frame in rows for us in frame["us"])
-        spans = [list(span) for span in self.held.get()[0]] if self.held.exists() else []
+        heard = [us for frame in rows for us in frame["us"].tolist()]
+        spans, due = self._read()
         merged: list[list] = []
         for a, b, n, told in sorted([*spans, *([us, us, 1, False] for us in heard)], key=lambda span: span[0]):
             # A record aged exactly its lifetime has expired.
@@ -75,13 +84,14 @@ class _Changes(StatefulProcessor):
                 merged[-1][1:3] = max(merged[-1][1], b), merged[-1][2] + n
             else:
                 merged.append([a, b, n, told])
-        yield self._settle(key, merged, timerValues.getCurrentWatermarkInMs())
+        yield from self._settle(key, merged, due, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        spans = [list(span) for span in self.held.get()[0]] if self.held.exists() else []
-        yield self._settle(key, spans, timerValues.getCurrentWatermarkInMs())
+        spans, _ = self._read()
+        # The timer that has expired is gone.
+        yield from self._settle(key, spans, None, timerValues.getCurrentWatermarkInMs())
 
-    def _settle(self, key, spans: list[list], watermark: int) -> pd.DataFrame:
+    def _settle(self, key, spans: list[list], due: int | None, watermark: int) -> Iterator[pd.DataFrame]:
         now, out, left = watermark * 1000, [], []
         for a, b, n, told in spans:
             if a <= now and not told:
@@ -90,17 +100,22 @@ class _Changes(StatefulProcessor):
                 out.append(("offline", b + self.ttl, a, n))
             else:
                 left.append((a, b, n, told or a <= now))
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
         if left:
-            self.held.update((left,))
-            due = min(b + self.ttl if told else a for a, b, _, told in left)
-            self.handle.registerTimer(-(-due // 1000))
+            first = min(b + self.ttl if told else a for a, b, _, told in left)
+            first = -(-first // 1000)
+            if first != due:
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                self.handle.registerTimer(first)
+            self.held.update((left, first))
         else:
+            if due is not None:
+                self.handle.deleteTimer(due)
             self.held.clear()
-        made = pd.DataFrame(out, columns=["change", "at_us", "from_us", "announcements"])
-        made.insert(0, "device_id", key[0])
-        return made.astype({"announcements": "Int64"})
+        if out:
+            made = pd.DataFrame(out, columns=["change", "at_us", "from_us", "announcements"])
+            made.insert(0, "device_id", key[0])
+            yield made.astype({"announcements": "Int64"})
 
     def close(self) -> None:
         pass

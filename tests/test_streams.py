@@ -284,3 +284,37 @@ def test_checkpoint_put_back(spark, tmp_path):
         return rows_of(registry.draws_table(spark, path)), rows_of(registry.newest_page(spark, path))
 
     assert run(0) == run(2)
+
+
+def test_presence_changes_asks_its_state_little():
+    """One read, one write and a timer only where it moves, for each device and batch; no empty frames."""
+    import pandas as pd
+
+    from platenlog.streaming.presence import _Changes
+
+    calls = []
+
+    class Handle:
+        value = None
+
+        def getValueState(self, *_):
+            return self
+
+        def __getattr__(self, name):
+            def call(*given):
+                calls.append(name)
+                if name == "update":
+                    self.value = given[0]
+                return self.value if name == "get" else None
+
+            return call
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    own = _Changes(60)
+    own.init(Handle())
+    for us in (5_000_000, 6_000_000):
+        assert list(own.handleInputRows(("d",), [pd.DataFrame({"us": [us]})], Clock())) == []
+    assert calls == ["get", "registerTimer", "update", "get", "update"]
