@@ -36,6 +36,8 @@ LIMIT = 2
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 CROWD = 64
 CHUNK = 1 << 16
+# Rows that go, or repeat, are looked up by a broadcast of so many ids and hashes, 18 bytes each.
+SENT = 500_000
 
 
 def fingerprint(text: bytes | None, words: int = WORDS) -> int:
@@ -189,24 +191,46 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     The row with the component's smallest id stays; among rows of that id, one by
     the hash of its text. Exact repeats of a row count as one.
     """
-    found = near_duplicates(docs, doc_id, text, words)
+    return one_of_each_root(docs, near_duplicates(docs, doc_id, text, words), doc_id, text)
+
+
+def one_of_each_root(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` without those that ``found`` (``doc_id, content, root, component_id`` for each) has a smaller one for.
+
+    Which rows go is settled on ids and hashes. Where few go they are sent out and no text is moved; else
+    every text is moved once.
+    """
+    pairs = found.groupBy("doc_id", "content").agg(
+        F.count("*").alias("n"), F.min("root").alias("root"), F.min("component_id").alias("component_id")
+    )
     winners = (
         found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("root", F.col("component_id").alias("__id"))
-        .agg(F.min("content").alias("__content"))
-        .select("__id", "__content")
+        .groupBy("root")
+        .agg(F.min("content").alias("__least"))
     )
-    return pick_rows(docs, winners, doc_id, text)
-
-
-def pick_rows(docs: DataFrame, winners: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows of ``docs`` named by (``__id``, ``__content``), each once even if the row is repeated."""
-    columns = [F.col(f"`{name}`") for name in docs.columns]
-    place = W.partitionBy("__id", "__content").orderBy(F.lit(0))
-    keyed = docs.withColumns({"__own": F.col(doc_id).cast("bigint"), "__hash": F.xxhash64(text)})
-    return (
-        keyed.join(winners, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__content")))
-        .withColumn("__place", F.row_number().over(place))
-        .where("__place = 1")
-        .select(*columns)
+    own, stays = F.col("doc_id"), F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("content") == F.col("__least"))
+    # Those that go, and those that stay but are there more than once.
+    named = (
+        pairs.join(winners, "root")
+        .where(~stays | (F.col("n") > 1))
+        .select(
+            F.coalesce(own, F.lit(0)).alias("__own"), own.isNull().alias("__none"), F.col("content").alias("__hash"), stays.alias("__stays")
+        )
+        .checkpoint()
     )
+    size = named.agg(F.count("*").alias("n"), F.count_if("__stays").alias("again")).first()
+    place = ["__own", "__none", "__hash"]
+    first = W.partitionBy(*place).orderBy(F.lit(0))
+    columns = [F.col(f"`{name}`") for name in docs.columns]
+    ids = F.col(f"`{doc_id}`").cast("bigint")
+    keyed = docs.withColumns({"__own": F.coalesce(ids, F.lit(0)), "__none": ids.isNull(), "__hash": F.xxhash64(text)})
+    if size["n"] > SENT:
+        # The join has dealt the rows as the window wants them.
+        kept = keyed.join(named, place, "left").where(F.coalesce("__stays", F.lit(True)))
+        return kept.withColumn("__place", F.row_number().over(first)).where("__place = 1").select(columns)
+    marked = keyed.join(F.broadcast(named), place, "left")
+    alone = marked.where("__stays is null").select(columns)
+    if not size["again"]:
+        return alone
+    again = marked.where("__stays").withColumn("__place", F.row_number().over(first)).where("__place = 1")
+    return alone.unionByName(again.select(columns))

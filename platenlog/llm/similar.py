@@ -16,7 +16,7 @@ Every shingle's members are first tried with one of them, its head: copies of on
 then joined by one comparison each and not by one for each pair. A pair needs no
 comparison once it is in one component. Others are compared pair by pair, but where more than ``CROWD`` rows share a shingle: there a few members are pivots, compared with
 all members that are not yet in their component; then the components are made again, and so on with
-more pivots. This ends with the components that all pairs would give.
+more pivots, or with all that are left once that is little. This ends with the components that all pairs would give.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from platenlog.llm import simhash
 from platenlog.llm.components import components
-from platenlog.llm.simhash import SEED, pick_rows
+from platenlog.llm.simhash import SEED, one_of_each_root
 from platenlog.plans.session import shared_folder, work_path
 from platenlog.sources import folders
 
@@ -44,7 +44,7 @@ CROWD = 64
 LAST = 200_000
 # Pivots of a shingle at first, and so many times more from round to round.
 PIVOTS = 8
-MORE = 16
+MORE = 64
 # Slots of a set's counts: from so many, doubled while the set has more than eight shingles for each.
 SLOTS = 64
 # Copies of texts that are looked up by a broadcast of their hashes and ids, 16 bytes each.
@@ -138,29 +138,27 @@ def common(texts: DataFrame, words: int, crowd: int) -> list[int]:
 
 
 def met_keys(rows: DataFrame) -> DataFrame:
-    """``key, node, rows`` where different nodes share a key; the common ones have no ``rows``."""
+    """``key, node, n, rows`` where different nodes share a key; the common ones have no ``rows``."""
     # Window sorts are even, as common keys are not in them.
     place = W.partitionBy("key")
     early = (
-        rows.select(F.explode("prefix").alias("key"), "node")
-        .select("key", "node", F.min("node").over(place).alias("lo"), F.max("node").over(place).alias("hi"), F.count("*").over(place).alias("rows"))
+        rows.select(F.explode("prefix").alias("key"), "node", "n")
+        .select("key", "node", "n", F.min("node").over(place).alias("lo"), F.max("node").over(place).alias("hi"), F.count("*").over(place).alias("rows"))
         .where("lo < hi")
-        .select("key", "node", "rows")
+        .select("key", "node", "n", "rows")
         .distinct()
     )
-    late = rows.select(F.explode("late").alias("key"), "node").distinct()
-    shared = late.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    late = late.join(shared, "key", "left_semi").select("key", "node", F.lit(None).cast("bigint").alias("rows"))
+    late = rows.select(F.explode("late").alias("key"), "node", "n").distinct()
+    shared = late.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+    late = late.join(shared, "key", "left_semi").select("key", "node", "n", F.lit(None).cast("bigint").alias("rows"))
     return early.unionByName(late).checkpoint()
 
 
 def sets_of(texts: DataFrame, rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """``node, marks`` of the nodes in ``wanted``, once each, from one copy of a text each."""
-    one = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("content").alias("content"))
-    first = rows.join(one, ["node", "content"], "left_semi").groupBy("content").agg(F.min("doc_id").alias("__id"))
-    first = first.withColumnRenamed("content", "__content")
+    first = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("content").alias("__content"), F.min_by("doc_id", "content").alias("__id"))
     # Only the rows that are read for their sets are moved, and none where the hashes fit a broadcast.
-    first = first.checkpoint()
+    first = first.select("__content", "__id").checkpoint()
     if first.count() <= SENT:
         first = F.broadcast(first)
     chosen = texts.join(
@@ -200,7 +198,7 @@ def joined_nodes(texts: DataFrame, rows: DataFrame, words: int, threshold: float
     if keys.isEmpty():
         return None
     few = keys.where(F.col("rows") <= crowd)
-    crowded = keys.where(F.col("rows").isNull() | (F.col("rows") > crowd)).select("key", "node")
+    crowded = keys.where(F.col("rows").isNull() | (F.col("rows") > crowd)).select("key", "node", "n")
     sizes = rows.join(keys.select("node").distinct(), "node", "left_semi").select("node", "n", "bits").distinct().checkpoint()
 
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,9 +211,11 @@ def joined_nodes(texts: DataFrame, rows: DataFrame, words: int, threshold: float
                 pa.array(kept, pa.bool_())
             )
 
+    # Before pairs are moved, so that those of unlike sizes never are.
+    near = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-6
+
     def verified(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(sizes.toDF("a", "na", "ba"), "a").join(sizes.toDF("b", "nb", "bb"), "b")
-        sized = sized.where(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-6)
+        sized = pairs.join(sizes.toDF("a", "na", "ba"), "a").join(sizes.toDF("b", "nb", "bb"), "b").where(near)
         left = sized.select("a", "b", "ba", "bb", (F.col("na") + F.col("nb")).cast("bigint").alias("total"))
         left = left.mapInArrow(maybe, "a bigint, b bigint").checkpoint()
         wanted = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
@@ -230,40 +230,46 @@ def joined_nodes(texts: DataFrame, rows: DataFrame, words: int, threshold: float
         return linked
 
     # What the fingerprints find, and everybody with the head of the shingle; those with the same head are joined, which is all that is asked here.
-    members = keys.select("key", "node")
-    heads = members.groupBy("key").agg(F.min("node").alias("a"))
-    met = members.join(heads, "key").where("a < node").select("a", F.col("node").alias("b"))
+    members = keys.select("key", F.col("node").alias("b"), F.col("n").alias("nb"))
+    heads = members.groupBy("key").agg(F.min("b").alias("a"), F.min_by("nb", "b").alias("na"))
+    met = members.join(heads, "key").where("a < b").where(near).select("a", "b")
     found = verified(ring_pairs(rows, crowd).unionByName(met).distinct())
     # Whole components, so that a crowd of near copies has nothing left to ask.
     joined = components(found).checkpoint()
     # Where members are few, all pairs that this has not joined.
-    own = few.select("key", "node").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = few.select("key", "node", "n").join(joined, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     apart = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     own = own.join(apart, "key", "left_semi").checkpoint()
-    pairs = own.toDF("key", "a", "ra").join(own.toDF("key", "b", "rb"), "key").where("a < b and ra != rb").select("a", "b")
+    pairs = own.toDF("key", "a", "na", "ra").join(own.toDF("key", "b", "nb", "rb"), "key").where("a < b and ra != rb").where(near).select("a", "b")
     todo = crowded.withColumn("done", F.lit(False))
     step = 0
     while True:
         placed = todo.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
         parts = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
         largest = parts.groupBy("key").agg(F.max_by("root", "size").alias("largest"))
-        placed = placed.join(largest, "key").checkpoint()
         # Members of one component need each other no more.
-        open_ = placed.where(~F.col("done") & (F.col("root") != F.col("largest")))
+        placed = placed.join(largest, "key").withColumn("open", ~F.col("done") & (F.col("root") != F.col("largest"))).checkpoint()
         turn = F.xxhash64("node", F.lit(step))
-        pivots = (
-            open_.groupBy("key", F.pmod(turn, F.lit(PIVOTS * MORE**step)).alias("slot"))
-            .agg(F.min_by("node", turn).alias("pivot"))
-            .select("key", "pivot")
-            .checkpoint()
-        )
-        last = pivots.isEmpty()
-        if step and last:
+        sums = placed.groupBy("key").agg(F.count("*").alias("m"), F.count_if("open").alias("o"))
+        total = sums.agg(F.sum("m").alias("m"), F.sum("o").alias("o"), F.sum(F.col("m") * F.col("o")).alias("pairs")).first()
+        if step and not total["o"]:
             return joined
-        roots = placed.select("key", F.col("node").alias("pivot"), F.col("root").alias("own"))
+        # All at once where that is no more for a row than in a crowd of ``crowd``.
+        whole = (total["pairs"] or 0) <= crowd * (total["m"] or 0)
+        if whole:
+            pivots = placed.where("open").select("key", F.col("node").alias("pivot"), F.col("n").alias("nb"), F.col("root").alias("own"))
+        else:
+            pivots = (
+                placed.where("open")
+                .groupBy("key", F.pmod(turn, F.lit(PIVOTS * MORE**step)).alias("slot"))
+                .agg(F.min_by("node", turn).alias("pivot"), F.min_by("n", turn).alias("nb"), F.min_by("root", turn).alias("own"))
+                .drop("slot")
+                .checkpoint()
+            )
         asked = (
-            placed.join(pivots.join(roots, ["key", "pivot"]), "key")
+            placed.withColumnRenamed("n", "na").join(pivots, "key")
             .where(F.col("root") != F.col("own"))
+            .where(near)
             .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         )
         pairs = asked if step else asked.unionByName(pairs)
@@ -271,11 +277,12 @@ def joined_nodes(texts: DataFrame, rows: DataFrame, words: int, threshold: float
         # The components stand for the links that made them.
         if not fresh.isEmpty():
             joined = components(joined.toDF("a", "b").unionByName(fresh)).checkpoint()
-        if last:
+        # Once all outside of a largest component are asked, no pair of different components is left, whichever is the largest then.
+        if whole or pivots.count() == total["o"]:
             return joined
         todo = (
-            placed.join(pivots.withColumnRenamed("pivot", "node").withColumn("was", F.lit(True)), ["key", "node"], "left")
-            .select("key", "node", (F.col("done") | F.col("was").isNotNull()).alias("done"))
+            placed.join(pivots.select("key", F.col("pivot").alias("node"), F.lit(True).alias("was")), ["key", "node"], "left")
+            .select("key", "node", "n", (F.col("done") | F.col("was").isNotNull()).alias("done"))
             .checkpoint()
         )
         step += 1
@@ -321,11 +328,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **sett
 
     Among rows of that id one stays by the hash of its text; exact repeats of a row count as one.
     """
-    found = near_copies(docs, doc_id, text, **settings)
-    winners = (
-        found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("root", F.col("component_id").alias("__id"))
-        .agg(F.min("content").alias("__content"))
-        .select("__id", "__content")
-    )
-    return pick_rows(docs, winners, doc_id, text)
+    return one_of_each_root(docs, near_copies(docs, doc_id, text, **settings), doc_id, text)

@@ -96,3 +96,28 @@ def test_fingerprint_of_hashes():
     text = b" ".join(b"w%d" % k for k in range(70_000))
     assert simhash.fingerprint_of(similar.marks(text, 5)) == simhash.fingerprint(text, 5)
     assert simhash.fingerprint_of(similar.marks(b"", 5)) == 0
+
+
+def test_no_text_is_moved_for_the_few_that_go(spark, monkeypatch):
+    """Few that go are sent out; many meet the texts after one shuffle of these. Repeated rows and null ids alike."""
+    draw = random.Random(9)
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(40)) for _ in range(6)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(10 + k, texts[k % 3]) for k in range(9)]
+    plain_rows = spark.createDataFrame(rows, "doc_id bigint, text string")
+    odd = [*rows, (0, texts[0]), (0, texts[0]), (3, texts[1]), (None, texts[4]), (None, "of its own"), (None, "of its own"), (7, None), (7, None)]
+    odd_rows = spark.createDataFrame(odd, "doc_id bigint, text string")
+    ways = []
+    for sent in (simhash.SENT, 0):
+        monkeypatch.setattr(simhash, "SENT", sent)
+        kept = similar.keep_one(plain_rows)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        moves = kept._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert moves == (0 if sent else 2)
+        assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 5]
+        # A pair of id and text is asked for by both.
+        for keep in (similar.keep_one, simhash.keep_one):
+            ways.append(sorted(map(tuple, keep(odd_rows).collect()), key=str))
+    assert ways[0] == ways[1] == ways[2] == ways[3]
+    want = [(0, texts[0]), (1, texts[1]), (2, texts[2]), (3, texts[3]), (4, texts[4]), (5, texts[5]), (7, None), (None, "of its own")]
+    assert ways[0] == sorted(want, key=str)
