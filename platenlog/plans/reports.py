@@ -159,8 +159,8 @@ def devices_of(spark: SparkSession, sf_dir: str, name: str, key: str, label: str
     )
 
 
-def asking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log's attribute requests, each with a device and a list of names."""
+def asking_rows(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The log's attribute requests, each with a device and a list of names, and ``more`` of the log's columns."""
     k = F.col("seq")
     wanted = (
         F.when(k % 4 == 1, F.array(F.lit("all")))
@@ -170,7 +170,7 @@ def asking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         request_log(spark, sf_dir)
         .where(F.col("op_code") == codes.GET_PRINTER_ATTRIBUTES)
-        .select("seq", (k % key_range(spark, sf_dir)).alias("device_id"), wanted.alias("wanted"))
+        .select("seq", (k % key_range(spark, sf_dir)).alias("device_id"), wanted.alias("wanted"), *more)
     )
 
 
@@ -294,16 +294,21 @@ def dated_answers(spark, sf_dir):
     """Requests answered from what their device was at the time: three dated snapshots a device, none before the first."""
     k = F.col("device_id")
     days = F.explode(F.array(*[F.lit(n) for n in range(3)]))
-    devices = devices_of(spark, sf_dir, "customer", "c_custkey", "c_name").withColumn("n", days)
     taken = F.timestamp_seconds(F.lit(1704067200) + (k % 7) * 7200 + F.col("n") * 36000)
-    dated = devices.withColumns({"taken_at": taken, "name": F.concat("name", F.lit(" v"), F.col("n").cast("string"))})
-    stored = work_path(spark, "dated")
-    keyed = dated.withColumn("device_id", F.struct("device_id", "taken_at"))
-    explode_devices(device_snapshots(keyed)).select("device_id.*", "pos", "name", "value_pos", "tag", "value").write.parquet(stored)
-    held = spark.read.parquet(stored)
-    times = request_log(spark, sf_dir).select("seq", "arrived_at")
-    asked = asking_rows(spark, sf_dir).join(times, "seq")
-    known = answers.as_of(asked, held.where("pos = 1").select("device_id", "taken_at"))
+
+    def dated(rows):
+        return rows.withColumn("n", days).withColumns({"taken_at": taken, "name": F.concat("name", F.lit(" v"), F.col("n").cast("string"))})
+
+    devices = devices_of(spark, sf_dir, "customer", "c_custkey", "c_name")
+    asked = asking_rows(spark, sf_dir, "arrived_at")
+    stored = work_path(spark, "known")
+    answers.as_of(asked, dated(devices).select("device_id", "taken_at")).write.parquet(stored)
+    known = spark.read.parquet(stored)
+    # Only snapshots that answer something are laid out as attributes: no more than there are requests.
+    due = known.select("device_id", "taken_at").distinct()
+    meant = dated(devices.join(due, "device_id", "left_semi")).join(due, ["device_id", "taken_at"], "left_semi")
+    keyed = meant.withColumn("device_id", F.struct("device_id", "taken_at"))
+    held = explode_devices(device_snapshots(keyed)).select("device_id.*", "pos", "name", "value_pos", "tag", "value")
     told = answers.attribute_answers(known, held, ("device_id", "taken_at"))
     return told.select("seq", "device_id", F.unix_seconds("taken_at").alias("taken_s"), "pos", "name", "value_pos", "tag", "value")
 

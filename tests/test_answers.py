@@ -6,6 +6,7 @@ from bisect import bisect_right
 from pyspark.sql import functions as F
 
 from platenlog.operators import answers
+from platenlog.plans import reports
 
 LONG = "device_id BIGINT, pos INT, name STRING, value_pos INT, tag INT, value STRING"
 
@@ -82,3 +83,19 @@ def test_much_asked_device_is_split(spark):
     finally:
         for key, v in before.items():
             spark.conf.set(key, v) if v is not None else spark.conf.unset(key)
+
+
+def test_only_snapshots_that_answer_are_laid_out(spark, monkeypatch):
+    """Devices that nobody asks, and times that no request falls to, cost no attribute rows."""
+    laid, made = [], reports.explode_devices
+
+    def seen(snapshots):
+        laid.append(snapshots.count())
+        return made(snapshots)
+
+    monkeypatch.setattr(reports, "explode_devices", seen)
+    told = reports.dated_answers(spark, "/root/testdata/sf0.01")
+    meant = told.select("device_id", "taken_s").distinct().count()
+    customers = spark.read.parquet("/root/testdata/sf0.01/customer.parquet").count()
+    asking = reports.asking_rows(spark, "/root/testdata/sf0.01").count()
+    assert 0 < meant <= laid[0] <= min(asking, 3 * customers - 1)
