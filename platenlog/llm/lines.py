@@ -139,7 +139,10 @@ def near_lines(docs: DataFrame, doc_id: str, text: str, min_chars: int, broadcas
         .agg(F.min(F.struct("doc", "content", "n")).alias("first"), F.first("line").alias("line"))
         .checkpoint()
     )
-    close = _meeting(texts.select(*LINE, F.inline(part_keys(F.col("line"), PARTS)))).join(texts, LINE)
+    meets = _meeting(texts.select(*LINE, F.inline(part_keys(F.col("line"), PARTS))))
+    meets = meets.groupBy(*LINE).agg(F.collect_set(F.struct("t", "part")).alias("parts"))
+    # Cut off here: all that follows reads these lines more than once, and the driver plans and compiles what is before them each time.
+    close = texts.join(meets, LINE).checkpoint()
     t, part, line = F.col("t"), F.col("part"), F.col("line")
     low, high = F.floor(t * part / PARTS).cast("int"), F.floor(t * (part + 1) / PARTS).cast("int")
     without = F.transform(
@@ -150,26 +153,29 @@ def near_lines(docs: DataFrame, doc_id: str, text: str, min_chars: int, broadcas
         ),
     )
     own = F.struct("first", *LINE)
+
+    def key(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.alias("key"))
+
     # A line as it is can only be the shorter of a pair; cut, it is the longer or one of two as long.
-    cut = close.where((F.length("line") == t) & (high > low)).select(own.alias("own"), "t", F.inline(without))
-    replaced = cut.select("own", F.xxhash64(F.lit("replaced"), "t", "at", "variant").alias("key"))
-    earliest = replaced.groupBy("key").agg(F.min("own").alias("other"), F.count("*").alias("met")).where("met > 1")
-    pairs = replaced.join(earliest, "key").select("own", "other")
-    # The variant of a longer line against a shorter line, by the hash of their text.
-    shortened = cut.select("own", F.lit(True).alias("longer"), F.col("variant").alias("key"))
-    whole = close.where(F.length("line") == t - 1).select(own.alias("own"), F.lit(False).alias("longer"), F.col("h1").alias("key"))
-    either = shortened.unionByName(whole).distinct()
-    both = (
-        either.groupBy("key")
-        .agg(
-            F.min(F.when(F.col("longer"), F.col("own"))).alias("long"),
-            F.min(F.when(~F.col("longer"), F.col("own"))).alias("short"),
-        )
-        .where("long is not null and short is not null")
-    )
-    pairs = pairs.unionByName(
-        either.join(both, "key").select("own", F.when(F.col("longer"), F.col("short")).otherwise(F.col("long")).alias("other"))
+    spread = close.select(own.alias("own"), "line", F.inline("parts"))
+    cut = spread.where((F.length("line") == t) & (high > low)).select("own", "t", F.inline(without))
+    replaced = key("replaced", F.xxhash64(F.lit("replaced"), "t", "at", "variant"))
+    cut = cut.select("own", F.inline(F.array(replaced, key("longer", F.col("variant")))))
+    # The variant of a longer line meets a shorter line by the hash of their text.
+    whole = close.where(F.exists("parts", lambda p: p["t"] == F.length("line") + 1))
+    keyed = cut.unionByName(whole.select(own.alias("own"), F.lit("shorter").alias("kind"), F.col("h1").alias("key")))
+
+    def earliest(kind: str) -> Column:
+        return F.min(F.when(F.col("kind") == kind, F.col("own"))).alias(kind)
+
+    met = (
+        keyed.groupBy("key")
+        .agg(*map(earliest, ("replaced", "longer", "shorter")), F.count_if(F.col("kind") == "replaced").alias("met"))
+        .where("met > 1 or (longer is not null and shorter is not null)")
     )
+    other = F.when(F.col("kind") == "replaced", F.col("replaced")).when(F.col("kind") == "longer", F.col("shorter"))
+    pairs = keyed.join(met, "key").select("own", other.otherwise(F.col("longer")).alias("other"))
     found = (
         pairs.where(F.col("other.first") < F.col("own.first"))
         .select("own.h1", "own.h2", F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2"))

@@ -19,6 +19,8 @@ MAX_LEN = 2048
 BUCKETS = 8
 BUDGET = 16_384
 BLOCK_ROWS = (256, 100_000)
+# Lengths whose cuts are tried at once, each against all shorter ones.
+LENGTHS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -43,10 +45,14 @@ def best_bounds(counts: dict[int, int], buckets: int) -> list[int]:
     cuts = []
     for _ in range(min(buckets, m) - 1):
         # The last bucket starts behind length i: all buckets before it end at i.
-        cost = best[:, None] + (rows[None, 1:] - rows[1:, None]) * size[None, :]
-        cost[np.tril_indices(m)] = np.iinfo(np.int64).max
-        cut = cost.argmin(axis=0)
-        better = cost[cut, np.arange(m)]
+        cut, better = np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64)
+        # Some lengths at a time, as all against all would be the most that the driver holds.
+        for k in range(0, m, LENGTHS):
+            to = np.arange(k, min(k + LENGTHS, m))
+            cost = best[:, None] + (rows[None, to + 1] - rows[1:, None]) * size[None, to]
+            cost[np.arange(m)[:, None] >= to] = np.iinfo(np.int64).max
+            cut[to] = cost.argmin(axis=0)
+            better[to] = cost[cut[to], np.arange(len(to))]
         cuts.append(np.where(better < best, cut, -1))
         best = np.minimum(better, best)
     bounds, at = [], m - 1

@@ -105,6 +105,13 @@ def test_lines_of_documents(spark):
     assert lines.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_lines_plan_is_short(spark):
+    """The driver plans and compiles the search for near lines once, and not for each time that its lines are read."""
+    near = lines.near_lines(docs(spark, [r.text for r in rows_of(spark)][:60]), "doc_id", "text", 20, 1000)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("Exchange ") < 20 and plan.count("Generate") < 8, plan.count("Exchange ")
+
+
 def test_lines_odd_rows(spark):
     rows = [(None, "a line of its own"), (1, "a line of its own"), (1, "another line"), (2, "another line"), (2, "another line")]
     table = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, line string")

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import time
+import tracemalloc
 from fractions import Fraction
 
 import pytest
@@ -136,6 +137,15 @@ def test_bounds_are_best():
     assert packing.best_bounds({}, 3) == []
 
 
+def test_bounds_of_many_lengths():
+    """All lengths against all would be over 100 MB of the driver."""
+    tracemalloc.start()
+    bounds = packing.best_bounds({n: n % 7 + 1 for n in range(1, 2049)}, 8)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(bounds) == 8 and bounds[-1] == 2048 and most < 16 << 20
+
+
 def test_pack(spark):
     texts = ODD + [" ".join("w" * (k % 37)) for k in range(900)]
     rows = packing.pack(docs(spark, texts), max_len=64, buckets=4, budget=256).collect()
