@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from platenlog.llm import simhash
-from platenlog.llm.components import components
+from platenlog.llm.components import components, dealt
 from platenlog.llm.simhash import SEED, one_of_each_root
 from platenlog.plans.session import shared_folder, work_path
 from platenlog.sources import folders
@@ -51,6 +51,8 @@ SLOTS = 64
 SENT = 500_000
 # One in so many texts is asked which shingles are common.
 ASKED = 16
+# Documents that a task is worth: their keys, pairs and links are read again in no more partitions than that makes.
+DOCS_A_TASK = 2_000
 
 
 def marks(text: bytes | None, words: int) -> np.ndarray:
@@ -137,21 +139,18 @@ def common(texts: DataFrame, words: int, crowd: int) -> list[int]:
     return [r.key for r in often.orderBy(F.desc("count"), "key").limit(LAST).collect()]
 
 
-def met_keys(rows: DataFrame) -> DataFrame:
+def met_keys(rows: DataFrame, tasks: int) -> DataFrame:
     """``key, node, n, rows`` where different nodes share a key; the common ones have no ``rows``."""
     # Window sorts are even, as common keys are not in them.
     place = W.partitionBy("key")
-    early = (
-        rows.select(F.explode("prefix").alias("key"), "node", "n")
-        .select("key", "node", "n", F.min("node").over(place).alias("lo"), F.max("node").over(place).alias("hi"), F.count("*").over(place).alias("rows"))
-        .where("lo < hi")
-        .select("key", "node", "n", "rows")
-        .distinct()
+    early = rows.select(F.explode("prefix").alias("key"), "node", "n").select(
+        "key", "node", "n", F.min("node").over(place).alias("lo"), F.max("node").over(place).alias("hi"), F.count("*").over(place).alias("rows")
     )
+    early = dealt(early.where("lo < hi").select("key", "node", "n", "rows"), tasks).distinct()
     late = rows.select(F.explode("late").alias("key"), "node", "n").distinct()
     shared = late.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
     late = late.join(shared, "key", "left_semi").select("key", "node", "n", F.lit(None).cast("bigint").alias("rows"))
-    return early.unionByName(late).checkpoint()
+    return dealt(early.unionByName(late), tasks).checkpoint()
 
 
 def sets_of(texts: DataFrame, rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -191,15 +190,16 @@ def ring_pairs(rows: DataFrame, crowd: int) -> DataFrame:
     return alike.where("a < b").unionByName(near)
 
 
-def joined_nodes(texts: DataFrame, rows: DataFrame, words: int, threshold: float, crowd: int) -> DataFrame | None:
+def joined_nodes(texts: DataFrame, rows: DataFrame, words: int, threshold: float, crowd: int, tasks: int) -> DataFrame | None:
     """``node, root``: the components that verified links of all similar pairs would give; None if nothing meets."""
     spark = texts.sparkSession
-    keys = met_keys(rows)
+    keys = met_keys(rows, tasks)
     if keys.isEmpty():
         return None
     few = keys.where(F.col("rows") <= crowd)
     crowded = keys.where(F.col("rows").isNull() | (F.col("rows") > crowd)).select("key", "node", "n")
-    sizes = rows.join(keys.select("node").distinct(), "node", "left_semi").select("node", "n", "bits").distinct().checkpoint()
+    sizes = rows.join(keys.select("node").distinct(), "node", "left_semi").select("node", "n", "bits")
+    sizes = dealt(dealt(sizes, tasks).distinct(), tasks).checkpoint()
 
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,14 +215,15 @@ def joined_nodes(texts: DataFrame, rows: DataFrame, words: int, threshold: float
     near = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-6
 
     def verified(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(sizes.toDF("a", "na", "ba"), "a").join(sizes.toDF("b", "nb", "bb"), "b").where(near)
+        sized = dealt(dealt(pairs, tasks).join(sizes.toDF("a", "na", "ba"), "a"), tasks)
+        sized = dealt(sized.join(sizes.toDF("b", "nb", "bb"), "b").where(near), tasks)
         left = sized.select("a", "b", "ba", "bb", (F.col("na") + F.col("nb")).cast("bigint").alias("total"))
         left = left.mapInArrow(maybe, "a bigint, b bigint").checkpoint()
-        wanted = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+        wanted = dealt(left.select(F.col("a").alias("node")).union(left.select("b")).distinct(), tasks)
         path = work_path(spark, "sets")
-        sets_of(texts, rows, wanted, words).write.parquet(path)
+        dealt(sets_of(texts, rows, wanted, words), tasks).write.parquet(path)
         sets = spark.read.schema("node bigint, marks array<bigint>").parquet(path)
-        both = left.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b")
+        both = dealt(dealt(left.join(sets.toDF("a", "ma"), "a"), tasks).join(sets.toDF("b", "mb"), "b"), tasks)
         shared = F.size(F.array_intersect("ma", "mb"))
         union = F.size("ma") + F.size("mb") - shared
         linked = both.where(shared >= F.lit(threshold) * union - 1e-9).select("a", "b").checkpoint()
@@ -232,15 +233,16 @@ def joined_nodes(texts: DataFrame, rows: DataFrame, words: int, threshold: float
     # What the fingerprints find, and everybody with the head of the shingle; those with the same head are joined, which is all that is asked here.
     members = keys.select("key", F.col("node").alias("b"), F.col("n").alias("nb"))
     heads = members.groupBy("key").agg(F.min("b").alias("a"), F.min_by("nb", "b").alias("na"))
-    met = members.join(heads, "key").where("a < b").where(near).select("a", "b")
-    found = verified(ring_pairs(rows, crowd).unionByName(met).distinct())
+    met = dealt(members.join(heads, "key").where("a < b").where(near).select("a", "b"), tasks)
+    found = verified(dealt(ring_pairs(rows, crowd), tasks).unionByName(met).distinct())
     # Whole components, so that a crowd of near copies has nothing left to ask.
-    joined = components(found).checkpoint()
+    joined = components(found, tasks).checkpoint()
     # Where members are few, all pairs that this has not joined.
     own = few.select("key", "node", "n").join(joined, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     apart = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     own = own.join(apart, "key", "left_semi").checkpoint()
     pairs = own.toDF("key", "a", "na", "ra").join(own.toDF("key", "b", "nb", "rb"), "key").where("a < b and ra != rb").where(near).select("a", "b")
+    pairs = dealt(pairs, tasks)
     todo = crowded.withColumn("done", F.lit(False))
     step = 0
     while True:
@@ -259,32 +261,33 @@ def joined_nodes(texts: DataFrame, rows: DataFrame, words: int, threshold: float
         if whole:
             pivots = placed.where("open").select("key", F.col("node").alias("pivot"), F.col("n").alias("nb"), F.col("root").alias("own"))
         else:
-            pivots = (
+            pivots = dealt(
                 placed.where("open")
                 .groupBy("key", F.pmod(turn, F.lit(PIVOTS * MORE**step)).alias("slot"))
                 .agg(F.min_by("node", turn).alias("pivot"), F.min_by("n", turn).alias("nb"), F.min_by("root", turn).alias("own"))
-                .drop("slot")
-                .checkpoint()
-            )
-        asked = (
+                .drop("slot"),
+                tasks,
+            ).checkpoint()
+        asked = dealt(
             placed.withColumnRenamed("n", "na").join(pivots, "key")
             .where(F.col("root") != F.col("own"))
             .where(near)
-            .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+            .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")),
+            tasks,
         )
         pairs = asked if step else asked.unionByName(pairs)
         fresh = verified(pairs.distinct())
         # The components stand for the links that made them.
         if not fresh.isEmpty():
-            joined = components(joined.toDF("a", "b").unionByName(fresh)).checkpoint()
+            joined = components(joined.toDF("a", "b").unionByName(fresh), tasks).checkpoint()
         # Once all outside of a largest component are asked, no pair of different components is left, whichever is the largest then.
         if whole or pivots.count() == total["o"]:
             return joined
-        todo = (
+        todo = dealt(
             placed.join(pivots.select("key", F.col("pivot").alias("node"), F.lit(True).alias("was")), ["key", "node"], "left")
-            .select("key", "node", "n", (F.col("done") | F.col("was").isNotNull()).alias("done"))
-            .checkpoint()
-        )
+            .select("key", "node", "n", (F.col("done") | F.col("was").isNotNull()).alias("done")),
+            tasks,
+        ).checkpoint()
         step += 1
 
 
@@ -310,7 +313,8 @@ def near_copies(
     path = work_path(spark, "sketches")
     sketches(texts, words, threshold, last).write.parquet(path)
     rows = spark.read.schema(SKETCHES).parquet(path)
-    joined = joined_nodes(texts, rows, words, threshold, crowd)
+    tasks = max(1, -(-rows.count() // DOCS_A_TASK))
+    joined = joined_nodes(texts, rows, words, threshold, crowd, tasks)
     own = rows.select("doc_id", "content", "node")
     if joined is None:
         named = own.withColumnRenamed("node", "root")
@@ -318,7 +322,7 @@ def near_copies(
         named = own.join(joined, "node", "left").select(
             "doc_id", "content", F.coalesce("root", "node").alias("root")
         )
-    named = named.checkpoint()
+    named = dealt(named, tasks).checkpoint()
     heads = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(heads, "root").select("doc_id", "content", "root", "component_id")
 
