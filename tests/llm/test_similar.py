@@ -121,3 +121,26 @@ def test_no_text_is_moved_for_the_few_that_go(spark, monkeypatch):
     assert ways[0] == ways[1] == ways[2] == ways[3]
     want = [(0, texts[0]), (1, texts[1]), (2, texts[2]), (3, texts[3]), (4, texts[4]), (5, texts[5]), (7, None), (None, "of its own")]
     assert ways[0] == sorted(want, key=str)
+
+
+def test_few_documents_ask_for_few_tasks(spark):
+    """However many partitions shuffles have, what is read again of few links is in few."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(name) for name in names]
+    context, counts = spark.sparkContext, []
+    rows = [(k, " ".join(f"w{k % 6 * 100 + j}" for j in range(40)) + f" end{k}") for k in range(24)]
+    try:
+        for name, value in zip(names, ("40", "false"), strict=True):
+            spark.conf.set(name, value)
+        context.setJobGroup("few", "few")
+        found = similar.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        status = context.statusTracker()
+        stages = {s for job in status.getJobIdsForGroup("few") for s in status.getJobInfo(job).stageIds}
+        counts = [info.numTasks for s in stages if (info := status.getStageInfo(s)) and info.numCompletedTasks]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
+    assert {r.doc_id: r.component_id for r in found} == {k: k % 6 for k in range(24)}
+    # Most stages held all 40 partitions before.
+    assert counts and sum(n >= 40 for n in counts) * 2 < len(counts), sorted(counts)
